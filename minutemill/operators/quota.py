@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,26 @@ def _walk(rows: DataFrame, bucket: _Bucket, ends: bool) -> DataFrame:
     through in order and only one bucket is held at a time.
     """
     token, refill, cap = bucket.token, bucket.refill, bucket.cap
+    small = 1 << 62
+
+    def all_pass(us, n, tokens: int, last: int):
+        """How many leading instants pass in full, the content after them, and whether it was full.
+
+        As long as everything passes the content is a running minimum over "full at j" and "as it
+        was at the start", so a stretch without denials takes a few array operations.
+        """
+        since = us - last
+        cost = n * token
+        spent = np.cumsum(cost) - cost
+        earned = since * refill
+        if_full = cap + np.minimum.accumulate(spent - earned)
+        before = np.minimum(tokens, if_full) + earned - spent
+        after = before - cost
+        short = np.flatnonzero(after < 0)
+        passed = int(short[0]) if len(short) else len(us)
+        if not passed:
+            return 0, tokens, last, False
+        return passed, int(after[passed - 1]), int(us[passed - 1]), bool((before[:passed] == cap).any())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["client", "chunk", "us", "n", "tokens", "kind"]
@@ -91,31 +113,50 @@ def _walk(rows: DataFrame, bucket: _Bucket, ends: bool) -> DataFrame:
             )
 
         for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
             out: list = []
-            columns = [batch.column(c).to_pylist() for c in ("client", "chunk", "us", "n", "start")]
-            for client, chunk, us, n, start in zip(*columns):
-                if current != (client, chunk):
+            clients, chunks, starts = (batch.column(c) for c in ("client", "chunk", "start"))
+            times, counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("us", "n"))
+            changed = pc.or_(
+                pc.not_equal(clients.slice(1), clients.slice(0, size - 1)),
+                pc.not_equal(chunks.slice(1), chunks.slice(0, size - 1)),
+            )
+            heads = [0, *(np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1).tolist(), size]
+            for a, b in zip(heads, heads[1:]):
+                key = (clients[a].as_py(), chunks[a].as_py())
+                if current != key:
                     finish(out)
-                    current, begun, full = (client, chunk), None, False
-                if start is not None:
-                    tokens, last, begun = start, us, start
+                    current, begun, full = key, None, False
+                    start = starts[a].as_py()
+                    if start is not None:
+                        tokens, last, begun = start, int(times[a]), start
+                        a += 1
+                    else:
+                        tokens, last, begun, full = cap, int(times[a]), cap, True
+                if a == b:
                     continue
-                if begun is None:
-                    tokens, last, begun, full = cap, us, cap, True
-                tokens += (us - last) * refill
-                if tokens >= cap:
-                    tokens, full = cap, True
-                last = us
-                passed = min(n, tokens // token)
-                tokens -= passed * token
-                if not ends and passed < n:
-                    out.append((client, chunk, us, n, passed, "short"))
+                us, n = times[a:b], counts[a:b]
+                if b - a >= 16 and (int(us[-1]) - last) * refill < small and int(n.sum()) * token < small:
+                    passed, tokens, last, was_full = all_pass(us, n, tokens, last)
+                    full = full or was_full
+                    us, n = us[passed:], n[passed:]
+                for time, count in zip(us.tolist(), n.tolist()):
+                    tokens += (time - last) * refill
+                    if tokens >= cap:
+                        tokens, full = cap, True
+                    last = time
+                    through = min(count, tokens // token)
+                    tokens -= through * token
+                    if through < count and not ends:
+                        out.append((*key, time, count, through, "short"))
             yield pack(out)
         out = []
         finish(out)
         yield pack(out)
 
-    ordered = rows.repartition("client", "chunk").sortWithinPartitions("client", "chunk", "us", F.col("n"))
+    ordered = rows.repartition("client", "chunk").sortWithinPartitions("client", "chunk", "us")
     return ordered.mapInArrow(walk, _WALK_SCHEMA)
 
 
