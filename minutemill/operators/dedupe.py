@@ -20,22 +20,23 @@ def dedupe_batch(events: DataFrame, order: Sequence[str] = FIRST_COPY_ORDER) ->
     return events.withColumn("_copy", first).filter(F.col("_copy") == 1).drop("_copy")
 
 
-def new_events_only(batch: DataFrame, seen: DataFrame) -> DataFrame:
+def new_events_only(batch: DataFrame, seen: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Rows of `batch` whose event_id is not in `seen`.
 
     A left-anti join cannot broadcast its left side, so the history is first cut down to the ids
-    the batch holds. Spark broadcasts the batch's ids there when their measured size allows it (a
-    materialised cache or the runtime statistics tell it), and then the history is neither
-    shuffled nor sorted; a large batch makes both sides shuffle by event_id, once.
+    the batch holds (`ids`, by default taken from the batch). Spark broadcasts them there when
+    their measured size allows it (a materialised cache or the runtime statistics tell it), and
+    then the history is neither shuffled nor sorted; a large batch makes both sides shuffle by
+    event_id, once.
     """
-    ids = batch.select("event_id").filter(F.col("event_id").isNotNull())
-    already = seen.select("event_id").join(ids, "event_id", "left_semi")
+    wanted = (batch if ids is None else ids).select("event_id").distinct()
+    already = seen.select("event_id").join(wanted, "event_id", "left_semi")
     return batch.join(already, "event_id", "left_anti")
 
 
 def dedupe_stored(batch: DataFrame, seen: DataFrame) -> DataFrame:
     """First copies in the batch that history does not hold yet."""
-    return new_events_only(dedupe_batch(batch), seen)
+    return new_events_only(dedupe_batch(batch), seen, ids=batch)
 
 
 def batch_outcome(received: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ map-side combine. The byte form is version, precision, then one byte per registe
 """
 
 from collections.abc import Iterator, Sequence
+from datetime import date, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from minutemill.functions.hashing import (
     register_and_rank,
     register_of,
 )
-from minutemill.functions.timing import to_day
+from minutemill.functions.timing import day_of, to_day
 from minutemill.operators.uniques import filter_has_user
 
 # Fixed values of the byte layout.
@@ -71,6 +72,17 @@ def portable_estimate(registers: DataFrame, keys: Sequence[str] = ("name", "day"
     return sums.select(*keys, F.floor(value + 0.5).cast("long").alias("estimate"))
 
 
+def portable_uniques_today(registers: DataFrame, as_of: datetime | str) -> DataFrame:
+    """(name, count) for every name with a user on the UTC day of `as_of`."""
+    return portable_uniques_range(registers, day_of(as_of), day_of(as_of))
+
+
+def portable_uniques_range(registers: DataFrame, first: date, last: date) -> DataFrame:
+    """(name, count) of distinct users over the days first..last."""
+    days = registers.filter(F.col("day").between(F.lit(first), F.lit(last)))
+    return portable_estimate(portable_merge(days), ["name"]).withColumnRenamed("estimate", "count")
+
+
 def valid_buffer(sketch: str = "sketch"):
     header = bytes([FORMAT_VERSION, PRECISION])
     return F.coalesce(

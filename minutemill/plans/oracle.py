@@ -141,6 +141,17 @@ registers AS (
   SELECT r.name, CAST(r.ts AS DATE) AS day, p.register, max(p.rank) AS rank
   FROM received r JOIN placed p USING (distinct_id) WHERE r.distinct_id <> '' GROUP BY ALL)"""
 
+
+def _estimates(registers: str, keys: str) -> str:
+    return f"""
+sums AS (SELECT {keys}, count(*) AS filled, sum(power(2.0::DOUBLE, -rank)) AS s FROM {registers} GROUP BY {keys}),
+raw AS (SELECT *, 16384 - filled AS zeros,
+          (0.7213::DOUBLE / (1 + 1.079::DOUBLE / 16384)) * 16384 * 16384 / (s + 16384 - filled) AS e FROM sums),
+estimates AS (
+  SELECT {keys}, CAST(floor(CASE WHEN e <= 2.5 * 16384 AND zeros > 0
+           THEN 16384 * ln(16384.0::DOUBLE / zeros) ELSE e END + 0.5) AS BIGINT) AS estimate FROM raw)"""
+
+
 _SKETCH_HEX = f"""{_HASHED},
 keys AS (SELECT DISTINCT name, day FROM registers),
 cells AS (SELECT k.name, k.day, g.i, coalesce(r.rank, 0) AS rank
@@ -368,12 +379,14 @@ dense AS (SELECT minute, coalesce(CAST(sum(n) AS BIGINT), 0) AS count
         _HASHED, "SELECT name, register, max(rank) AS rank FROM registers GROUP BY name, register"
     ),
     "portable_estimate": _with(
+        f"{_HASHED}, {_estimates('registers', 'name, day')}", "SELECT name, day, estimate FROM estimates"
+    ),
+    "portable_uniques_range": _with(
         f"""{_HASHED},
-sums AS (SELECT name, day, count(*) AS filled, sum(power(2.0::DOUBLE, -rank)) AS s FROM registers GROUP BY name, day),
-raw AS (SELECT *, 16384 - filled AS zeros,
-          (0.7213::DOUBLE / (1 + 1.079::DOUBLE / 16384)) * 16384 * 16384 / (s + 16384 - filled) AS e FROM sums)""",
-        """SELECT name, day, CAST(floor(CASE WHEN e <= 2.5 * 16384 AND zeros > 0
-               THEN 16384 * ln(16384.0::DOUBLE / zeros) ELSE e END + 0.5) AS BIGINT) AS estimate FROM raw""",
+week AS (SELECT name, register, max(rank) AS rank FROM registers
+         WHERE day BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY name, register),
+{_estimates('week', 'name')}""",
+        "SELECT name, estimate AS count FROM estimates",
     ),
     "export_portable_sketches": _with(
         _SKETCH_HEX,
@@ -390,6 +403,15 @@ raw AS (SELECT *, 16384 - filled AS zeros,
     "ingest_stream": _with(
         _EV, f"SELECT name, {_MINUTE} AS minute, {_DAY} AS day, count(*) AS n FROM ev GROUP BY ALL"
     ),
+    "ingest_stream_with_state": _with(
+        f"""{_HASHED},
+original AS (
+  SELECT e.name, CAST(e.ts AS DATE) AS day, p.register, max(p.rank) AS rank
+  FROM ev e JOIN placed p USING (distinct_id) WHERE e.distinct_id <> '' GROUP BY ALL),
+{_estimates('original', 'name, day')}""",
+        f"""SELECT name, day, n, estimate
+            FROM (SELECT name, {_DAY} AS day, count(*) AS n FROM ev GROUP BY ALL) JOIN estimates USING (name, day)""",
+    ),
     "live_rollup": _with(_EV, _ORIGINAL_ROLLUP),
     # quotas and health
     "fixed_window_quota": _with(_WINDOW, "SELECT request_id, client, allowed FROM windowed"),
@@ -451,7 +473,7 @@ outcomes AS (SELECT ts, 'accepted' AS outcome FROM received UNION ALL SELECT ts,
 _WITH_DAY = (
     "write_events write_minute_deltas write_sketch_deltas compact_deltas uniques_daily merge_sketches exact_uniques "
     "unique_accuracy portable_registers portable_estimate export_portable_sketches import_portable_sketches "
-    "ingest_stream"
+    "ingest_stream ingest_stream_with_state"
 ).split()
 for _name in _WITH_DAY:
     ORACLE[_name] = f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM (\n{ORACLE[_name]}\n)"

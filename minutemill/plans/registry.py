@@ -438,6 +438,12 @@ def portable_estimate(spark, sf_dir):
     return portable.portable_estimate(portable.portable_registers(_received(spark, sf_dir)))
 
 
+@query
+def portable_uniques_range(spark, sf_dir):
+    registers = portable.portable_registers(_received(spark, sf_dir))
+    return portable.portable_uniques_range(registers, *RANGE)
+
+
 @query
 def export_portable_sketches(spark, sf_dir):
     sketches = portable.export_portable_sketches(portable.portable_registers(_received(spark, sf_dir)))
@@ -468,6 +474,24 @@ def ingest_stream(spark, sf_dir):
     return compact_rollup(tables.minute_deltas())
 
 
+@query
+def ingest_stream_with_state(spark, sf_dir):
+    """As above with known ids in state, then the daily users of the stored events."""
+    root = scratch_path(spark, "ingest")
+    log = EventLog("json", f"{root}/log")
+    event_log.write_event_log(inputs.events(spark, sf_dir), log)
+    event_log.write_event_log(inputs.events(spark, sf_dir), log)
+    tables = EventTables(spark, f"{root}/tables").create()
+    records = event_log.read_event_log(spark, log)
+    started = ingest.ingest_stream_with_state(
+        records, tables, f"{root}/checkpoint", trigger=ONCE, portable=True
+    )
+    started.awaitTermination()
+    counted = tables.minute_deltas().groupBy("name", "day").agg(F.sum("n").alias("n"))
+    users = portable.portable_estimate(portable.portable_merge(tables.register_deltas(), ["name", "day"]))
+    return counted.join(users, ["name", "day"])
+
+
 @query
 def live_rollup(spark, sf_dir):
     root = scratch_path(spark, "live")

@@ -59,6 +59,15 @@ SKETCH_DELTAS_TABLE = T.StructType(
         *_PARTITION_FIELDS,
     ]
 )
+# Portable sketches as rows: at most 16,384 registers per (name, day) and batch.
+REGISTER_DELTAS_TABLE = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("register", T.IntegerType()),
+        T.StructField("rank", T.IntegerType()),
+        *_PARTITION_FIELDS,
+    ]
+)
 QUARANTINE_TABLE = T.StructType(
     [
         T.StructField("value", T.StringType()),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from minutemill import schema
 from minutemill.functions.timing import to_day
+from minutemill.operators.portable import portable_merge
 from minutemill.operators.rollup import minute_rollup
 from minutemill.operators.uniques import merge_sketches, uniques_daily
 
@@ -32,6 +33,7 @@ class EventTables:
             "events": schema.EVENTS_TABLE,
             "minute_deltas": schema.MINUTE_DELTAS_TABLE,
             "sketch_deltas": schema.SKETCH_DELTAS_TABLE,
+            "register_deltas": schema.REGISTER_DELTAS_TABLE,
             "quarantine": schema.QUARANTINE_TABLE,
             "batch_health": schema.BATCH_HEALTH_TABLE,
             "folded": schema.FOLDED_TABLE,
@@ -40,8 +42,7 @@ class EventTables:
     def create(self) -> EventTables:
         """Make the empty tables. Appending nothing leaves existing tables as they are."""
         for name, layout in self._schemas.items():
-            empty = self.spark.createDataFrame([], layout)
-            empty.write.mode("append").parquet(self._path(name))
+            self.spark.createDataFrame([], layout).coalesce(1).write.mode("append").parquet(self._path(name))
         return self
 
     def _path(self, table: str) -> str:
@@ -78,6 +79,11 @@ class EventTables:
         rows = sketches.select("name", "sketch", "day")
         self._overwrite(rows.hint("rebalance", "day"), "sketch_deltas", batch_id)
 
+    def write_register_deltas(self, registers: DataFrame, batch_id: str) -> None:
+        """Store the users a batch adds per (name, day) as portable registers."""
+        rows = registers.select("name", "register", "rank", "day")
+        self._overwrite(rows.hint("rebalance", "day"), "register_deltas", batch_id)
+
     def write_quarantine(self, rejected: DataFrame, batch_id: str) -> None:
         """Set rejected lines aside with their reason."""
         self._overwrite(rejected.select("value", "reason"), "quarantine", batch_id, by_day=False)
@@ -94,7 +100,8 @@ class EventTables:
         """Make a batch visible; the same row is its health record."""
         layout = T.StructType([f for f in schema.BATCH_HEALTH_TABLE.fields if f.name != "batch_id"])
         row = (batch_size, inserted, batch_size - inserted, took_seconds, error, ts)
-        self._overwrite(self.spark.createDataFrame([row], layout), "batch_health", batch_id, by_day=False)
+        marker = self.spark.createDataFrame([row], layout).coalesce(1)
+        self._overwrite(marker, "batch_health", batch_id, by_day=False)
 
     # -- reading ----------------------------------------------------------------------------
 
@@ -138,6 +145,9 @@ class EventTables:
     def sketch_deltas(self) -> DataFrame:
         return self._live("sketch_deltas")
 
+    def register_deltas(self) -> DataFrame:
+        return self._live("register_deltas")
+
     # -- compaction -------------------------------------------------------------------------
 
     def compact_deltas(self, day: date) -> str | None:
@@ -148,28 +158,30 @@ class EventTables:
         the next call. A crash before the last write leaves readers on the old form.
         """
         on_day = F.col("day") == F.lit(day)
-        counts, sketches = (
-            live.filter(on_day) for live in (self.minute_deltas(), self.sketch_deltas())
-        )
-        present = [
-            scan.filter(on_day & ~F.col("batch_id").startswith(COMPACTED)).select("batch_id")
-            for scan in (self._finished("minute_deltas"), self._finished("sketch_deltas"))
-        ]
+        merges = {
+            "minute_deltas": lambda d: d.groupBy("name", "minute", "day").agg(F.sum("n").alias("n")),
+            "sketch_deltas": lambda d: merge_sketches(d, ["name", "day"]),
+            "register_deltas": lambda d: portable_merge(d, ["name", "day"]),
+        }
         # Read the list of batches before the data is written, then fold exactly that list: one
         # short row per batch of one day, kept as a table and not on the driver.
         contained = f"{self._path('folding')}/{uuid.uuid4().hex}"
-        present[0].unionAll(present[1]).distinct().write.parquet(contained)
+        present = None
+        for table in merges:
+            ids = self._finished(table).filter(on_day).select("batch_id")
+            present = ids if present is None else present.unionAll(ids)
+        folded = self._scan("folded").filter(on_day)
+        unfolded = present.join(folded.select(F.col("folded").alias("batch_id")), "batch_id", "left_anti")
+        unfolded.distinct().write.parquet(contained)
         batches = self.spark.read.schema("batch_id string").parquet(contained)
         if batches.isEmpty():
             return None
-        known = self._scan("folded").filter(on_day).agg(F.count_distinct("into").alias("n"))
-        generation = known.first()["n"]
-        into = f"{COMPACTED}{day:%Y%m%d}-{generation:08d}"
-        scope = batches.unionAll(self._scan("folded").filter(on_day).select(F.col("into").alias("batch_id")))
-        counted = counts.join(scope, "batch_id", "left_semi").groupBy("name", "minute", "day")
-        merged = sketches.join(scope, "batch_id", "left_semi")
-        self._overwrite(counted.agg(F.sum("n").alias("n")), "minute_deltas", into)
-        self._overwrite(merge_sketches(merged, ["name", "day"]), "sketch_deltas", into)
+        earlier = folded.select("into").distinct()
+        into = f"{COMPACTED}{day:%Y%m%d}-{earlier.count():08d}"
+        scope = batches.unionAll(earlier)
+        for table, merge in merges.items():
+            live = self._live(table).filter(on_day)
+            self._overwrite(merge(live.join(scope, "batch_id", "left_semi")), table, into)
         rows = batches.select(
             F.lit(day).alias("day"), F.col("batch_id").alias("folded"), F.lit(into).alias("into")
         )

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from minutemill.operators.dedupe import dedupe_stored
-from minutemill.operators.validate import validate_events
+from minutemill.operators.portable import import_portable_sketches, portable_registers
+from minutemill.operators.validate import validate_events, with_reason
+from minutemill.schema import EVENT_COLUMNS
 from minutemill.sources.event_log import decode_records
 from minutemill.sources.tables import EventTables, batch_deltas
+from minutemill.streaming.live import append_stream, dedupe_stream
 
 
 def batch_name(number: int, writer: str = "log") -> str:
@@ -27,36 +30,79 @@ def ingest_batch(
     batch_id: str,
     uniques_over: str = "received",
     history: Callable[[DataFrame], DataFrame] | None = None,
+    portable: bool = False,
 ) -> None:
     """Store one batch of events and what it adds to counters and sketches.
 
     Repeating a batch_id replaces its earlier attempt. History is read as one column of ids;
     `history` may narrow it (for example to recent days) where a bounded memory is acceptable.
+    `portable` also keeps the users as portable registers.
     """
-    started = time.monotonic()
     received = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # Fills the cache, whose measured size then decides how the ids are joined to history.
-        size = received.count()
-        seen = tables.events(other_than=batch_id)
-        if history is not None:
-            seen = history(seen)
-        tables.write_events(dedupe_stored(received, seen), batch_id)
-        stored = tables.events_of(batch_id)
-        counters, sketches = batch_deltas(stored, received, uniques_over)
-        tables.write_minute_deltas(counters, batch_id)
-        tables.write_sketch_deltas(sketches, batch_id)
-        inserted = stored.count()
-        tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
+        _store(tables, received, batch_id, uniques_over, history, portable)
     finally:
         received.unpersist()
 
 
+def _store(
+    tables, received, batch_id, uniques_over="received", history=None, portable=False, only_new=False
+) -> None:
+    """`received` is cached: counting it fills the cache, whose measured size then decides how its
+    ids are joined to history. With `only_new` the caller has left out all known ids already."""
+    started = time.monotonic()
+    size = received.count()
+    if only_new:
+        fresh = received
+    else:
+        seen = tables.events(other_than=batch_id)
+        fresh = dedupe_stored(received, seen if history is None else history(seen))
+    tables.write_events(fresh, batch_id)
+    stored = tables.events_of(batch_id)
+    counters, sketches = batch_deltas(stored, received, uniques_over)
+    tables.write_minute_deltas(counters, batch_id)
+    tables.write_sketch_deltas(sketches, batch_id)
+    if portable:
+        users = received if uniques_over == "received" else stored
+        tables.write_register_deltas(portable_registers(users), batch_id)
+    inserted = stored.count()
+    tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
+
+
+def import_history(
+    tables: EventTables,
+    batch_id: str,
+    events: DataFrame | None = None,
+    counters: DataFrame | None = None,
+    sketches: DataFrame | None = None,
+) -> DataFrame | None:
+    """Take over existing tables: stored events, minute counters and portable sketch buffers.
+
+    Counters and sketches are taken as they are and not derived from the events. Returns the
+    sketches that could not be read.
+    """
+    started, size, rejected = time.monotonic(), 0, None
+    if events is not None:
+        tables.write_events(events, batch_id)
+        size = tables.events_of(batch_id).count()
+    if counters is not None:
+        tables.write_minute_deltas(counters, batch_id)
+    if sketches is not None:
+        registers, rejected = import_portable_sketches(sketches)
+        tables.write_register_deltas(registers, batch_id)
+    tables.commit(batch_id, size, size, time.monotonic() - started, datetime.now(timezone.utc))
+    return rejected
+
+
 def ingest_records(tables: EventTables, records: DataFrame, batch_id: str, **options) -> None:
-    """Decode and check raw log records, set bad ones aside, store the rest."""
-    accepted, rejected = validate_events(decode_records(records))
-    tables.write_quarantine(rejected, batch_id)
-    ingest_batch(tables, accepted.drop("value"), batch_id, **options)
+    """Decode and check raw log records once, set bad ones aside, store the rest."""
+    judged = with_reason(decode_records(records)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tables.write_quarantine(judged.filter(F.col("reason").isNotNull()), batch_id)
+        accepted = judged.filter(F.col("reason").isNull()).select(*EVENT_COLUMNS)
+        _store(tables, accepted, batch_id, **options)
+    finally:
+        judged.unpersist()
 
 
 def ingest_stream(
@@ -84,6 +130,48 @@ def ingest_stream(
     )
 
 
+def ingest_stream_with_state(
+    records: DataFrame,
+    tables: EventTables,
+    checkpoint: str,
+    writer: str = "log",
+    trigger: dict | None = None,
+    portable: bool = False,
+) -> StreamingQuery:
+    """Like `ingest_stream`, with all known ids in the stream's state instead of the events table.
+
+    A micro-batch then costs what it holds and does not read history: the form for small, frequent
+    batches over years of ids. State lives in RocksDB and is spread by event_id. Uniques follow
+    the stored events, bad records are left to `quarantine_stream`, and the first batch of a new
+    checkpoint knows no ids, so this cannot take over tables that already hold events.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        received = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            name = batch_name(number, writer)
+            _store(tables, received, name, uniques_over="inserted", portable=portable, only_new=True)
+        finally:
+            received.unpersist()
+
+    accepted, _ = validate_events(decode_records(records))
+    return (
+        dedupe_stream(accepted.select(*EVENT_COLUMNS))
+        .writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
+    )
+
+
+def quarantine_stream(
+    records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Rejected records with their reason, appended to Parquet files."""
+    _, rejected = validate_events(decode_records(records))
+    return append_stream(rejected.select("value", "reason"), path, checkpoint, trigger)
+
+
 def recent_days(days: int, newest: datetime) -> Callable[[DataFrame], DataFrame]:
     """A bounded history for `ingest_batch`: only ids stored within `days` days of `newest`."""
     return lambda seen: seen.filter(F.col("day") >= F.date_sub(F.lit(newest.date()), days))

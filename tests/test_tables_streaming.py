@@ -4,7 +4,14 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from minutemill.operators.portable import (
+    export_portable_sketches,
+    portable_registers,
+    portable_uniques_range,
+    portable_uniques_today,
+)
 from minutemill.operators.reconcile import reconcile
+from minutemill.operators.rollup import minute_rollup
 from minutemill.operators.uniques import uniques_range
 from minutemill.plans import inputs
 from minutemill.schema import EVENT_COLUMNS
@@ -199,3 +206,42 @@ def test_streaming_dedupe_and_live_counts(spark, root):
     live.live_rollup(stream(), f"{root}/live", f"{root}/cp-live", ONCE).awaitTermination()
     assert live.read_live_rollup(spark, f"{root}/live").agg(F.sum("n")).first()[0] == 1_000
     assert len(glob.glob(f"{root}/live/batch_id=*")) >= 2
+
+
+def test_state_ingest_counts_once_across_restarts(spark, root, tables):
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
+
+    def run():
+        records = read_event_log(spark, log)
+        ingest.ingest_stream_with_state(
+            records, tables, f"{root}/checkpoint", trigger=ONCE, portable=True
+        ).awaitTermination()
+
+    write_event_log(deliveries(spark), log)
+    run()
+    write_event_log(deliveries(spark), log)
+    run()
+    assert rows_of(tables.events().agg(F.count("*"), F.count_distinct("event_id"))) == [(1_000, 1_000)]
+    assert tables.minute_deltas().agg(F.sum("n")).first()[0] == 1_000
+    bad = spark.createDataFrame([("k", "oops", None)] * 2, "key string, value string, timestamp timestamp")
+    bad.write.mode("append").json(log.location)
+    ingest.quarantine_stream(read_event_log(spark, log), f"{root}/bad", f"{root}/cp-bad", ONCE).awaitTermination()
+    assert rows_of(spark.read.parquet(f"{root}/bad"), "reason") == [("invalid JSON body",)] * 2
+
+
+def test_imported_history_merges_with_new_batches(spark, events_of, tables):
+    old = events_of(*[(f"o{i}", "a", f"u{i}", "2024-01-02 01:00:00") for i in range(50)])
+    sketches = export_portable_sketches(portable_registers(old))
+    damaged = sketches.select(F.lit("b").alias("name"), "day", F.substring("sketch", 1, 9).alias("sketch"))
+    rejected = ingest.import_history(
+        tables, "import-0", events=old, counters=minute_rollup(old), sketches=sketches.unionAll(damaged)
+    )
+    assert rows_of(rejected, "name") == [("b",)]
+    new = [(f"n{i}", "a", f"u{i}", "2024-01-02 02:00:00") for i in range(40, 60)]
+    ingest.ingest_batch(tables, events_of(*new, ("o1", "a", "u1", "2024-01-02 02:00:00")), "b-0", portable=True)
+    ranged = portable_uniques_range(tables.register_deltas(), date(2024, 1, 2), date(2024, 1, 2))
+    assert rows_of(ranged) == [("a", 60)]
+    assert tables.minute_deltas().agg(F.sum("n")).first()[0] == tables.events().count() == 70
+    tables.compact_deltas(date(2024, 1, 2))
+    ranged = portable_uniques_today(tables.register_deltas(), "2024-01-02 23:00:00")
+    assert rows_of(ranged) == [("a", 60)]
