@@ -12,14 +12,17 @@ MAX_LINE_BYTES = 1 << 20
 _ENVELOPE = "event_id variant, name variant, distinct_id variant, properties variant, ts timestamp, _unread string"
 
 
+_TEXT_FIELDS = ("event_id", "name", "distinct_id")
+
+
 def _text(field: str) -> Column:
     return F.coalesce(F.try_variant_get(F.col(f"_j.{field}"), "$", "string"), F.lit(""))
 
 
-def _kind_ok(field: str, opening: str) -> Column:
-    """Absent, JSON null, or a value whose JSON text starts with `opening`."""
-    as_json = F.to_json(F.col(f"_j.{field}"))
-    return as_json.isNull() | (as_json == "null") | as_json.startswith(opening)
+def _not_text(field: str) -> Column:
+    """Neither absent, nor JSON null, nor a JSON string."""
+    kind = F.schema_of_variant(F.col(f"_j.{field}"))
+    return F.coalesce((kind != "STRING") & (kind != "VOID"), F.lit(False))
 
 
 def parse_event_json(raw: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -32,28 +35,27 @@ def parse_event_json(raw: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFra
     parsed = raw.withColumn(
         "_j", F.from_json("value", _ENVELOPE, {"columnNameOfCorruptRecord": "_unread"})
     )
+    # The canonical text of the properties is made once, in a projection of its own.
+    texts = parsed.select(*raw.columns, "_j", F.to_json(F.col("_j.properties")).alias("_properties"))
     blank = F.trim("value") == "null"  # decodes to an event without an id
     unreadable = (F.col("_j").isNull() | F.col("_j._unread").isNotNull()) & ~blank
-    malformed = F.coalesce(
+    properties = F.coalesce("_properties", F.lit("null"))
+    malformed = (
         F.col("value").isNull()
         | (F.octet_length("value") > max_bytes)
         | unreadable
-        | ~_kind_ok("event_id", '"')
-        | ~_kind_ok("name", '"')
-        | ~_kind_ok("distinct_id", '"')
-        | ~_kind_ok("properties", "{"),
-        F.lit(True),
+        | _not_text("event_id")
+        | _not_text("name")
+        | _not_text("distinct_id")
+        | ((properties != "null") & ~properties.startswith("{"))
     )
-    properties = F.to_json(F.col("_j.properties"))
-    kept = [c for c in raw.columns if c not in ("event_id", "name", "distinct_id", "properties", "ts")]
-    flagged = parsed.withColumn("malformed", malformed)
+    flagged = texts.withColumn("malformed", F.coalesce(malformed, F.lit(True)))
     sound = ~F.col("malformed")
+    kept = [c for c in raw.columns if c not in (*_TEXT_FIELDS, "properties", "ts")]
     return flagged.select(
         *kept,
         "malformed",
-        F.when(sound, _text("event_id")).alias("event_id"),
-        F.when(sound, _text("name")).alias("name"),
-        F.when(sound, _text("distinct_id")).alias("distinct_id"),
-        F.when(sound & properties.startswith("{"), properties).alias("properties"),
+        *[F.when(sound, _text(field)).alias(field) for field in _TEXT_FIELDS],
+        F.when(sound & (F.col("_properties") != "null"), F.col("_properties")).alias("properties"),
         F.when(sound, F.col("_j.ts")).alias("ts"),
     )
