@@ -29,6 +29,22 @@ RUNTIME_CONF = {
 }
 
 
+def conf_for_input(total_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a batch job over `total_bytes` of input.
+
+    Read and shuffle partitions of about `partition_bytes` fit an executor core's share of memory.
+    The number of shuffle partitions is an upper limit: adaptive execution joins small ones up to
+    the advisory size and splits skewed ones.
+    """
+    partitions = min(max(-(-total_bytes // partition_bytes), 200), 100_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():

@@ -208,6 +208,12 @@ def test_streaming_dedupe_and_live_counts(spark, root):
     assert len(glob.glob(f"{root}/live/batch_id=*")) >= 2
 
 
+def test_hot_id_is_thinned_before_the_shuffle(events_of):
+    rows = [("hot", "a", "u", "2024-01-02 01:00:00")] * 3_000 + [("x", "a", "u", "2024-01-02 01:00:00")]
+    thinned = live.drop_nearby_copies(events_of(*rows).coalesce(1))
+    assert thinned.count() < 10 and rows_of(thinned.select("event_id").distinct()) == [("hot",), ("x",)]
+
+
 def test_state_ingest_counts_once_across_restarts(spark, root, tables):
     log = EventLog("json", f"{root}/log", max_files_per_batch=1)
 
