@@ -20,6 +20,15 @@ def dedupe_batch(events: DataFrame, order: Sequence[str] = FIRST_COPY_ORDER) ->
     return events.withColumn("_copy", first).filter(F.col("_copy") == 1).drop("_copy")
 
 
+def first_times(events: DataFrame) -> DataFrame:
+    """(event_id, name, ts) of the first copies: all that counters need.
+
+    Time and name lead the order of copies, so the other columns cannot change these and stay out
+    of the shuffle.
+    """
+    return dedupe_batch(events.select("event_id", "name", "ts"), ("ts", "name"))
+
+
 def new_events_only(batch: DataFrame, seen: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Rows of `batch` whose event_id is not in `seen`.
 

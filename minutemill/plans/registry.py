@@ -63,7 +63,7 @@ def query(build: Query) -> Query:
 
 def _rollup_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute counters as they stood at AS_OF: first copies of what had arrived by then."""
-    return rollup.minute_rollup(dedupe.dedupe_batch(known_at(_received(spark, sf_dir), AS_OF)))
+    return rollup.minute_rollup(dedupe.first_times(known_at(_received(spark, sf_dir), AS_OF)))
 
 
 def _received(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,8 +270,8 @@ def dedupe_stored(spark, sf_dir):
 
 def _first_deliveries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Deliveries and, of these, the ones that were stored: an id is stored by its first batch."""
-    received = inputs.received(spark, sf_dir)
-    return received, dedupe.dedupe_batch(received, ("batch_id", *dedupe.FIRST_COPY_ORDER))
+    received = inputs.received(spark, sf_dir).select("event_id", "batch_id")
+    return received, dedupe.dedupe_batch(received, ("batch_id",))
 
 
 @query
@@ -307,7 +307,7 @@ def stats_by_name(spark, sf_dir):
 @query
 def reconcile(spark, sf_dir):
     received = _received(spark, sf_dir)
-    return reconcile_names(received, dedupe.dedupe_batch(received))
+    return reconcile_names(received, dedupe.first_times(received))
 
 
 # -- counters -------------------------------------------------------------------------------
@@ -315,7 +315,7 @@ def reconcile(spark, sf_dir):
 
 @query
 def minute_rollup(spark, sf_dir):
-    return rollup.minute_rollup(dedupe.dedupe_batch(_received(spark, sf_dir)))
+    return rollup.minute_rollup(dedupe.first_times(_received(spark, sf_dir)))
 
 
 @query
@@ -545,7 +545,7 @@ def event_rates(spark, sf_dir):
     received = _received(spark, sf_dir)
     outcomes = [
         rows.select("ts", F.lit(label).alias("outcome"))
-        for rows, label in ((received, "accepted"), (dedupe.dedupe_batch(received), "inserted"))
+        for rows, label in ((received, "accepted"), (dedupe.first_times(received), "inserted"))
     ]
     return health.event_rates(outcomes[0].unionAll(outcomes[1]))
 

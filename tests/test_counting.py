@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from minutemill.functions.timing import known_at
-from minutemill.operators.dedupe import batch_outcome, dedupe_batch, dedupe_stored, new_events_only
+from minutemill.operators.dedupe import batch_outcome, dedupe_batch, dedupe_stored, first_times, new_events_only
 from minutemill.operators.reconcile import reconcile
 from minutemill.operators.rollup import (
     count_today,
@@ -34,6 +34,7 @@ def test_first_copy_wins_under_any_input_order(events_of):
     for rows in ((a, b, c), (c, b, a), (b, a, c)):
         assert rows_of(dedupe_batch(events_of(*rows)), "event_id", "distinct_id") == [("e1", "u1")]
     assert rows_of(dedupe_batch(events_of(b, c)), "distinct_id") == [("u0",)]
+    assert rows_of(first_times(events_of(c, b, a))) == [("e1", "buy", "2024-01-01 00:00:01")]
 
 
 def test_a_hot_id_is_combined_before_the_shuffle(events_of):
@@ -41,6 +42,12 @@ def test_a_hot_id_is_combined_before_the_shuffle(events_of):
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 
 
+def test_counting_does_not_shuffle_users_and_properties(events_of):
+    df = minute_rollup(first_times(events_of(("e", "n", "u", NOON))))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number()" in plan and "distinct_id" not in plan.split("LogicalRDD")[0]
+
+
 def test_stored_ids_are_skipped(events_of, spark):
     seen = spark.createDataFrame([("e1",), ("e9",)], "event_id string")
     batch = events_of(("e1", "n", "u", NOON), ("e2", "n", "u", NOON), ("e2", "n", "u", NOON))
