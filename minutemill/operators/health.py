@@ -89,6 +89,23 @@ def event_rates(outcomes: DataFrame) -> DataFrame:
     return counts.select("minute", "outcome", (F.col("_n") / 60).alias("per_second"))
 
 
+def flush_rates(batch_health: DataFrame) -> DataFrame:
+    """(minute, outcome, per_second) of flushed batches, by the minute a batch was finished in.
+
+    Outcomes are inserted, duplicate and dropped; a batch with an error was dropped as a whole.
+    """
+    failed = F.col("error").isNotNull()
+
+    def part(label: str, rows: Column) -> Column:
+        return F.struct(F.lit(label).alias("outcome"), rows.alias("rows"))
+
+    stored = [part("inserted", F.col("inserted")), part("duplicate", F.col("duplicates"))]
+    parts = F.when(failed, F.array(part("dropped", F.col("batch_size")))).otherwise(F.array(*stored))
+    rows = batch_health.select(to_minute("ts").alias("minute"), F.explode(parts).alias("_p"))
+    sums = rows.groupBy("minute", "_p.outcome").agg(F.sum("_p.rows").alias("_n"))
+    return sums.select("minute", "outcome", (F.col("_n") / 60).alias("per_second"))
+
+
 def rejected_rate_by_reason(rejected: DataFrame) -> DataFrame:
     """(minute, reason, per_second) from rows (ts, reason)."""
     return event_rates(rejected.select("ts", F.col("reason").alias("outcome"))).withColumnRenamed(

@@ -137,14 +137,19 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def batch_health(outcome: DataFrame) -> DataFrame:
-    """Health rows from per-batch outcomes; one batch in four is taken to have failed."""
+def batch_health(outcome: DataFrame, received: DataFrame) -> DataFrame:
+    """Health rows from per-batch outcomes, finished at the batch's last event.
+
+    One batch in four is taken to have failed.
+    """
     failed = F.col("batch_id").cast("long") % 4 == 3
-    return outcome.select(
+    finished = received.groupBy("batch_id").agg(F.max("ts").alias("ts"))
+    return outcome.join(finished, "batch_id").select(
         F.col("received").alias("batch_size"),
         "inserted",
         "duplicates",
         F.when(failed, F.lit("timeout")).alias("error"),
+        "ts",
         "batch_id",
     )
 

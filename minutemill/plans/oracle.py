@@ -158,6 +158,12 @@ cells AS (SELECT k.name, k.day, g.i, coalesce(r.rank, 0) AS rank
   FROM keys k CROSS JOIN range(16384) g(i)
   LEFT JOIN registers r ON r.name = k.name AND r.day = k.day AND r.register = g.i)"""
 
+_HEALTH = f"""{_RECEIVED}, ins AS ({_firsts('received', 'batch_id, ts, name, distinct_id, properties')}),
+health AS (
+  SELECT batch_id, ts, r AS batch_size, coalesce(i, 0) AS inserted, CAST(batch_id AS BIGINT) % 4 = 3 AS failed
+  FROM (SELECT batch_id, count(*) AS r, max(ts) AS ts FROM received GROUP BY batch_id)
+  LEFT JOIN (SELECT batch_id, count(*) AS i FROM ins GROUP BY batch_id) USING (batch_id))"""
+
 _TOKEN = 1_000_000 * BUCKET_RATE.denominator
 _REFILL = BUCKET_RATE.numerator
 _CAP = BUCKET_BURST * _TOKEN
@@ -430,11 +436,7 @@ walk AS (
         recursive=True,
     ),
     "flush_health": _with(
-        f"""{_RECEIVED}, ins AS ({_firsts('received', 'batch_id, ts, name, distinct_id, properties')}),
-health AS (
-  SELECT batch_id, r AS batch_size, coalesce(i, 0) AS inserted, CAST(batch_id AS BIGINT) % 4 = 3 AS failed
-  FROM (SELECT batch_id, count(*) AS r FROM received GROUP BY batch_id)
-  LEFT JOIN (SELECT batch_id, count(*) AS i FROM ins GROUP BY batch_id) USING (batch_id))""",
+        _HEALTH,
         """SELECT count(*) AS flushes, CAST(sum(batch_size) AS BIGINT) AS events,
              CAST(coalesce(sum(inserted) FILTER (WHERE NOT failed), 0) AS BIGINT) AS inserted,
              CAST(coalesce(sum(batch_size - inserted) FILTER (WHERE NOT failed), 0) AS BIGINT) AS duplicates,
@@ -455,9 +457,14 @@ holding AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY le) AS rn FR
            FROM holding WHERE rn = 1""",
     ),
     "event_rates": _with(
-        f"""{_RECEIVED}, stored AS ({_FIRSTS}),
-outcomes AS (SELECT ts, 'accepted' AS outcome FROM received UNION ALL SELECT ts, 'inserted' FROM stored)""",
-        f"SELECT {_MINUTE} AS minute, outcome, count(*) / 60.0::DOUBLE AS per_second FROM outcomes GROUP BY ALL",
+        f"""{_HEALTH},
+outcomes AS (
+  SELECT ts, 'accepted' AS outcome, 1 AS n FROM received
+  UNION ALL SELECT ts, 'inserted', inserted FROM health WHERE NOT failed
+  UNION ALL SELECT ts, 'duplicate', batch_size - inserted FROM health WHERE NOT failed
+  UNION ALL SELECT ts, 'dropped', batch_size FROM health WHERE failed)""",
+        f"""SELECT {_MINUTE} AS minute, outcome, CAST(sum(n) AS DOUBLE) / 60 AS per_second
+            FROM outcomes GROUP BY ALL""",
     ),
     "rejected_rate_by_reason": _with(
         _LINES,

@@ -518,10 +518,14 @@ def token_bucket_quota(spark, sf_dir):
     return judged.select("request_id", "client", "allowed")
 
 
+def _health(spark, sf_dir) -> DataFrame:
+    outcome = dedupe.batch_outcome(*_first_deliveries(spark, sf_dir))
+    return inputs.batch_health(outcome, inputs.received(spark, sf_dir))
+
+
 @query
 def flush_health(spark, sf_dir):
-    outcome = dedupe.batch_outcome(*_first_deliveries(spark, sf_dir))
-    return health.flush_health(inputs.batch_health(outcome))
+    return health.flush_health(_health(spark, sf_dir))
 
 
 def _histogram(spark, sf_dir) -> DataFrame:
@@ -541,13 +545,9 @@ def histogram_quantile(spark, sf_dir):
 
 @query
 def event_rates(spark, sf_dir):
-    """Deliveries accepted and events inserted per minute."""
-    received = _received(spark, sf_dir)
-    outcomes = [
-        rows.select("ts", F.lit(label).alias("outcome"))
-        for rows, label in ((received, "accepted"), (dedupe.first_times(received), "inserted"))
-    ]
-    return health.event_rates(outcomes[0].unionAll(outcomes[1]))
+    """Deliveries accepted per minute, and what the flushes of each minute did with them."""
+    accepted = _received(spark, sf_dir).select("ts", F.lit("accepted").alias("outcome"))
+    return health.event_rates(accepted).unionAll(health.flush_rates(_health(spark, sf_dir)))
 
 
 @query

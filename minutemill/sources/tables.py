@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 from minutemill import schema
 from minutemill.functions.timing import to_day
 from minutemill.operators.portable import portable_merge
-from minutemill.operators.rollup import minute_rollup
-from minutemill.operators.uniques import merge_sketches, uniques_daily
+from minutemill.operators.uniques import merge_sketches
 
 COMPACTED = "compacted-"
 
@@ -40,9 +39,11 @@ class EventTables:
         }
 
     def create(self) -> EventTables:
-        """Make the empty tables. Appending nothing leaves existing tables as they are."""
-        for name, layout in self._schemas.items():
-            self.spark.createDataFrame([], layout).coalesce(1).write.mode("append").parquet(self._path(name))
+        """Make the folders of the tables, so that a table without rows can be read."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in self._schemas:
+            path = jvm.org.apache.hadoop.fs.Path(self._path(name))
+            path.getFileSystem(conf).mkdirs(path)
         return self
 
     def _path(self, table: str) -> str:
@@ -98,9 +99,10 @@ class EventTables:
         error: str | None = None,
     ) -> None:
         """Make a batch visible; the same row is its health record."""
-        layout = T.StructType([f for f in schema.BATCH_HEALTH_TABLE.fields if f.name != "batch_id"])
-        row = (batch_size, inserted, batch_size - inserted, took_seconds, error, ts)
-        marker = self.spark.createDataFrame([row], layout).coalesce(1)
+        values = (batch_size, inserted, batch_size - inserted, took_seconds, error, ts)
+        fields = [f for f in schema.BATCH_HEALTH_TABLE.fields if f.name != "batch_id"]
+        row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)]
+        marker = self.spark.range(1).coalesce(1).select(*row)
         self._overwrite(marker, "batch_health", batch_id, by_day=False)
 
     # -- reading ----------------------------------------------------------------------------
@@ -192,14 +194,3 @@ class EventTables:
 def compact_rollup(deltas: DataFrame) -> DataFrame:
     """Minute deltas to one row per (name, minute, day)."""
     return deltas.groupBy("name", "minute", "day").agg(F.sum("n").alias("n"))
-
-
-def batch_deltas(stored: DataFrame, received: DataFrame, uniques_over: str = "received"):
-    """(minute counters, sketches) that a batch adds.
-
-    Counters follow what was stored. Sketches by default follow what was received, duplicates
-    included; `uniques_over="inserted"` takes them from the stored rows as well.
-    """
-    if uniques_over not in ("received", "inserted"):
-        raise ValueError("uniques_over must be 'received' or 'inserted'")
-    return minute_rollup(stored), uniques_daily(received if uniques_over == "received" else stored)

@@ -6,17 +6,19 @@ import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
+from pyspark import InheritableThread, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from minutemill.operators.dedupe import dedupe_stored
 from minutemill.operators.portable import import_portable_sketches, portable_registers
+from minutemill.operators.rollup import minute_rollup
+from minutemill.operators.uniques import uniques_daily
 from minutemill.operators.validate import validate_events, with_reason
 from minutemill.schema import EVENT_COLUMNS
 from minutemill.sources.event_log import decode_records
-from minutemill.sources.tables import EventTables, batch_deltas
+from minutemill.sources.tables import EventTables
 from minutemill.streaming.live import append_stream, dedupe_stream
 
 
@@ -45,11 +47,38 @@ def ingest_batch(
         received.unpersist()
 
 
+def _together(*steps: Callable[[], object]) -> None:
+    """Run independent writes at the same time, so that one's last tasks leave no cores idle."""
+    failures: list[BaseException] = []
+
+    def guarded(step: Callable[[], object]) -> None:
+        try:
+            step()
+        except BaseException as failure:  # raised below, when all have ended
+            failures.append(failure)
+
+    threads = [InheritableThread(target=guarded, args=(step,)) for step in steps]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failures:
+        raise failures[0]
+
+
 def _store(
-    tables, received, batch_id, uniques_over="received", history=None, portable=False, only_new=False
+    tables: EventTables,
+    received: DataFrame,
+    batch_id: str,
+    uniques_over: str = "received",
+    history: Callable[[DataFrame], DataFrame] | None = None,
+    portable: bool = False,
+    only_new: bool = False,
 ) -> None:
     """`received` is cached: counting it fills the cache, whose measured size then decides how its
     ids are joined to history. With `only_new` the caller has left out all known ids already."""
+    if uniques_over not in ("received", "inserted"):
+        raise ValueError("uniques_over must be 'received' or 'inserted'")
     started = time.monotonic()
     size = received.count()
     if only_new:
@@ -57,15 +86,28 @@ def _store(
     else:
         seen = tables.events(other_than=batch_id)
         fresh = dedupe_stored(received, seen if history is None else history(seen))
-    tables.write_events(fresh, batch_id)
-    stored = tables.events_of(batch_id)
-    counters, sketches = batch_deltas(stored, received, uniques_over)
-    tables.write_minute_deltas(counters, batch_id)
-    tables.write_sketch_deltas(sketches, batch_id)
-    if portable:
-        users = received if uniques_over == "received" else stored
-        tables.write_register_deltas(portable_registers(users), batch_id)
-    inserted = stored.count()
+
+    def store_users(events: DataFrame) -> None:
+        tables.write_sketch_deltas(uniques_daily(events), batch_id)
+        if portable:
+            tables.write_register_deltas(portable_registers(events), batch_id)
+
+    inserted = 0
+
+    def store_events() -> None:
+        nonlocal inserted
+        tables.write_events(fresh, batch_id)
+        # Counters follow what was stored, read back as two columns of this batch's files.
+        stored = tables.events_of(batch_id)
+        tables.write_minute_deltas(minute_rollup(stored), batch_id)
+        inserted = stored.count()
+        if uniques_over == "inserted":
+            store_users(stored)
+
+    if uniques_over == "received":
+        _together(store_events, lambda: store_users(received))
+    else:
+        store_events()
     tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
 
 

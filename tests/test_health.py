@@ -11,6 +11,7 @@ from minutemill.operators.health import (
     event_rates,
     exp_histogram,
     flush_health,
+    flush_rates,
     histogram_quantile,
     latency_percentiles,
     rejected_rate_by_reason,
@@ -71,6 +72,16 @@ def test_flush_health_counts_failed_batches_as_dropped(spark):
     assert rows_of(flush_health(spark.createDataFrame(rows, BATCH_HEALTH_TABLE))) == [(3, 22, 13, 2, 7)]
 
 
+def test_flush_rates(spark):
+    rows = [
+        (60, 30, 30, 0.1, None, at("2024-01-01 00:00:10"), "a"),
+        (60, 60, 0, 0.1, None, at("2024-01-01 00:00:50"), "b"),
+        (120, 0, 0, 0.1, "timeout", at("2024-01-01 00:00:59"), "c"),
+    ]
+    rates = flush_rates(spark.createDataFrame(rows, BATCH_HEALTH_TABLE))
+    assert rows_of(rates, "outcome", "per_second") == [("dropped", 2.0), ("duplicate", 0.5), ("inserted", 1.5)]
+
+
 def test_rates(spark):
     df = spark.createDataFrame(
         [(at("2024-01-01 00:00:05"), "accepted")] * 30 + [(at("2024-01-01 00:01:00"), "dropped")] * 6,
