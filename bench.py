@@ -11,6 +11,10 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
+from minutemill.operators import uniques
+from minutemill.plans import inputs
 from minutemill.plans.registry import QUERIES
 from minutemill.session import build_session
 
@@ -43,6 +47,8 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - started)
         seconds[name] = round(min(runs[1:] or runs), 3)
+    exact_and_estimate = uniques.unique_accuracy(inputs.received(spark, sf_dir))
+    worst = exact_and_estimate.agg(F.max("error_pct")).first()[0]
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     print(
         json.dumps(
@@ -54,6 +60,7 @@ def main() -> None:
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "events": events,
                 "ingest_events_per_sec": round(events * 1.2 / seconds["ingest_stream"]),
+                "worst_unique_error_pct": round(worst, 3),
             }
         )
     )

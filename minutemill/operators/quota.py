@@ -21,6 +21,15 @@ from minutemill.session import scratch_path
 MICROS = 1_000_000
 
 
+def _mod(value: Column, divisor: int) -> Column:
+    return F.pmod(value, F.lit(divisor))
+
+
+def _floor_to(micros: Column, step: int) -> Column:
+    """Start of the step a time lies in, in whole numbers."""
+    return micros - _mod(micros, step)
+
+
 def fixed_window_quota(requests: DataFrame, limit: int, window_seconds: int = 1) -> DataFrame:
     """The first `limit` requests of each client and window are allowed; denied ones still count.
 
@@ -30,8 +39,7 @@ def fixed_window_quota(requests: DataFrame, limit: int, window_seconds: int = 1)
     """
     if limit <= 0:
         return requests.withColumn("allowed", F.lit(False))
-    micros = window_seconds * MICROS
-    stamped = requests.withColumn("_w", F.floor(F.unix_micros("ts") / F.lit(micros)).cast("long"))
+    stamped = requests.withColumn("_w", _floor_to(F.unix_micros("ts"), window_seconds * MICROS))
     order = Window.partitionBy("client", "_w").orderBy("ts", "request_id")
     last_allowed = (
         stamped.select("client", "_w", "ts", "request_id")
@@ -160,10 +168,6 @@ def _walk(rows: DataFrame, bucket: _Bucket, ends: bool) -> DataFrame:
     return ordered.mapInArrow(walk, _WALK_SCHEMA)
 
 
-def _mod(value: Column, divisor: int) -> Column:
-    return F.pmod(value, F.lit(divisor))
-
-
 def _first_guess(spans: DataFrame, bucket: _Bucket, chunk_micros: int) -> DataFrame:
     """Where each chunk might start. A busy client is taken to be out of whole tokens, the rest of a
     token following from the time since its bucket was last known full; a quiet one to be full."""
@@ -263,7 +267,7 @@ def token_bucket_quota(
         whole = instants.select("client", F.lit(0).cast("long").alias("chunk"), "us", "n", no_start)
         short = _walk(whole, bucket, ends=False)
     else:
-        chunk = F.when(F.col("_hot"), F.floor(F.col("us") / F.lit(chunk_micros))).otherwise(0).cast("long")
+        chunk = F.when(F.col("_hot"), _floor_to(F.col("us"), chunk_micros)).otherwise(F.lit(0).cast("long"))
         chunked = instants.join(hot, "client", "left").select(
             "client", chunk.alias("chunk"), "us", "n", no_start, "_hot"
         )

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from minutemill.schema import EVENT_COLUMNS
 from minutemill.sources.json_lines import parse_event_json
@@ -18,7 +19,8 @@ class EventLog:
     """Where the log is and how much of it one micro-batch may take.
 
     `format` is "kafka" (needs the Kafka connector on the cluster) or "json" for files of records
-    with the same three columns.
+    with the same three columns. With `min_records_per_batch` a Kafka batch waits until it is that
+    large or `max_delay` has passed, whichever comes first.
     """
 
     format: str
@@ -26,10 +28,16 @@ class EventLog:
     topic: str = "events"
     max_records_per_batch: int = 1_000_000
     max_files_per_batch: int = 1_000
+    min_records_per_batch: int | None = None
+    max_delay: str = "10s"
     options: dict[str, str] = field(default_factory=dict)
 
     def read_options(self) -> dict[str, str]:
         if self.format == "kafka":
+            waiting = {}
+            if self.min_records_per_batch is not None:
+                waiting["minOffsetsPerTrigger"] = str(self.min_records_per_batch)
+                waiting["maxTriggerDelay"] = self.max_delay
             return {
                 "kafka.bootstrap.servers": self.location,
                 "subscribe": self.topic,
@@ -37,6 +45,7 @@ class EventLog:
                 "maxOffsetsPerTrigger": str(self.max_records_per_batch),
                 # A gap in the log is an error, not something to skip quietly.
                 "failOnDataLoss": "true",
+                **waiting,
                 **self.options,
             }
         return {"maxFilesPerTrigger": str(self.max_files_per_batch), **self.options}
@@ -66,13 +75,28 @@ def write_event_log(events: DataFrame, log: EventLog) -> None:
         records.write.mode("append").json(log.location)
 
 
+def write_event_log_stream(
+    events: DataFrame, log: EventLog, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Forward a stream of events to the log."""
+    records = encode_records(events)
+    if log.format == "kafka":
+        writer = records.drop("timestamp").writeStream.format("kafka")
+        writer = writer.option("kafka.bootstrap.servers", log.location).option("topic", log.topic)
+    else:
+        writer = records.writeStream.format("json").option("path", log.location)
+    writer = writer.options(**log.options).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
 def read_event_log(spark: SparkSession, log: EventLog, streaming: bool = True) -> DataFrame:
     """Raw records of the log, in bounded micro-batches when streaming."""
     reader = (spark.readStream if streaming else spark.read).format(log.format)
     if log.format == "kafka":
         options = log.read_options()
         if not streaming:
-            options.pop("maxOffsetsPerTrigger")
+            for limit in ("maxOffsetsPerTrigger", "minOffsetsPerTrigger", "maxTriggerDelay"):
+                options.pop(limit, None)
         records = reader.options(**options).load()
     else:
         records = reader.schema(_RECORD).options(**log.read_options()).load(log.location)

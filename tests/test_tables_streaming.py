@@ -16,7 +16,14 @@ from minutemill.operators.uniques import uniques_range
 from minutemill.plans import inputs
 from minutemill.schema import EVENT_COLUMNS
 from minutemill.session import scratch_path
-from minutemill.sources.event_log import EventLog, decode_records, encode_records, read_event_log, write_event_log
+from minutemill.sources.event_log import (
+    EventLog,
+    decode_records,
+    encode_records,
+    read_event_log,
+    write_event_log,
+    write_event_log_stream,
+)
 from minutemill.sources.tables import EventTables
 from minutemill.streaming import ingest, live
 from tests.conftest import SF_DIR, rows_of
@@ -181,6 +188,18 @@ def test_kafka_options_bound_a_batch_and_refuse_gaps():
     options = EventLog("kafka", "broker:9092", topic="clicks", max_records_per_batch=500).read_options()
     assert options["maxOffsetsPerTrigger"] == "500" and options["failOnDataLoss"] == "true"
     assert options["subscribe"] == "clicks" and options["kafka.bootstrap.servers"] == "broker:9092"
+    assert "minOffsetsPerTrigger" not in options
+    waiting = EventLog("kafka", "broker:9092", min_records_per_batch=1_000, max_delay="200ms").read_options()
+    assert (waiting["minOffsetsPerTrigger"], waiting["maxTriggerDelay"]) == ("1000", "200ms")
+
+
+def test_log_can_be_forwarded_as_a_stream(spark, root):
+    source, copy = EventLog("json", f"{root}/log"), EventLog("json", f"{root}/copy")
+    write_event_log(inputs.events(spark, SF_DIR), source)
+    stream = decode_records(read_event_log(spark, source)).select(*EVENT_COLUMNS)
+    write_event_log_stream(stream, copy, f"{root}/cp", ONCE).awaitTermination()
+    both = [rows_of(decode_records(read_event_log(spark, log, streaming=False)), *EVENT_COLUMNS) for log in (source, copy)]
+    assert both[0] == both[1] and len(both[0]) == 1_000
 
 
 def test_records_are_keyed_by_name(spark, events_of):
