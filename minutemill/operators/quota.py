@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -150,15 +151,15 @@ def _walk(rows: DataFrame, bucket: _Bucket, ends: bool) -> DataFrame:
                     passed, tokens, last, was_full = all_pass(us, n, tokens, last)
                     full = full or was_full
                     us, n = us[passed:], n[passed:]
-                for time, count in zip(us.tolist(), n.tolist()):
+                for time, asked in zip(us.tolist(), n.tolist()):
                     tokens += (time - last) * refill
                     if tokens >= cap:
                         tokens, full = cap, True
                     last = time
-                    through = min(count, tokens // token)
+                    through = min(asked, tokens // token)
                     tokens -= through * token
-                    if through < count and not ends:
-                        out.append((*key, time, count, through, "short"))
+                    if through < asked and not ends:
+                        out.append((*key, time, asked, through, "short"))
             yield pack(out)
         out = []
         finish(out)
@@ -185,19 +186,29 @@ def _first_guess(spans: DataFrame, bucket: _Bucket, chunk_micros: int) -> DataFr
     )
 
 
-def _next_guess(walked: DataFrame, chunks: DataFrame, bucket: _Bucket) -> DataFrame:
-    """Starts from the ends of the chunks before, with `wrong` where the start used differs.
+def _outcomes(walked: DataFrame, guess: DataFrame) -> DataFrame:
+    """(client, chunk, fresh, used, end, full, at): how each walked chunk started and ended."""
+
+    def value(kind: str, column: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    ends = walked.groupBy("client", "chunk").agg(
+        value("start", "tokens").alias("used"),
+        value("end", "tokens").alias("end"),
+        value("end", "n").alias("full"),
+        F.max("us").alias("at"),
+    )
+    return guess.select("client", "chunk", "fresh").join(ends, ["client", "chunk"])
+
+
+def _next_guess(outcomes: DataFrame, bucket: _Bucket) -> DataFrame:
+    """Starts from the ends of the chunks before; `changed` where another start was used.
 
     Requests take whole tokens, so between two moments at which the bucket is full the part below
     one token depends on time alone. It is carried forward from the last full moment, which puts
-    a whole run of busy chunks right in one round.
+    a whole run of busy chunks right in one round. The earliest chunk of a client whose start is
+    not yet the end before it always changes, so no wrong start is left when none changes.
     """
-    state = walked.groupBy("client", "chunk").agg(
-        F.max(F.when(F.col("kind") == "end", F.col("tokens"))).alias("end"),
-        F.max(F.when(F.col("kind") == "end", F.col("n"))).alias("full"),
-        F.max(F.when(F.col("kind") == "start", F.col("tokens"))).alias("used"),
-        F.max("us").alias("at"),
-    )
     by_time = Window.partitionBy("client").orderBy("chunk")
     before = by_time.rowsBetween(Window.unboundedPreceding, -1)
     anchor = F.when((F.col("full") == 1) | F.col("fresh"), F.struct("end", "at"))
@@ -206,14 +217,35 @@ def _next_guess(walked: DataFrame, chunks: DataFrame, bucket: _Bucket) -> DataFr
     )
     whole = F.col("_end") - _mod(F.col("_end"), bucket.token)
     return (
-        state.join(chunks.select("client", "chunk", "fresh"), ["client", "chunk"])
-        .withColumn("_anchor", F.last(anchor, ignorenulls=True).over(before))
+        outcomes.withColumn("_anchor", F.last(anchor, ignorenulls=True).over(before))
         .withColumn("_end", F.lag("end").over(by_time))
         .withColumn("us", F.lag("at").over(by_time))
-        .withColumn("wrong", ~F.col("fresh") & (F.col("used") != F.col("_end")))
         .withColumn("start", F.least(whole + remainder, F.lit(bucket.cap)))
-        .select("client", "chunk", "fresh", F.when(~F.col("fresh"), F.col("us")).alias("us"), "start", "wrong")
+        .withColumn("changed", ~F.col("fresh") & (F.col("used") != F.col("start")))
+        .select(
+            "client", "chunk", "fresh", F.when(~F.col("fresh"), F.col("us")).alias("us"), "start", "changed"
+        )
+    )
+
+
+def _settled_starts(busy: DataFrame, bucket: _Bucket, chunk_micros: int, folder: str) -> DataFrame:
+    """The true start of every chunk: walk all from a guess, then walk again what was wrong."""
+    keys = ["client", "chunk"]
+    spans = busy.groupBy(*keys).agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.sum("n").alias("total")
     )
+    guess = _saved(_first_guess(spans, bucket, chunk_micros), folder, "guess-0")
+    walked = _walk(busy.unionAll(_start_rows(guess)), bucket, ends=True)
+    outcomes = _saved(_outcomes(walked, guess), folder, "outcomes-0")
+    for number in count(1):
+        guess = _saved(_next_guess(outcomes, bucket), folder, f"guess-{number}")
+        changed = guess.filter("changed").drop("changed")
+        if changed.isEmpty():
+            return guess.drop("changed")
+        again = busy.join(changed.select(*keys), keys, "left_semi")
+        walked = _walk(again.unionAll(_start_rows(changed)), bucket, ends=True)
+        kept = outcomes.join(changed.select(*keys), keys, "left_anti")
+        outcomes = _saved(kept.unionByName(_outcomes(walked, changed)), folder, f"outcomes-{number}")
 
 
 def _saved(rows: DataFrame, folder: str, name: str) -> DataFrame:
@@ -272,18 +304,7 @@ def token_bucket_quota(
             "client", chunk.alias("chunk"), "us", "n", no_start, "_hot"
         )
         busy = chunked.filter(F.col("_hot")).drop("_hot")
-        spans = busy.groupBy("client", "chunk").agg(
-            F.min("us").alias("first"), F.max("us").alias("last"), F.sum("n").alias("total")
-        )
-        guess = _saved(_first_guess(spans, bucket, chunk_micros), folder, "guess-0")
-        chunks, number = guess, 0
-        while True:
-            number += 1
-            walked = _walk(busy.unionAll(_start_rows(guess)), bucket, ends=True)
-            following = _saved(_next_guess(walked, chunks, bucket), folder, f"guess-{number}")
-            if following.filter("wrong").isEmpty():
-                break
-            guess = following
+        guess = _settled_starts(busy, bucket, chunk_micros, folder)
         short = _walk(chunked.drop("_hot").unionAll(_start_rows(guess)), bucket, ends=False)
     short = _saved(short.select("client", "us", F.col("tokens").alias("_passed")), folder, "short")
     return _judge(requests, short, bucket.burst)
