@@ -34,10 +34,7 @@ def id_remainder(modulus: int) -> Column:
 
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Apply fn(RecordBatch) -> iterator of {column: values} to each Arrow batch of each task."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,11 +49,15 @@ def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+    "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()),
+}
+
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow form of a list "name type, ..." of the types used here; works inside tasks."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
 def slices(batch: pa.RecordBatch, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -73,3 +74,67 @@ def slices(batch: pa.RecordBatch, chars: int = 4 << 20) -> Iterator[pa.RecordBat
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+_WORD_HASHES: dict[bytes, int] = {}
+
+
+def hashed_words(text: str, most: int = 400_000):
+    """64-bit hashes of a text's lower-cased (A-Z) words, as a numpy array."""
+    import numpy as np
+    import xxhash
+
+    words = text.encode().lower().split()
+    known = _WORD_HASHES
+    if len(known) > most:
+        known.clear()
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh3_64_intdigest(word)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(text: str, size: int = 5):
+    """Sorted distinct 64-bit hashes of a text's shingles; fewer words than `size` are one shingle."""
+    import numpy as np
+
+    words = hashed_words(text)
+    n = len(words)
+    if n == 0:
+        return words
+    count = max(1, n - size + 1)
+    h = np.full(count, min(n, size), np.uint64)
+    for k in range(min(n, size)):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + count]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable over (a, b) links; nodes without links are absent.
+
+    Every round takes the smallest label among a node and its neighbours, then the label of that label,
+    so long chains shrink fast. Each round is written to the shared folder, which cuts the lineage.
+    """
+    from minutemill.session import scratch_path
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "components")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nearest = both.groupBy("a").agg(F.min("b").alias("b"))
+    labels = written(nearest.select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
+        least = seen.union(labels).groupBy("node").agg(F.min("component").alias("_low"))
+        jump = labels.select(F.col("node").alias("_low"), F.col("component").alias("_jump"))
+        moved = least.join(jump, "_low", "left").join(labels, "node")
+        new = written(
+            moved.select("node", F.least("_low", "_jump").alias("component"), F.col("component").alias("_was"))
+        )
+        labels = new.select("node", "component")
+        if new.filter("component <> _was").isEmpty():
+            return labels

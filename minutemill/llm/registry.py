@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from minutemill.llm import bpe, language, orc_ids, packing, quality
+from minutemill.llm import bpe, jaccard, language, orc_ids, packing, quality
 
-MODULES = (bpe, language, quality, packing, orc_ids)
+MODULES = (bpe, language, quality, jaccard, packing, orc_ids)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
