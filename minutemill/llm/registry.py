@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from minutemill.llm import bpe, jaccard, language, orc_ids, packing, quality, suffix_dedup
+from minutemill.llm import bpe, jaccard, language, orc_ids, packing, pitman_yor, quality, suffix_dedup
 
-MODULES = (bpe, language, quality, jaccard, packing, orc_ids, suffix_dedup)
+MODULES = (pitman_yor, bpe, language, quality, jaccard, packing, orc_ids, suffix_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
