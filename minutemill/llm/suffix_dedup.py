@@ -317,14 +317,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counts what is left. A null doc_id stays as it is.
     """
     found = removed_passages(docs, with_text=True).filter("n_removed > 0")
-    kept = F.col("kept")
-    changed = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), kept.alias("_kept")).distinct()
-    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (own == F.col("_hash")), "left")
-    clean = F.when(F.col("_id").isNull(), F.col("text")).otherwise(_decode(F.col("_kept")))
-    columns = [clean.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    changed = found.select("doc_id", "text_hash", "kept").distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = (docs["doc_id"] == changed["doc_id"]) & (own == changed["text_hash"])
+    text = F.when(changed["doc_id"].isNull(), docs["text"]).otherwise(_decode(changed["kept"]))
+    columns = {c: docs[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return docs.join(changed, same, "left").select(*(column.alias(name) for name, column in columns.items()))
 
 
 def _decode(kept):
