@@ -32,7 +32,7 @@ _TEXTS = "block long, ids binary, sizes binary, text binary"
 _HASHES = "target long, block long, hashes binary, counts binary"
 _REGIONS = "target long, kind int, block long, hashes binary, ids binary, owners binary, places binary, sizes binary, text binary"
 _SPANS = "block long, owners binary, places binary, sizes binary"
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text_hash long"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text_hash long"
 
 
 def _blob(values, dtype) -> bytes:
@@ -114,7 +114,7 @@ def _spread(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def removed_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, on request, the bytes kept and text_hash.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, on request, the text kept and text_hash.
 
     Each byte of a text covered by a 50-byte string that also starts in a document with a smaller doc_id
     goes; texts are judged as they came. A null text is empty, a text under 50 bytes stays whole. Rows
@@ -294,7 +294,8 @@ def removed_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
             text_hash = xxhash.xxh64_intdigest(joined[start : start + n], 42) if with_text else 0
             values = (
-                doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None,
+                doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(),
+                kept.decode("utf-8", "ignore") if with_text else None,
                 text_hash - (1 << 64) if text_hash >> 63 else text_hash,
             )
             for c, v in zip(rows, values):
@@ -320,25 +321,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     changed = found.select("doc_id", "text_hash", "kept").distinct()
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = (docs["doc_id"] == changed["doc_id"]) & (own == changed["text_hash"])
-    text = F.when(changed["doc_id"].isNull(), docs["text"]).otherwise(_decode(changed["kept"]))
+    text = F.when(changed["doc_id"].isNull(), docs["text"]).otherwise(changed["kept"])
     columns = {c: docs[c] for c in docs.columns} | {"text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return docs.join(changed, same, "left").select(*(column.alias(name) for name, column in columns.items()))
 
 
-def _decode(kept):
-    """Text of bytes that may begin or break off within a character; such remains go."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else bytes(v).decode("utf-8", "ignore"))
-
-    return decode(kept)
-
-
 def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_passages(read_documents(spark, sf_dir))
 
