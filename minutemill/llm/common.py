@@ -79,7 +79,7 @@ def slices(batch: pa.RecordBatch, chars: int = 4 << 20) -> Iterator[pa.RecordBat
 _WORD_HASHES: dict[bytes, int] = {}
 
 
-def hashed_words(text: str, most: int = 400_000):
+def hashed_words(text: str, most: int = 200_000):
     """64-bit hashes of a text's lower-cased (A-Z) words, as a numpy array."""
     import numpy as np
     import xxhash
