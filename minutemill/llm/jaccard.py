@@ -10,9 +10,10 @@
    each. The lists of these prefix shingles are sorted by set size and cut into blocks. A block's
    first set is its pivot and is compared with the block only; pairs that sizes and positions
    rule out are skipped.
-4. A set linked with a pivot takes over the pivot's answers: pairs that are connected already need no
-   comparison. Pairs of a list that are still apart are compared one by one. Sizes and positions bound
-   these as well; no pair is left out that could change a component.
+4. A set linked with a pivot takes over the pivot's answers: sets that are connected already need no
+   comparison. Components that still meet in a list are compared part by part, sets sorted by size and parts
+   skipped by size; the common counts of a set are derived from those of the set before it. Tasks return
+   links that connect components and no pairs, and no pair is left out that could change a component.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from minutemill.llm.common import arrow_schema, components, id_and_text, read_documents, shingle_hashes, to_batch
 from minutemill.session import scratch_path
 
-# Documents, and shingles, of a block; sets of a block of a prefix list.
-BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK = 60_000, 1 << 20, 64
+# Documents, and shingles, of a block; sets of a block of a prefix list; sets of a part of a group.
+BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK, PART_SETS = 60_000, 1 << 20, 64, 512
 LOCAL = 0xFFFF  # in place of a document's number: the block knows the documents itself
 
 _PARCEL = "target long, kind int, block long, hashes binary, numbers binary, counts binary"
@@ -212,6 +213,94 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _compared(spark: SparkSession, sets: DataFrame, lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a list, as few as connect them: (a, b).
+
+    Components that meet in lists form a group. Its sets are sorted by size and cut into parts of
+    PART_SETS; every two parts whose sizes can match go to one task, which returns links but no pairs.
+    """
+    named = lists.join(labels.select("node", "component"), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    over = Window.partitionBy("token")
+    least, most = F.min("component").over(over).alias("least"), F.max("component").over(over).alias("most")
+    path = scratch_path(spark, "jaccard-open")
+    named.select("node", "n", "component", least, most).filter("least <> most").distinct().write.parquet(path)
+    open_ = spark.read.schema("node long, n long, component long, least long, most long").parquet(path)
+    groups = components(spark, open_.select(F.col("component").alias("a"), F.col("least").alias("b")).filter("a <> b"))
+    members = open_.select("node", "n", "component").distinct().join(
+        groups.select(F.col("node").alias("component"), F.col("component").alias("team")), "component"
+    )
+    place = F.row_number().over(Window.partitionBy("team").orderBy("n", "node")) - 1
+    path = scratch_path(spark, "jaccard-teams")
+    members.withColumn("part", F.floor(place / PART_SETS)).write.parquet(path)
+    members = spark.read.schema("component long, node long, n long, team long, part long").parquet(path)
+    sizes = members.groupBy("team", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = sizes.select("team", F.col("part").alias("part2"), F.col("low").alias("low2"))
+    pairs = sizes.join(other, "team").filter((F.col("part2") >= F.col("part")) & (100 * F.col("high") >= percent * F.col("low2")))
+    pairs = pairs.select("team", "part", "part2")
+    near = members.join(pairs, ["team", "part"]).select("team", "part", "part2", "node", "component", F.lit(1).alias("side"))
+    far = pairs.filter("part < part2").join(members.withColumnRenamed("part", "part2"), ["team", "part2"])
+    sent = near.union(far.select("team", "part", "part2", "node", "component", F.lit(2))).join(sets, "node")
+    return sent.groupBy("team", "part", "part2").applyInArrow(lambda table: _links_of(table, percent), "a long, b long")
+
+
+def _links_of(table: pa.Table, percent: int) -> pa.Table:
+    """Links that join components among the sets of one part, or between those of two.
+
+    The common counts of a set with all others come from those of the set before it: plus the lists of the
+    shingles it has gained, minus the lists of those it has lost. Only where more than half
+    of a set differs are they counted anew.
+    """
+    rows = table.sort_by([("side", "ascending"), ("node", "ascending")])
+    node, own, n, side = (np.array(rows.column(c)) for c in ("node", "component", "n", "side"))
+    tokens = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
+    lengths = np.array([len(t) for t in tokens])
+    distinct, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    second = np.nonzero(side == 2)[0] if (side == 2).any() else np.arange(len(node))
+    holder = np.repeat(np.arange(len(node)), lengths)
+    listed = np.isin(holder, second)
+    order = np.argsort(at[listed], kind="stable")
+    lists = holder[listed][order]
+    starts = np.searchsorted(at[listed][order], np.arange(len(distinct) + 1))
+
+    def count(which: np.ndarray) -> np.ndarray:
+        size = starts[which + 1] - starts[which]
+        places = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[which], size)
+        return np.bincount(lists[places], minlength=len(node))
+
+    root = {c: c for c in own.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    a, b = [], []
+    last, common = np.zeros(0, np.int64), np.zeros(len(node), np.int64)
+    has = np.zeros(len(distinct), bool)
+    for i in np.nonzero(side == 1)[0].tolist():
+        mine = at[ends[i] : ends[i + 1]]
+        gained = mine[~has[mine]]
+        has[last] = False
+        has[mine] = True
+        lost = last[~has[last]]
+        if 2 * (len(gained) + len(lost)) < len(mine):
+            common = common + count(gained) - count(lost)
+        else:
+            common = count(mine)
+        last = mine
+        linked = np.nonzero(100 * common >= percent * (n[i] + n - common))[0]
+        for j in linked[own[linked] != own[i]].tolist():
+            x, y = top(int(own[i])), top(int(own[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that a document reaches over links.
 
@@ -255,28 +344,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links = spark.read.schema("a long, b long").parquet(links_path)
     labels = components(spark, links)
 
-    # Lists whose sets are all connected are done; in the others, pairs still apart are compared.
-    named = lists.join(labels.select("node", "component"), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    over = Window.partitionBy("token")
-    open_ = (
-        named.withColumn("_lo", F.min("component").over(over)).withColumn("_hi", F.max("component").over(over))
-        .filter("_lo <> _hi").drop("_lo", "_hi")
-    )
-    open_path = scratch_path(spark, "jaccard-open")
-    open_.write.parquet(open_path)
-    open_ = spark.read.schema(open_.schema).parquet(open_path)
-    other = open_.select(
-        "token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("_other")
-    )
-    apart = (
-        open_.join(other, "token")
-        .filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("_other")) & fits)
-        .filter(reachable >= _needed(n, m, percent))
-        .select(F.col("node").alias("a"), "b").distinct()
-    )
     late_path = scratch_path(spark, "jaccard-late")
-    _linked(sets, apart, percent).write.parquet(late_path)
+    _compared(spark, sets, lists, labels, percent).write.parquet(late_path)
     late = spark.read.schema("a long, b long").parquet(late_path)
     if not late.isEmpty():
         labels = components(spark, links.union(late))
