@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from minutemill.llm.bwt import window_minimum
 from minutemill.llm.common import arrow_schema, id_and_text, read_documents, to_batch
@@ -28,33 +27,36 @@ BLOCK_BYTES = 4 << 20
 # Bytes of strings whose transforms are merged at a time; strings of one hash are never parted.
 MERGE_BYTES = 2 << 20
 
-_TEXTS = "block long, ids binary, sizes binary, text binary"
+_TEXTS = "block long, ids binary, sizes binary, text binary, rest binary"
 _HASHES = "target long, block long, hashes binary, counts binary"
 _REGIONS = "target long, kind int, block long, hashes binary, ids binary, owners binary, places binary, sizes binary, text binary"
 _SPANS = "block long, owners binary, places binary, sizes binary"
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text_hash long"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _blob(values, dtype) -> bytes:
     return np.ascontiguousarray(values, dtype).tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """(block number, ids, texts); the same for every reading of the same task's rows."""
+def _blocks(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int):
+    """(block number, ids, texts, rows); the same for every reading of the same task's rows."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 24
-    ids, texts, held = [], [], 0
+    ids, texts, rows, held = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        begin = 0
+        for i, (doc_id, text) in enumerate(zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()), 1):
             ids.append(doc_id)
-            texts.append(text.encode())
+            texts.append((text or "").encode())
             held += len(texts[-1])
             if held >= BLOCK_BYTES or len(ids) >= 50_000:
-                yield number, ids, texts
-                number, ids, texts, held = number + 1, [], [], 0
+                yield number, ids, texts, [*rows, batch.slice(begin, i - begin)]
+                number, ids, texts, rows, held, begin = number + 1, [], [], [], 0, i
+        if begin < batch.num_rows:
+            rows.append(batch.slice(begin))
     if ids:
-        yield number, ids, texts
+        yield number, ids, texts, rows
 
 
 _RNG = np.random.Generator(np.random.PCG64(50))
@@ -113,30 +115,59 @@ def _spread(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def removed_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, on request, the text kept and text_hash.
+def removed_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256).
 
     Each byte of a text covered by a 50-byte string that also starts in a document with a smaller doc_id
     goes; texts are judged as they came. A null text is empty, a text under 50 bytes stays whole. Rows
     with a null doc_id are left out. Rows with the same doc_id are judged one by one and never against
     each other. Other columns are left behind, an empty table gives an empty one.
     """
+    target = arrow_schema(_RESULT)
+
+    def digest(ids: np.ndarray, texts: list[bytes], masks: list[np.ndarray], rest: bytes) -> pa.Table:
+        rows = {c: [] for c in target.names}
+        for doc_id, text, mask in zip(ids.tolist(), texts, masks):
+            removed = int(mask.sum())
+            spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
+            for c, v in zip(rows, (doc_id, len(text), removed, spans, hashlib.sha256(_left(text, mask)).hexdigest())):
+                rows[c].append(v)
+        return pa.Table.from_batches([to_batch(rows, target)])
+
+    return _removal(id_and_text(docs.filter("doc_id IS NOT NULL")), False, digest, _RESULT)
+
+
+def _left(text: bytes, mask: np.ndarray) -> bytes:
+    return np.frombuffer(text, np.uint8)[~mask].tobytes() if mask.any() else text
+
+
+def _removal(docs: DataFrame, with_rows: bool, finish, result) -> DataFrame:
+    """finish(ids, texts, masks of removed bytes, the block's rows as an Arrow stream) for every block."""
     import zstandard
 
     spark = docs.sparkSession
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hashes_schema, regions_schema = arrow_schema(_HASHES), arrow_schema(_REGIONS)
-    texts_schema, spans_schema, result_schema = arrow_schema(_TEXTS), arrow_schema(_SPANS), arrow_schema(_RESULT)
+    texts_schema, spans_schema = arrow_schema(_TEXTS), arrow_schema(_SPANS)
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block, ids, texts in _blocks(batches):
-            sizes = [len(t) for t in texts]
-            row = {"block": [block], "ids": [_blob(ids, "<i8")], "sizes": [_blob(sizes, "<i8")]}
-            yield to_batch(row | {"text": [squeeze(b"".join(texts))]}, texts_schema)
+        for block, ids, texts, rows in _blocks(batches, *at):
+            stream = pa.BufferOutputStream()
+            if with_rows:
+                others = [batch.set_column(at[1], "text", pa.nulls(batch.num_rows)) for batch in rows]
+                with pa.ipc.new_stream(stream, others[0].schema) as out:
+                    for batch in others:
+                        out.write_batch(batch)
+            columns = {
+                "block": [block], "ids": [_blob(ids, "<i8")], "sizes": [_blob([len(t) for t in texts], "<i8")],
+                "text": [squeeze(b"".join(texts))], "rest": [squeeze(stream.getvalue().to_pybytes())],
+            }
+            yield to_batch(columns, texts_schema)
 
     def count_hashes(batches):
-        for block, _, texts in _blocks(batches):
+        for block, _, texts, _ in _blocks(batches, *at):
             unique, counts = np.unique(regions(texts)[0], return_counts=True)
             place = _spread(unique, buckets)
             order = np.argsort(place, kind="stable")
@@ -272,8 +303,6 @@ def removed_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return pa.Table.from_batches([to_batch(out, spans_schema)])
 
     def remove(text_rows: pa.Table, span_rows: pa.Table) -> pa.Table:
-        if text_rows.num_rows == 0:
-            return pa.Table.from_batches([], schema=result_schema)
         ids, sizes, joined = unpack(text_rows)
         starts = np.cumsum(sizes) - sizes
         edges = np.zeros(len(joined) + 1, np.int32)
@@ -283,49 +312,43 @@ def removed_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             np.add.at(edges, begin, 1)
             np.add.at(edges, begin + size, -1)
         gone = np.cumsum(edges[:-1]) > 0
-        text = np.frombuffer(joined, np.uint8)
-        rows = {c: [] for c in result_schema.names}
-        import xxhash
-
-        for doc_id, start, n in zip(ids.tolist(), starts.tolist(), sizes.tolist()):
-            mask = gone[start : start + n]
-            removed = int(mask.sum())
-            kept = text[start : start + n][~mask].tobytes() if removed else joined[start : start + n]
-            spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
-            text_hash = xxhash.xxh64_intdigest(joined[start : start + n], 42) if with_text else 0
-            values = (
-                doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(),
-                kept.decode("utf-8", "ignore") if with_text else None,
-                text_hash - (1 << 64) if text_hash >> 63 else text_hash,
-            )
-            for c, v in zip(rows, values):
-                rows[c].append(v)
-        return pa.Table.from_batches([to_batch(rows, result_schema)])
+        cuts = list(zip(starts.tolist(), (starts + sizes).tolist()))
+        rest = zstandard.ZstdDecompressor().decompress(text_rows.column("rest")[0].as_py()) if with_rows else b""
+        return finish(ids, [joined[a:b] for a, b in cuts], [gone[a:b] for a, b in cuts], rest)
 
-    known = id_and_text(docs.filter("doc_id IS NOT NULL"))
-    texts = known.mapInArrow(pack, _TEXTS)
-    shared = known.mapInArrow(count_hashes, _HASHES).groupBy("target").applyInArrow(find_shared, _HASHES)
+    texts = docs.mapInArrow(pack, _TEXTS)
+    shared = docs.mapInArrow(count_hashes, _HASHES).groupBy("target").applyInArrow(find_shared, _HASHES)
     sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_regions, _REGIONS)
     spans = sent.groupBy("target").applyInArrow(compare, _SPANS)
-    found = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, _RESULT)
-    return found if with_text else found.drop("kept", "text_hash")
+    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(remove, result)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Documents without the passages that an earlier one has; columns and rows as they came.
 
     A character of which only some bytes were covered goes as a whole. n_chars, where there is such a column,
-    counts what is left. A null doc_id stays as it is.
+    counts what is left. A text from which nothing goes stays as it is, null ones too. Rows with a null
+    doc_id stay as they are. Whole rows travel with their block, so no table is joined.
     """
-    found = removed_passages(docs, with_text=True).filter("n_removed > 0")
-    changed = found.select("doc_id", "text_hash", "kept").distinct()
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = (docs["doc_id"] == changed["doc_id"]) & (own == changed["text_hash"])
-    text = F.when(changed["doc_id"].isNull(), docs["text"]).otherwise(changed["kept"])
-    columns = {c: docs[c] for c in docs.columns} | {"text": text}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return docs.join(changed, same, "left").select(*(column.alias(name) for name, column in columns.items()))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(docs.schema)
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def rebuild(ids: np.ndarray, texts: list[bytes], masks: list[np.ndarray], rest: bytes) -> pa.Table:
+        rows = pa.ipc.open_stream(rest).read_all()
+        columns = list(rows.columns)
+        kept = [_left(t, m).decode("utf-8", "ignore") for t, m in zip(texts, masks)]
+        columns[text_at] = pa.chunked_array([pa.array(kept, target.field(text_at).type)])
+        if chars_at is not None:
+            own = columns[chars_at].to_pylist()
+            counts = [len(k) if m.any() else n for k, m, n in zip(kept, masks, own)]
+            columns[chars_at] = pa.chunked_array([pa.array(counts, pa.int64()).cast(target.field(chars_at).type)])
+        return pa.table(columns, schema=target)
+
+    known = _removal(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), True, rebuild, docs.schema)
+    return known.union(docs.filter("doc_id IS NULL OR text IS NULL"))
 
 
 def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
