@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutemill.functions.timing import to_minute
+from minutemill.operators.validate import reject_class
 
 
 def exp_buckets(start: float, factor: float, count: int) -> list[float]:
@@ -107,8 +108,8 @@ def flush_rates(batch_health: DataFrame) -> DataFrame:
 
 
 def rejected_rate_by_reason(rejected: DataFrame) -> DataFrame:
-    """(minute, reason, per_second) from rows (ts, reason)."""
-    return event_rates(rejected.select("ts", F.col("reason").alias("outcome"))).withColumnRenamed(
+    """(minute, reason, per_second) from rows (ts, reason); reasons are counted by their class."""
+    return event_rates(rejected.select("ts", reject_class(F.col("reason")).alias("outcome"))).withColumnRenamed(
         "outcome", "reason"
     )
 

@@ -22,6 +22,11 @@ from minutemill.session import scratch_path
 MICROS = 1_000_000
 
 
+def _named(requests: DataFrame) -> DataFrame:
+    """Requests without a client share the bucket of "unknown"."""
+    return requests.withColumn("client", F.coalesce("client", F.lit("unknown")))
+
+
 def _mod(value: Column, divisor: int) -> Column:
     return F.pmod(value, F.lit(divisor))
 
@@ -38,6 +43,7 @@ def fixed_window_quota(requests: DataFrame, limit: int, window_seconds: int = 1)
     rows per window before the shuffle. The log is then compared with those few rows, a join that
     Spark broadcasts when they are small and splits where a client is skewed.
     """
+    requests = _named(requests)
     if limit <= 0:
         return requests.withColumn("allowed", F.lit(False))
     stamped = requests.withColumn("_w", _floor_to(F.unix_micros("ts"), window_seconds * MICROS))
@@ -282,7 +288,7 @@ def token_bucket_quota(
     client right, usually all of them, and the loop ends when all starts agree with all ends, so
     the result is exact.
     """
-    bucket = _Bucket(rate, burst)
+    bucket, requests = _Bucket(rate, burst), _named(requests)
     spark = requests.sparkSession
     folder = scratch_path(spark, "quota")
     chunk_micros = chunk_seconds * MICROS

@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 def reconcile(accepted: DataFrame, stored: DataFrame) -> DataFrame:
     """(name, accepted, stored, difference) on distinct ids; every difference must be 0.
 
-    The accepted log may hold copies, so ids are compared, not rows. Both sides are tagged and
-    counted together, which is a full outer join on name without the join.
+    The accepted log may hold copies, also under another name. Each accepted id counts once, under the
+    name of its stored copy, else under that of its first copy (by time where there is one, then name).
     """
-    sides = [
-        side.select("event_id", "name").distinct().select("name", F.lit(tag).alias("_side"))
-        for side, tag in ((accepted, "accepted"), (stored, "stored"))
-    ]
-    counts = (
-        sides[0]
-        .unionAll(sides[1])
-        .groupBy("name")
-        .agg(*[F.count_if(F.col("_side") == tag).alias(tag) for tag in ("accepted", "stored")])
+
+    def side(rows: DataFrame, is_stored: bool) -> DataFrame:
+        time = F.col("ts") if "ts" in rows.columns else F.lit(None)
+        return rows.select("event_id", "name", time.cast("timestamp").alias("ts"), F.lit(is_stored).alias("_stored"))
+
+    first = F.struct(~F.col("_stored"), "ts", "name")
+    ids = (
+        side(accepted, False)
+        .unionAll(side(stored, True))
+        .groupBy("event_id")
+        .agg(
+            F.min_by("name", first).alias("name"),
+            F.bool_or(~F.col("_stored")).cast("long").alias("accepted"),
+            F.bool_or("_stored").cast("long").alias("stored"),
+        )
     )
+    counts = ids.groupBy("name").agg(F.sum("accepted").alias("accepted"), F.sum("stored").alias("stored"))
     return counts.withColumn("difference", F.col("accepted") - F.col("stored"))

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# What clients are told.
+NO_ID, NO_NAME, BAD_BODY = "event_id is required", "name is required", "invalid JSON body"
+
+
 def reject_reason(events: DataFrame) -> Column:
     """First failing check, or null. Empty means exactly ''; a missing user is fine."""
-    reason = F.when(F.coalesce("event_id", F.lit("")) == "", F.lit("event_id is required")).when(
-        F.coalesce("name", F.lit("")) == "", F.lit("name is required")
+    reason = F.when(F.coalesce("event_id", F.lit("")) == "", F.lit(NO_ID)).when(
+        F.coalesce("name", F.lit("")) == "", F.lit(NO_NAME)
     )
     if "malformed" in events.columns:
-        reason = F.when(F.col("malformed"), F.lit("invalid JSON body")).otherwise(reason)
+        reason = F.when(F.col("malformed"), F.lit(BAD_BODY)).otherwise(reason)
     return reason
 
 
@@ -28,8 +32,8 @@ def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reject_class(reason: Column) -> Column:
-    """The coarse class that rejections are counted by: every failed check is 'invalid'."""
-    return F.when(reason == "rate_limited", reason).when(reason.isNotNull(), F.lit("invalid"))
+    """The class that rejections are counted by: a failed check is 'invalid', any other reason is its own."""
+    return F.when(reason.isin(NO_ID, NO_NAME, BAD_BODY), F.lit("invalid")).otherwise(reason)
 
 
 def reject_counts(rejected: DataFrame) -> DataFrame:

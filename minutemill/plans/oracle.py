@@ -468,7 +468,7 @@ outcomes AS (
     ),
     "rejected_rate_by_reason": _with(
         _LINES,
-        f"""SELECT {_MINUTE} AS minute, reason, count(*) / 60.0::DOUBLE AS per_second
+        f"""SELECT {_MINUTE} AS minute, 'invalid' AS reason, count(*) / 60.0::DOUBLE AS per_second
             FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     ),
     "latency_percentiles": """WITH sorted AS (

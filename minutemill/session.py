@@ -36,7 +36,7 @@ def conf_for_input(total_bytes: int, partition_bytes: int = 256 << 20) -> dict[s
     The number of shuffle partitions is an upper limit: adaptive execution joins small ones up to
     the advisory size and splits skewed ones.
     """
-    partitions = min(max(-(-total_bytes // partition_bytes), 200), 100_000)
+    partitions = max(-(-total_bytes // partition_bytes), 200)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),

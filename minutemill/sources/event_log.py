@@ -116,4 +116,4 @@ def stamp_ingest_time(events: DataFrame, arrival: str = "timestamp") -> DataFram
 
 def decode_records(records: DataFrame) -> DataFrame:
     """Records to events with a `malformed` flag; bad records stay as rows and stop nothing."""
-    return stamp_ingest_time(parse_event_json(records)).select("value", "malformed", *EVENT_COLUMNS)
+    return stamp_ingest_time(parse_event_json(records, max_bytes=None, with_ts=True)).select("value", "malformed", *EVENT_COLUMNS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -157,19 +158,36 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the stream. Batches of the log are stored until they succeed and are never dropped.
 
-    A crash repeats the unfinished batch under the same number, which overwrites what the first
-    attempt left. Keep one `checkpoint` per `writer`: numbers start again with a new checkpoint.
+    A crash repeats the unfinished batch under the same name, which overwrites what the first
+    attempt left. Names hold the query's id, which the checkpoint keeps: with a new checkpoint, numbers
+    start again but names do not.
     """
 
-    def store(batch: DataFrame, number: int) -> None:
-        ingest_records(tables, batch, batch_name(number, writer), **options)
+    def store(batch: DataFrame, name: str, _: str) -> None:
+        ingest_records(tables, batch, name, **options)
 
-    return (
-        records.writeStream.foreachBatch(store)
+    return _start(records, store, checkpoint, writer, trigger)
+
+
+def _start(
+    rows: DataFrame, store: Callable[[DataFrame, str, str], None], checkpoint: str, writer: str, trigger: dict | None
+) -> StreamingQuery:
+    """Run store(batch, batch name, prefix of this query's batch names) on every micro-batch."""
+    known, prefix = threading.Event(), []
+
+    def with_name(batch: DataFrame, number: int) -> None:
+        known.wait()
+        store(batch, batch_name(number, prefix[0]), f"{prefix[0]}-")
+
+    query = (
+        rows.writeStream.foreachBatch(with_name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
+    prefix.append(f"{writer}-{query.id}")
+    known.set()
+    return query
 
 
 def ingest_stream_with_state(
@@ -184,26 +202,25 @@ def ingest_stream_with_state(
 
     A micro-batch then costs what it holds and does not read history: the form for small, frequent
     batches over years of ids. State lives in RocksDB and is spread by event_id. Uniques follow
-    the stored events, bad records are left to `quarantine_stream`, and the first batch of a new
-    checkpoint knows no ids, so this cannot take over tables that already hold events.
+    the stored events and bad records are left to `quarantine_stream`. Events that other queries or an
+    earlier checkpoint have stored are not in the state; where there are any, each batch is compared
+    with their ids as well.
     """
+    others: list[bool] = []
 
-    def store(batch: DataFrame, number: int) -> None:
+    def store(batch: DataFrame, name: str, prefix: str) -> None:
         received = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            name = batch_name(number, writer)
-            _store(tables, received, name, uniques_over="inserted", portable=portable, only_new=True)
+            seen = tables.events().filter(~F.col("batch_id").startswith(prefix))
+            if not others:
+                others.append(not seen.isEmpty())
+            fresh = {"only_new": True} if not others[0] else {"history": lambda _: seen}
+            _store(tables, received, name, uniques_over="inserted", portable=portable, **fresh)
         finally:
             received.unpersist()
 
     accepted, _ = validate_events(decode_records(records))
-    return (
-        dedupe_stream(accepted.select(*EVENT_COLUMNS))
-        .writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    return _start(dedupe_stream(accepted.select(*EVENT_COLUMNS)), store, checkpoint, writer, trigger)
 
 
 def quarantine_stream(

@@ -38,9 +38,14 @@ def dedupe_stream(events: DataFrame) -> DataFrame:
 
 
 def dedupe_stream_bounded(events: DataFrame, horizon: str) -> DataFrame:
-    """Each event_id once within `horizon`; a copy that comes later than that counts again."""
-    timed = drop_nearby_copies(events).withWatermark("ts", horizon)
-    return timed.dropDuplicatesWithinWatermark(["event_id"])
+    """Each event_id once within `horizon`; a copy that comes later than that counts again.
+
+    The horizon is one of arrival, the time of the micro-batch, which only moves forward. So state ends but no
+    row is ever late: an event is kept however old its own time is.
+    """
+    arrived = drop_nearby_copies(events).withColumn("_arrival", F.current_timestamp())
+    timed = arrived.withWatermark("_arrival", horizon)
+    return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("_arrival")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -9,7 +9,7 @@ def test_partitions_follow_the_input():
 
     assert partitions(1 << 20) == 200
     assert partitions(10 << 40) == 40_960
-    assert partitions(100 << 40) == 100_000
+    assert partitions(100 << 40) == 409_600
 
 
 def test_scratch_follows_the_shared_folder(spark):
