@@ -30,7 +30,7 @@ from minutemill.llm.common import arrow_schema, components, id_and_text, read_do
 from minutemill.session import scratch_path
 
 # Documents, and shingles, of a block; sets of a block of a prefix list; sets of a part of a group.
-BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK, PART_SETS = 60_000, 1 << 20, 64, 512
+BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK, PART_SETS = 60_000, 1 << 19, 64, 512
 LOCAL = 0xFFFF  # in place of a document's number: the block knows the documents itself
 
 _PARCEL = "target long, kind int, block long, hashes binary, numbers binary, counts binary"

@@ -156,7 +156,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     target, at = to_arrow_schema(docs.schema), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             if model.languages:
                 langs, scores = predict_texts(model, texts)

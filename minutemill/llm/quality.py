@@ -129,7 +129,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             judged = [judge(t or "") for t in batch.column(at).to_pylist()]
             keep = [i for i, j in enumerate(judged) if j[-2]]
             rows = batch.take(pa.array(keep, pa.int64()))

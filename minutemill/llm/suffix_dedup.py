@@ -23,7 +23,7 @@ from minutemill.llm.bwt import window_minimum
 from minutemill.llm.common import arrow_schema, id_and_text, read_documents, to_batch
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # Bytes of strings whose transforms are merged at a time; strings of one hash are never parted.
 MERGE_BYTES = 2 << 20
 
