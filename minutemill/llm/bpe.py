@@ -71,12 +71,12 @@ class ByteBpe:
         size = self._sp.get_piece_size() - 1
         pieces = [self._sp.id_to_piece(i) for i in range(size)]
         self._bytes = [bytes(back[c] for c in piece) for piece in pieces]
-        self._rank = np.array([-self._sp.get_score(i) for i in range(size)], np.int64)
+        self._rank = np.array([-self._sp.get_score(i) for i in range(size)], "<u4")
         self._whole = {piece: i for i, piece in enumerate(pieces)}
         self._by_rank = dict(zip(self._rank.tolist(), self._bytes))
         self.encode_texts = PartEncoder(self._encode_parts)
 
-    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Each match of the pattern apart; a match that is a piece as a whole is that piece."""
         matches = [self._matches(part) for part in parts]
         mapped = {
@@ -86,7 +86,7 @@ class ByteBpe:
         rest = [m for m in mapped if m not in known]
         known.update(zip(rest, self._sp.encode([mapped[m] for m in rest], num_threads=1)))
         rank = self._rank
-        return [[int(rank[i]) for m in found for i in known[m]] for found in matches]
+        return [rank[np.array([i for m in found for i in known[m]], np.int64)].tobytes() for found in matches]
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of little-endian unsigned 32-bit ids."""
