@@ -79,12 +79,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     The totals per part, one short row for each file, are summed up before the parts; the ids don't
     move.
     """
-    rows = spark.read.schema(ROWS).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    return with_starts(spark, path, spark.read.schema(ROWS).orc(path)).select("doc_id", "start", "n_tokens", "ids")
+
+
+def with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """`rows` with (part, local_start) made from the files at `path`, plus start over all documents."""
+    totals = spark.read.schema(ROWS).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    joined = rows.join(starts, "part")
-    return joined.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(starts, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -93,22 +96,24 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 
 def ids_crc32(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of rows with ids."""
+    """Rows as in the files, with the checksum of their ids in place of the ids."""
 
     def digest(batch):
         ids = batch.column("ids")
         ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
         sums = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-        same = {c: batch.column(c) for c in ("doc_id", "start", "n_tokens")}
+        same = {c: batch.column(c) for c in ("part", "doc_id", "local_start", "n_tokens")}
         yield {**same, "ids_crc32": np.array(sums, np.int64)}
 
-    return map_batches(rows, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows, digest, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
 def op9_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "op9-ids")
     write_ids(token_rows(read_documents(spark, sf_dir), production_model()), path)
-    return ids_crc32(read_ids(spark, path))
+    # Checksums are taken before the starts are joined, so that ids don't move.
+    sums = ids_crc32(spark.read.schema(ROWS).orc(path))
+    return with_starts(spark, path, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op9_orc_ids": op9_orc_ids}
