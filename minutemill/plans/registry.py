@@ -79,8 +79,8 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_of_deliveries(spark: SparkSession, sf_dir: str, root: str) -> EventLog:
-    """A log on files: all events, then the repeated deliveries."""
-    log = EventLog("json", f"{root}/log", max_files_per_batch=64)
+    """A log on files: all events, then the repeated deliveries, in later micro-batches."""
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     again = _received(spark, sf_dir).filter(F.col("event_id").cast("long") % 5 == 0)
     event_log.write_event_log(again, log)
@@ -478,7 +478,7 @@ def ingest_stream(spark, sf_dir):
 def ingest_stream_with_state(spark, sf_dir):
     """As above with known ids in state, then the daily users of the stored events."""
     root = scratch_path(spark, "ingest")
-    log = EventLog("json", f"{root}/log")
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     tables = EventTables(spark, f"{root}/tables").create()
@@ -495,7 +495,7 @@ def ingest_stream_with_state(spark, sf_dir):
 @query
 def live_rollup(spark, sf_dir):
     root = scratch_path(spark, "live")
-    log = EventLog("json", f"{root}/log")
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     stream = _event_stream(spark, log)

@@ -105,6 +105,19 @@ class EventTables:
         marker = self.spark.range(1).coalesce(1).select(*row)
         self._overwrite(marker, "batch_health", batch_id, by_day=False)
 
+    def is_committed(self, batch_id: str) -> bool:
+        """Whether a batch is visible; looks at that batch's marker only."""
+        own = (F.col("batch_id") == F.lit(batch_id)) & F.col("error").isNull()
+        return not self.batch_health().filter(own).isEmpty()
+
+    def withdraw(self, batch_id: str) -> None:
+        """Make a batch invisible before another attempt replaces its files, so that readers see all of it
+        or nothing. Once its deltas are folded into a compacted day it can't be replaced."""
+        if not self._scan("folded").filter(F.col("folded") == F.lit(batch_id)).isEmpty():
+            raise ValueError(f"batch {batch_id} is part of a compacted day and can't be replaced")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('batch_health')}/batch_id={batch_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # -- reading ----------------------------------------------------------------------------
 
     def batch_health(self) -> DataFrame:

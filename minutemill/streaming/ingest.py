@@ -37,10 +37,11 @@ def ingest_batch(
 ) -> None:
     """Store one batch of events and what it adds to counters and sketches.
 
-    Repeating a batch_id replaces its earlier attempt. History is read as one column of ids;
-    `history` may narrow it (for example to recent days) where a bounded memory is acceptable.
-    `portable` also keeps the users as portable registers.
+    Repeating a batch_id replaces its earlier attempt, which readers stop seeing before its files change.
+    History is read as one column of ids; `history` may narrow it (for example to recent days) where
+    a bounded memory is acceptable. `portable` also keeps the users as portable registers.
     """
+    tables.withdraw(batch_id)
     received = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _store(tables, received, batch_id, uniques_over, history, portable)
@@ -159,12 +160,13 @@ def ingest_stream(
     """Start the stream. Batches of the log are stored until they succeed and are never dropped.
 
     A crash repeats the unfinished batch under the same name, which overwrites what the first
-    attempt left. Names hold the query's id, which the checkpoint keeps: with a new checkpoint, numbers
+    attempt left; a batch that was committed before the crash is not touched again. Names hold the query's id, which the checkpoint keeps: with a new checkpoint, numbers
     start again but names do not.
     """
 
     def store(batch: DataFrame, name: str, _: str) -> None:
-        ingest_records(tables, batch, name, **options)
+        if not tables.is_committed(name):
+            ingest_records(tables, batch, name, **options)
 
     return _start(records, store, checkpoint, writer, trigger)
 
@@ -209,6 +211,8 @@ def ingest_stream_with_state(
     others: list[bool] = []
 
     def store(batch: DataFrame, name: str, prefix: str) -> None:
+        if tables.is_committed(name):
+            return
         received = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             seen = tables.events().filter(~F.col("batch_id").startswith(prefix))

@@ -1,5 +1,7 @@
 """Nothing lost, nothing counted twice: restarts, late events, large records, null clients, renamed copies."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,17 @@ def test_reasons_keep_their_class(spark):
     assert rows_of(reject_counts(rows)) == want
     rates = rejected_rate_by_reason(rows.filter("reason IS NOT NULL"))
     assert sorted((r.reason, round(r.per_second * 60)) for r in rates.collect()) == want
+
+
+def test_a_committed_batch_is_replaced_whole_or_not_at_all(spark, root, events_of):
+    tables = EventTables(spark, f"{root}/replaced").create()
+    batch = events_of(("1", "a", "u1", "2024-01-02 01:00:00"))
+    assert not tables.is_committed("b-0")
+    ingest.ingest_batch(tables, batch, "b-0")
+    assert tables.is_committed("b-0") and not tables.is_committed("b-1")
+    tables.withdraw("b-0")
+    assert tables.events().count() == 0
+    ingest.ingest_batch(tables, batch, "b-0")
+    tables.compact_deltas(date(2024, 1, 2))
+    with pytest.raises(ValueError, match="compacted"):
+        ingest.ingest_batch(tables, batch, "b-0")
