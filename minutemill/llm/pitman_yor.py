@@ -1,16 +1,17 @@
 """Hierarchical Pitman-Yor language model over words, with Chinese-restaurant seating by Gibbs sampling.
 
-The context of a word is the word before it, seen through its last two bytes; the restaurant of two bytes
-has that of the last byte as parent, which has the root as parent, whose base is uniform over the
-known words and one unknown word. So there are 65,536 restaurants of the first kind and 256 of the
-second at most, whatever the corpus, while dishes (words) and customers grow with it.
+The context of a word is the word before it. The restaurant of a word has that of the word's last two bytes as
+parent, which has the root, the words without context, as parent; the root's base is uniform over the known words
+and one unknown word. Restaurants of words grow with the corpus as dishes (words) and customers do; only those of two
+bytes, 65,536 at most, and the root go to the driver.
 
 1. Tasks count (word, context, document) in blocks and send them to the bucket of the word. A word that is
    frequent in a block sends its counts there once for each context, and the block keeps the rest.
 2. A sweep seats the customers of every bucket again, given the totals of all restaurants of the sweep
-   before: first the two-byte restaurants, whose tables are the customers of their parents, and so
-   on. Only the totals go to the driver. Sampling is seeded by bucket and sweep, so a bucket's seating
-   is computed again from the totals wherever it is needed, and a lost task costs nothing else.
+   before: first the restaurants of words, whose tables are the customers of their parents, and so
+   on. Totals of the restaurants of words are added up in Spark, by a hash of the context, and sent back to the buckets
+   that hold customers of them; after the first time a bucket sends numbers in a fixed order and no context. A
+   sweep's tables are written out. Sampling is seeded by bucket and sweep, so a lost task gives the same again.
 3. The predictive probabilities of the last `samples` sweeps are averaged; buckets return sums per document.
 """
 
@@ -34,21 +35,29 @@ NO_WORD = 0x2020  # no word has white space in it
 STRENGTH = 1.0
 LEVELS = 3
 
-_PARCEL = "target long, kind int, block long, words binary, at binary, contexts binary, docs binary, counts binary"
+_PARCEL = "target long, kind int, block long, words binary, at binary, contexts binary, before binary, docs binary, counts binary"
 _PARTIAL = "block long, kind int, docs binary, words binary, contexts binary, known binary, base binary, score binary"
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
-def _blob(values, dtype) -> bytes:
+def _blob(values, dtype, steps: bool = False) -> bytes:
+    """Numbers, or their differences, compressed with all first bytes together, then all second ones, and so on."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype).tobytes())
+    values = np.ascontiguousarray(values, dtype)
+    if steps:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
-def _values(blob: bytes, dtype) -> np.ndarray:
+def _values(blob: bytes, dtype, steps: bool = False) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype) if blob else np.zeros(0, dtype)
+    if not blob:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if steps else values
 
 
 class _Block:
@@ -77,19 +86,28 @@ class _Block:
         return self.tokens >= BLOCK_TOKENS or len(self.ids) >= BLOCK_DOCS
 
     def entries(self) -> tuple[np.ndarray, ...]:
-        """Hash of each word; and word, context, document, count of distinct entries."""
+        """Hash of each word in order, and its key as a context; word and context of each pair; pair, document and count of distinct entries.
+
+        A key has the last two bytes of the word in its last 16 bits and 48 bits of the hash before them.
+        """
         import xxhash
 
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.known), np.uint64, len(self.known))
-        tails = np.fromiter((w[-1] | (w[-2] if len(w) > 1 else 0x20) << 8 if w else NO_WORD for w in self.known), np.int64, len(self.known))
-        words = np.concatenate(self.words)
+        tails = np.fromiter((w[-1] | (w[-2] if len(w) > 1 else 0x20) << 8 if w else NO_WORD for w in self.known), np.uint64, len(self.known))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = rank[np.concatenate(self.words)]
         sizes = np.array([len(w) for w in self.words])
-        docs = np.repeat(np.arange(len(sizes)), sizes)
-        context = np.empty(len(words), np.int64)
-        context[1:] = tails[words[:-1]]
-        context[np.cumsum(sizes) - sizes] = NO_WORD
-        keys, counts = np.unique(words << 32 | context << 16 | docs, return_counts=True)
-        return hashes, keys >> 32, keys >> 16 & 0xFFFF, keys & 0xFFFF, counts
+        before = np.empty(len(words), np.int64)
+        before[1:] = words[:-1]
+        before[np.cumsum(sizes) - sizes] = rank[0]
+        pairs, at = np.unique(words * len(order) + before, return_inverse=True)
+        del words, before
+        entries, counts = np.unique(at << 16 | np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+        hashes, keys = hashes[order], (hashes >> np.uint64(16) << np.uint64(16) | tails)[order]
+        found = pairs // len(order), pairs % len(order), entries >> 16, entries & 0xFFFF, counts
+        return hashes, keys, *(x.astype(np.int32) for x in found)
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -98,7 +116,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     number, target = TaskContext.get().partitionId() << 24, arrow_schema(_PARCEL)
 
     def parcels(block: _Block) -> pa.RecordBatch:
-        hashes, word, context, doc, count = block.entries()
+        hashes, keys, pair_word, pair_context, at, doc, count = block.entries()
         rows = {c: [] for c in target.names}
 
         def add(*values):
@@ -109,27 +127,31 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         ids = np.array([-(1 << 63) if i is None else i for i in block.ids], np.int64)
         sizes = np.array([len(w) for w in block.words])
         home = number % buckets
-        add(home, 0, number, _blob(ids, "<i8"), b"", b"", _blob(train, "u1"), _blob(sizes, "<i8"))
-        often = (np.bincount(word, minlength=len(hashes)) >= FREQUENT)[word]
-        kept = word[often], context[often], doc[often], count[often]
-        add(home, 1, number, _blob(hashes[kept[0]], "<u8"), b"", *(_blob(x, t) for x, t in zip(kept[1:], ("<u2", "<u2", "<u4"))))
+        add(home, 0, number, _blob(ids, "<i8"), b"", b"", b"", _blob(train, "u1"), _blob(sizes, "<i8"))
+        often = (np.bincount(pair_word[at], minlength=len(hashes)) >= FREQUENT)[pair_word]
+        kept, own, number_of = often[at], np.nonzero(often)[0], np.cumsum(often, dtype=np.int32) - 1
+        kept_at, kept_doc, kept_count = number_of[at[kept]], doc[kept], count[kept]
+        add(home, 1, number, _blob(hashes[pair_word[own]], "<u8", True), _blob(kept_at, "<u4", True), _blob(keys[pair_context[own]], "<u8", True),
+            b"", _blob(kept_doc, "<u2"), _blob(kept_count, "<u4"))
         # Of frequent words the bucket gets what the documents to learn from have, and each context once.
-        keys, inverse = np.unique(kept[0] << 16 | kept[1], return_inverse=True)
-        learnt = np.bincount(inverse, kept[3] * train[kept[2]], len(keys)).astype(np.int64)
-        rest = ~often
-        word = np.concatenate((word[rest], keys >> 16))
-        context = np.concatenate((context[rest], keys & 0xFFFF))
-        flags = doc[rest] | train[doc[rest]].astype(np.int64) << 16
-        doc = np.concatenate((flags, np.full(len(keys), HOME | 1 << 16)))
+        learnt = np.bincount(kept_at, kept_count * train[kept_doc], len(own)).astype(np.int32)
+        rest = ~kept
+        word = np.concatenate((pair_word[at[rest]], pair_word[own]))
+        context = np.concatenate((pair_context[at[rest]], pair_context[own]))
+        flags = doc[rest] | train[doc[rest]].astype(np.int32) << 16
+        doc = np.concatenate((flags, np.full(len(own), HOME | 1 << 16, np.int32)))
         count = np.concatenate((count[rest], learnt))
-        place = (hashes[word] >> np.uint64(24)) % np.uint64(buckets)
-        order = np.lexsort((word, place))
+        place = (hashes >> np.uint64(24)) % np.uint64(buckets)
+        place = place.astype(np.int32)[word]
+        del pair_word, pair_context, at, kept_at, kept_doc, kept_count
+        order = np.lexsort((context, word, place))
         word, context, doc, count, place = (x[order] for x in (word, context, doc, count, place))
         ends = np.searchsorted(place, np.arange(buckets + 1))
         for b in np.nonzero(np.diff(ends))[0].tolist():
             part = slice(ends[b], ends[b + 1])
-            own, at = np.unique(word[part], return_inverse=True)
-            add(b, 2, number, _blob(hashes[own], "<u8"), _blob(at, "<u4"), *(_blob(x[part], t) for x, t in ((context, "<u2"), (doc, "<u4"), (count, "<u4"))))
+            (own, at), (before, which) = (np.unique(x[part], return_inverse=True) for x in (word, context))
+            add(b, 2, number, _blob(hashes[own], "<u8", True), _blob(at, "<u4", True), _blob(keys[before], "<u8", True), _blob(which, "<u4"),
+                _blob(doc[part], "<u4"), _blob(count[part], "<u4"))
         return to_batch(rows, target)
 
     block = _Block()
@@ -151,26 +173,27 @@ def _collect(table: pa.Table) -> pa.Table:
     bucket = None
     for row in table.to_pylist():
         if row["kind"] < 2:
-            filled = {"kind": row["kind"], "bucket": row["block"], "words": row["words"]}
-            filled |= {"pair_context": row["contexts"], "entry_doc": row["docs"], "entry_count": row["counts"]}
+            filled = {"kind": row["kind"], "bucket": row["block"], "words": row["words"], "contexts": row["contexts"]}
+            filled |= {"entry_pair": row["at"], "entry_doc": row["docs"], "entry_count": row["counts"]}
             for c in rows:
                 rows[c].append(filled.get(c))
             continue
         bucket = row["target"]
-        words.append(_values(row["words"], "<u8")[_values(row["at"], "<u4")])
-        contexts.append(_values(row["contexts"], "<u2"))
+        words.append(_values(row["words"], "<u8", True)[_values(row["at"], "<u4", True)])
+        contexts.append(_values(row["contexts"], "<u8", True)[_values(row["before"], "<u4")])
         docs.append(_values(row["docs"], "<u4"))
         counts.append(_values(row["counts"], "<u4"))
         blocks.append((row["block"], len(docs[-1])))
     if bucket is not None:
         word, context, doc, count = (np.concatenate(x) for x in (words, contexts, docs, counts))
         unique, at = np.unique(word, return_inverse=True)
-        keys, pair = np.unique(at << 16 | context, return_inverse=True)
+        before, which = np.unique(context, return_inverse=True)
+        keys, pair = np.unique(at * len(before) + which, return_inverse=True)
         learnt = np.bincount(pair, count * (doc >> 16), len(keys)).astype(np.int64)
         filled = {
-            "kind": 2, "bucket": bucket, "words": _blob(unique, "<u8"), "pair_word": _blob(keys >> 16, "<u4"),
-            "pair_context": _blob(keys & 0xFFFF, "<u2"), "pair_count": _blob(learnt, "<i8"),
-            "entry_pair": _blob(pair, "<u4"), "entry_doc": _blob(doc & 0xFFFF, "<u2"), "entry_count": _blob(count, "<u4"),
+            "kind": 2, "bucket": bucket, "words": _blob(unique, "<u8", True), "contexts": _blob(before, "<u8", True),
+            "pair_word": _blob(keys // len(before), "<u4", True), "pair_context": _blob(keys % len(before), "<u4"), "pair_count": _blob(learnt, "<i8"),
+            "entry_pair": _blob(pair, "<u4", True), "entry_doc": _blob(doc & 0xFFFF, "<u2"), "entry_count": _blob(count, "<u4"),
             "entry_block": _blob([b for b, _ in blocks], "<i8"), "entry_size": _blob([n for _, n in blocks], "<i8"),
         }
         for c in rows:
@@ -179,7 +202,7 @@ def _collect(table: pa.Table) -> pa.Table:
 
 
 _STORE = (
-    "kind int, bucket long, words binary, pair_word binary, pair_context binary, pair_count binary, "
+    "kind int, bucket long, words binary, contexts binary, pair_word binary, pair_context binary, pair_count binary, "
     "entry_pair binary, entry_doc binary, entry_count binary, entry_block binary, entry_size binary"
 )
 
@@ -215,12 +238,17 @@ def seat(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent:
 
 
 class _Seating:
-    """The restaurants of one bucket's words at every level, seen from its (word, context) pairs."""
+    """The restaurants of one bucket's words at every level, seen from its (word, context) pairs.
+
+    above: the parent of each context, below 65,536; without it the last byte of the context's number.
+    """
 
-    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray):
+    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, above: np.ndarray | None = None):
         self.words, self.context, self.customers = words, context.astype(np.int64), count
-        key, self.up = np.unique(word.astype(np.int64) << 8 | self.context & 0xFF, return_inverse=True)
-        self.word1, self.context1 = key >> 8, key & 0xFF
+        self.contexts = int(self.context.max(initial=-1)) + 1 if above is None else len(above)
+        parent = self.context & 0xFF if above is None else above[self.context]
+        key, self.up = np.unique(word.astype(np.int64) << 16 | parent, return_inverse=True)
+        self.word1, self.context1 = key >> 16, key & 0xFFFF
         self.word = word
         self.tables = np.minimum(count, 1)
         self._lift()
@@ -228,11 +256,18 @@ class _Seating:
         self.customers0 = np.bincount(self.word1, self.tables1, words).astype(np.int64)
         self.tables0 = np.minimum(self.customers0, 1)
 
+    def resume(self, tables: np.ndarray, tables1: np.ndarray, tables0: np.ndarray) -> None:
+        """Take over the tables of an earlier sweep."""
+        self.tables = tables
+        self._lift()
+        self.tables1, self.tables0 = tables1, tables0
+        self.customers0 = np.bincount(self.word1, tables1, self.words).astype(np.int64)
+
     def _lift(self) -> None:
         self.customers1 = np.bincount(self.up, self.tables, len(self.word1)).astype(np.int64)
 
     def probabilities(self, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word at the root, of each word by last byte, of each pair."""
+        """Of each word at the root, of each word by parent context, of each pair."""
         d0, d1, d2 = totals.discounts
         base = 1.0 / (totals.vocabulary + 1)
         c0, t0 = totals.customers[0][0], totals.tables[0][0]
@@ -260,78 +295,142 @@ class _Seating:
         """(customers, tables) of each restaurant, level by level."""
         levels = (
             (np.zeros(self.words, np.int64), self.customers0, self.tables0, 1),
-            (self.context1, self.customers1, self.tables1, 256),
-            (self.context, self.customers, self.tables, 65_536),
+            (self.context1, self.customers1, self.tables1, 65_536),
+            (self.context, self.customers, self.tables, self.contexts),
         )
         return [(np.bincount(at, c, n), np.bincount(at, t, n)) for at, c, t, n in levels]
 
 
 class Totals:
-    """What all buckets together have: customers and tables of each restaurant, and the discounts."""
+    """Customers and tables of each restaurant over all buckets, and the discounts; level 2 in the order of one bucket's contexts."""
 
     def __init__(self, vocabulary: int, customers: list[np.ndarray], tables: list[np.ndarray], discounts: tuple):
         self.vocabulary, self.customers, self.tables, self.discounts = vocabulary, customers, tables, discounts
 
 
 def _seating(row: dict) -> _Seating:
-    words = len(_values(row["words"], "<u8"))
-    names = ("pair_word", "<u4"), ("pair_context", "<u2"), ("pair_count", "<i8")
-    return _Seating(words, *(_values(row[c], t) for c, t in names))
+    words, contexts = len(_values(row["words"], "<u8")), _values(row["contexts"], "<u8", True)
+    pairs = _values(row["pair_word"], "<u4", True), _values(row["pair_context"], "<u4"), _values(row["pair_count"], "<i8")
+    return _Seating(words, *pairs, (contexts & np.uint64(0xFFFF)).astype(np.int64))
 
 
-def _replay(row: dict, history: list[Totals], seed: int) -> Iterator[_Seating]:
-    """The seating of a bucket after each of the sweeps that these totals were known for."""
+def _resumed(row: dict, state: dict) -> _Seating:
     seating = _seating(row)
-    for number, totals in enumerate(history):
-        seating.sweep(totals, np.random.Generator(np.random.PCG64([seed, number, row["bucket"]])))
-        yield seating
+    seating.resume(*(_values(state[c], "<i8") for c in ("tables", "tables1", "tables0")))
+    return seating
+
 
+def _by_target(row: dict, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of a bucket, their order by target, and where each target ends in that order."""
+    contexts = _values(row["contexts"], "<u8", True)
+    target = (contexts >> np.uint64(24)) % np.uint64(targets)
+    order = np.argsort(target, kind="stable")
+    return contexts, order, np.searchsorted(target[order], np.arange(targets + 1))
 
+
+_SEATS = (
+    "bucket long, round int, target long, tables binary, tables1 binary, tables0 binary, sums binary, "
+    "keys binary, customers binary, opened binary"
+)
+_INDEX = "target long, bucket long, at binary"
+_LEAVES = "bucket long, round int, target long, customers binary, opened binary"
 _SUMS = "level int, context long, customers double, tables double"
 
 
-def _measure(store: DataFrame, history: list[Totals], seed: int) -> Totals:
-    """Totals after one more sweep; without history those of the first seating, one table for each dish.
+def _seats(row: dict, seating: _Seating, number: int, targets: int) -> pa.RecordBatch:
+    """A bucket's tables after a sweep, its sums for the driver, and for each target the totals of its restaurants of words."""
+    schema = arrow_schema(_SEATS)
+    (c0, t0), (c1, t1), (c2, t2) = seating.totals()
+    levels = seating.customers0, seating.customers1, seating.customers
+    head = [c0[0], t0[0], c2.sum(), (seating.customers0 > 0).sum(), *((c == k).sum() for k in (1, 2) for c in levels)]
+    at = np.nonzero(c1)[0]
+    rows = [{
+        "tables": _blob(seating.tables, "<i8"), "tables1": _blob(seating.tables1, "<i8"), "tables0": _blob(seating.tables0, "<i8"),
+        "sums": _blob(np.concatenate((head, at, c1[at], t1[at])), "<f8"),
+    }]
+    contexts, order, ends = _by_target(row, targets)
+    for target in np.nonzero(np.diff(ends))[0].tolist():
+        own = order[ends[target] : ends[target + 1]]
+        rows.append({"target": target, "opened": _blob(t2[own], "<i8")})
+        if number == 0:  # later rounds keep the order, and the customers
+            rows[-1] |= {"keys": _blob(contexts[own], "<u8", True), "customers": _blob(c2[own], "<i8")}
+    rows = [r | {"bucket": row["bucket"], "round": number} for r in rows]
+    return to_batch({c: [r.get(c) for r in rows] for c in schema.names}, schema)
+
+
+def _number(table: pa.Table) -> pa.Table:
+    """A number for each context of a target, listed for each bucket in the order in which it sends them."""
+    rows = table.to_pylist()
+    keys = [_values(r["keys"], "<u8", True) for r in rows]
+    at = np.split(np.unique(np.concatenate(keys), return_inverse=True)[1], np.cumsum([len(k) for k in keys])[:-1])
+    columns = {"target": [r["target"] for r in rows], "bucket": [r["bucket"] for r in rows], "at": [_blob(a, "<u4") for a in at]}
+    return pa.Table.from_batches([to_batch(columns, arrow_schema(_INDEX))])
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Totals of the contexts of a target over all buckets, for each bucket in its own order."""
+    schema, rows = arrow_schema(_LEAVES), table.to_pylist()
+    places = {r["bucket"]: _values(r["at"], "<u4") for r in rows if r["at"] is not None}
+    sent = [r for r in rows if r["opened"] is not None]
+    out = {c: [r[c] for r in sent] for c in ("bucket", "round", "target")} | {"customers": [None] * len(sent)}
+    for name in ("customers", "opened"):
+        if sent and sent[0][name] is not None:
+            total = np.zeros(1 + max(int(a.max()) for a in places.values()), np.int64)
+            for r in sent:
+                total[places[r["bucket"]]] += _values(r[name], "<i8")
+            out[name] = [_blob(total[places[r["bucket"]]], "<i8") for r in sent]
+    return pa.Table.from_batches([to_batch(out, schema)])
+
+
+def _gathered(row: dict, leaves: list[dict], name: str, targets: int) -> np.ndarray:
+    """Totals of all contexts of a bucket from what the targets sent."""
+    contexts, order, ends = _by_target(row, targets)
+    out = np.zeros(len(contexts), np.int64)
+    for r in leaves:
+        out[order[ends[r["target"]] : ends[r["target"] + 1]]] = _values(r[name], "<i8")
+    return out
+
+
+def _measure(seats: DataFrame, first: Totals | None) -> tuple[Totals, int]:
+    """Totals of the upper levels, with the discounts of the first round, and the number of customers of all words.
 
-    Rows: restaurants (level 0 to 2), words learnt (level 3), and dishes with one and with two customers at
-    each level (levels 4 to 6), from which the discounts come as n1 / (n1 + 2 n2).
+    Rows: restaurants (level 0 and 1), customers of level 2 in all, words learnt (level 3), and dishes with one and
+    with two customers at each level (levels 4 to 6), from which the discounts come as n1 / (n1 + 2 n2).
     """
     target = arrow_schema(_SUMS)
 
     def run(batches):
-        sums = [[np.zeros(n), np.zeros(n)] for n in (1, 256, 65_536)]
-        learnt, once, twice = 0, np.zeros(LEVELS), np.zeros(LEVELS)
+        head, middle = np.zeros(10), np.zeros((2, 65_536))
         for batch in batches:
-            for row in batch.to_pylist():
-                seating = None
-                for seating in _replay(row, history, seed):
-                    pass
-                seating = seating or _seating(row)
-                for level, (customers, tables) in enumerate(seating.totals()):
-                    sums[level][0] += customers
-                    sums[level][1] += tables
-                learnt += int((seating.customers0 > 0).sum())
-                for level, c in enumerate((seating.customers0, seating.customers1, seating.customers)):
-                    once[level] += (c == 1).sum()
-                    twice[level] += (c == 2).sum()
-        for level, (customers, tables) in enumerate(sums):
-            at = np.nonzero(customers)[0]
-            yield to_batch({"level": np.full(len(at), level, np.int32), "context": at, "customers": customers[at], "tables": tables[at]}, target)
-        more = {"level": [3, 4, 5, 6], "context": [0] * 4, "customers": [float(learnt), *once], "tables": [0.0, *twice]}
+            for blob in batch.column("sums").to_pylist():
+                values = _values(blob, "<f8")
+                head += values[:10]
+                at, customers, tables = values[10:].reshape(3, -1)
+                middle[0][at.astype(np.int64)] += customers
+                middle[1][at.astype(np.int64)] += tables
+        at = np.nonzero(middle[0])[0]
+        yield to_batch({"level": np.full(len(at), 1, np.int32), "context": at, "customers": middle[0][at], "tables": middle[1][at]}, target)
+        more = {"level": [0, 2, 3, 4, 5, 6], "context": [0] * 6, "customers": [head[0], *head[2:7]], "tables": [head[1], 0.0, 0.0, *head[7:]]}
         yield to_batch(more, target)
 
-    needed = store.filter("kind = 2").select("bucket", "words", "pair_word", "pair_context", "pair_count")
+    needed = seats.filter("sums IS NOT NULL").select("sums")
     found = needed.mapInArrow(run, _SUMS).groupBy("level", "context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
-    customers, tables = ([np.zeros(n) for n in (1, 256, 65_536)] for _ in range(2))
-    vocabulary, discounts = 0, [0.5] * LEVELS
-    for level, context, c, t in found.collect():  # a row for each restaurant, of which there are 65,793 at most
-        if level < 3:
+    customers, tables = ([np.zeros(n) for n in (1, 65_536)] for _ in range(2))
+    vocabulary, trained, discounts = 0, 0, [0.5] * LEVELS
+    for level, context, c, t in found.collect():  # a row for each restaurant of two bytes, 65,543 rows at most
+        if level < 2:
             customers[level][context], tables[level][context] = c, t
+        elif level == 2:
+            trained = int(c)
         elif level == 3:
             vocabulary = int(c)
         elif c:
             discounts[level - 4] = min(0.95, max(0.05, c / (c + 2 * t)))
-    return Totals(vocabulary, customers, tables, tuple(history[0].discounts if history else discounts))
+    return Totals(vocabulary, customers, tables, first.discounts if first else tuple(discounts)), trained
+
+
+def _completed(totals: Totals, customers: np.ndarray, tables: np.ndarray) -> Totals:
+    return Totals(totals.vocabulary, [*totals.customers, customers], [*totals.tables, tables], totals.discounts)
 
 
 def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, seed: int = 7) -> DataFrame:
@@ -350,53 +449,94 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
     path = scratch_path(spark, "pitman-yor")
     parcels.groupBy("target").applyInArrow(_collect, _STORE).write.parquet(path)
     store = spark.read.schema(_STORE).parquet(path)
-    history = [_measure(store, [], seed)]
-    for _ in range(sweeps):
-        history.append(_measure(store, history, seed))
-    trained = float(history[0].customers[2].sum())
+    targets = buckets
+
+    def written(df: DataFrame, name: str, schema: str) -> DataFrame:
+        path = scratch_path(spark, f"pitman-yor-{name}")
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    def first_seats(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _seats(row, _seating(row), 0, targets)
+
+    pairs = store.filter("kind = 2").select("bucket", "words", "contexts", "pair_word", "pair_context", "pair_count")
+    seats = [written(pairs.mapInArrow(first_seats, _SEATS), "seats", _SEATS)]
+    keyed = seats[0].filter("keys IS NOT NULL").select("target", "bucket", "keys")
+    index = written(keyed.groupBy("target").applyInArrow(_number, _INDEX), "index", _INDEX)
+
+    def added_up(round_: DataFrame) -> DataFrame:
+        sent = round_.filter("opened IS NOT NULL").select("bucket", "round", "target", "customers", "opened")
+        both = index.unionByName(sent, allowMissingColumns=True)
+        return written(both.groupBy("target").applyInArrow(_add_up, _LEAVES), "leaves", _LEAVES)
+
+    def state_of(round_: DataFrame) -> DataFrame:
+        return round_.filter("sums IS NOT NULL").select("bucket", "round", "tables", "tables1", "tables0")
+
+    def sweep_after(number: int, totals: Totals):
+        def sweep(table: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()
+            rows = table.to_pylist()
+            row = next(r for r in rows if r["words"] is not None)
+            seating = _resumed(row, next(r for r in rows if r["tables"] is not None))
+            opened = _gathered(row, [r for r in rows if r["opened"] is not None], "opened", targets)
+            # Seating needs the tables of restaurants of words and not their customers.
+            complete = _completed(totals, np.zeros(len(opened)), opened)
+            seating.sweep(complete, np.random.Generator(np.random.PCG64([seed, number, row["bucket"]])))
+            return pa.Table.from_batches([_seats(row, seating, number + 1, targets)])
+
+        return sweep
+
+    totals, trained = _measure(seats[0], None)
+    history, leaves = [totals], [added_up(seats[0])]
+    for number in range(sweeps):
+        given = pairs.unionByName(state_of(seats[-1]), allowMissingColumns=True)
+        given = given.unionByName(leaves[-1].select("bucket", "target", "opened"), allowMissingColumns=True)
+        seats.append(written(given.groupBy("bucket").applyInArrow(sweep_after(number, totals), _SEATS), "seats", _SEATS))
+        totals, _ = _measure(seats[-1], history[0])
+        history.append(totals)
+        leaves.append(added_up(seats[-1]))
     vocabulary = history[0].vocabulary
     partial_schema, result_schema = arrow_schema(_PARTIAL), arrow_schema(_RESULT)
 
-    def answer(batches):
-        sums: dict[int, list[np.ndarray]] = {}
-
+    def answer(table: pa.Table) -> pa.Table:
         def rows_of(block, found):
             docs_ = np.nonzero(found[3])[0]
-            return {"block": block, "kind": 2, "docs": _blob(docs_, "<u2"), "known": _blob(found[0][docs_], "<f8"),
+            return {"block": block, "kind": 2, "docs": _blob(docs_, "<u2"), "known": _blob(found[0][docs_], "<u4"),
                     "base": _blob(found[1][docs_], "<f8"), "score": _blob(found[2][docs_], "<f8")}
 
         def batch_of(rows):
             return to_batch({c: [r.get(c) for r in rows] for c in partial_schema.names}, partial_schema)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                chances = [seating.probabilities(totals)[2] for seating, totals in zip(_replay(row, history[:-1], seed), history[1:])]
-                log = np.log10(np.mean(chances[-samples:], axis=0))
-                word, context = _values(row["pair_word"], "<u4"), _values(row["pair_context"], "<u2")
-                hashes = _values(row["words"], "<u8")
-                c = np.bincount(word, _values(row["pair_count"], "<i8"), len(hashes))[word]
-                base, known = np.log10(c + 0.5), (c > 0).astype(float)
-                pair, doc = _values(row["entry_pair"], "<u4"), _values(row["entry_doc"], "<u2")
-                count, at, out = _values(row["entry_count"], "<u4"), 0, []
-                for block, n in zip(_values(row["entry_block"], "<i8").tolist(), _values(row["entry_size"], "<i8").tolist()):
-                    p, d, k = pair[at : at + n], doc[at : at + n], count[at : at + n]
-                    at += n
-                    asked = d == HOME
-                    if asked.any():
-                        q = p[asked]
-                        out.append({"block": block, "kind": 3, "words": _blob(hashes[word[q]], "<u8"), "contexts": _blob(context[q], "<u2"),
-                                    "known": _blob(known[q], "<f8"), "base": _blob(base[q], "<f8"), "score": _blob(log[q], "<f8")})
-                    p, d, k = p[~asked], d[~asked], k[~asked]
-                    found = sums.setdefault(block, [np.zeros(BLOCK_DOCS) for _ in range(4)])
-                    for total, value in zip(found, (known[p], base[p], log[p], np.ones(len(p)))):
-                        total += np.bincount(d, k * value, BLOCK_DOCS)
-                if out:
-                    yield batch_of(out)
-                while len(sums) > 64:
-                    block = next(iter(sums))
-                    yield batch_of([rows_of(block, sums.pop(block))])
-        for block in list(sums):
-            yield batch_of([rows_of(block, sums.pop(block))])
+        pa.default_memory_pool().release_unused()
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["words"] is not None)
+        sent = [r for r in rows if r["target"] is not None]
+        customers, chances, out = _gathered(row, [r for r in sent if r["customers"] is not None], "customers", targets), [], []
+        for state in sorted((r for r in rows if r["tables"] is not None), key=lambda r: r["round"]):
+            own = [r for r in sent if r["round"] == state["round"] and r["opened"] is not None]
+            complete = _completed(history[state["round"]], customers, _gathered(row, own, "opened", targets))
+            chances.append(_resumed(row, state).probabilities(complete)[2])
+        log = np.log10(np.mean(chances, axis=0))
+        word, context = _values(row["pair_word"], "<u4", True), _values(row["pair_context"], "<u4")
+        hashes, contexts = _values(row["words"], "<u8", True), _values(row["contexts"], "<u8", True)
+        c = np.bincount(word, _values(row["pair_count"], "<i8"), len(hashes))[word]
+        base, known = np.log10(c + 0.5), (c > 0).astype(float)
+        pair, doc = _values(row["entry_pair"], "<u4", True), _values(row["entry_doc"], "<u2")
+        count, at = _values(row["entry_count"], "<u4"), 0
+        for block, n in zip(_values(row["entry_block"], "<i8").tolist(), _values(row["entry_size"], "<i8").tolist()):
+            p, d, k = pair[at : at + n], doc[at : at + n], count[at : at + n]
+            at += n
+            asked = d == HOME
+            if asked.any():
+                q = p[asked]
+                out.append({"block": block, "kind": 3, "words": _blob(hashes[word[q]], "<u8", True), "contexts": _blob(contexts[context[q]], "<u8", True),
+                            "known": _blob(known[q], "<f8"), "base": _blob(base[q], "<f8"), "score": _blob(log[q], "<f8")})
+            p, d, k = p[~asked], d[~asked], k[~asked]
+            if len(d):
+                out.append(rows_of(block, [np.bincount(d, k * value) for value in (known[p], base[p], log[p], np.ones(len(p)))]))
+        return pa.Table.from_batches([batch_of(out)])
 
     def finish(table: pa.Table) -> pa.Table:
         parts = table.to_pylist()
@@ -407,14 +547,14 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
         for r in parts:
             if r["kind"] == 2:
                 at = _values(r["docs"], "<u2")
-                for k, c in enumerate(("known", "base", "score")):
-                    np.add.at(total[k], at, _values(r[c], "<f8"))
+                for k, (c, kind) in enumerate((("known", "<u4"), ("base", "<f8"), ("score", "<f8"))):
+                    np.add.at(total[k], at, _values(r[c], kind))
         if asked:
-            key = _key(*(np.concatenate([_values(r[c], t) for r in asked]) for c, t in (("words", "<u8"), ("contexts", "<u2"))))
+            key = _key(*(np.concatenate([_values(r[c], "<u8", True) for r in asked]) for c in ("words", "contexts")))
             order = np.argsort(key)
             kept = next(r for r in parts if r["kind"] == 1)
-            mine = _key(_values(kept["words"], "<u8"), _values(kept["contexts"], "<u2"))
-            at = order[np.searchsorted(key[order], mine)]
+            mine = _key(_values(kept["words"], "<u8", True), _values(kept["contexts"], "<u8", True))
+            at = order[np.searchsorted(key[order], mine)][_values(kept["base"], "<u4", True)]
             doc, count = _values(kept["docs"], "<u2"), _values(kept["known"], "<u4")
             for k, c in enumerate(("known", "base", "score")):
                 total[k] += np.bincount(doc, count * np.concatenate([_values(r[c], "<f8") for r in asked])[at], len(ids))
@@ -424,12 +564,15 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
         }
         return pa.Table.from_batches([to_batch(columns, result_schema)])
 
-    needed = store.filter("kind = 2").drop("kind")
-    partial = needed.mapInArrow(answer, _PARTIAL)
+    given = store.filter("kind = 2").drop("kind").unionByName(leaves[0].select("bucket", "target", "customers"), allowMissingColumns=True)
+    for k in range(max(0 if sweeps == 0 else 1, sweeps + 1 - samples), sweeps + 1):
+        given = given.unionByName(state_of(seats[k]), allowMissingColumns=True)
+        given = given.unionByName(leaves[k].select("bucket", "round", "target", "opened"), allowMissingColumns=True)
+    partial = given.groupBy("bucket").applyInArrow(answer, _PARTIAL)
     none = F.lit(None).cast("binary")
     homes = store.filter("kind < 2").select(
         F.col("bucket").alias("block"), "kind", F.col("entry_doc").alias("docs"), "words",
-        F.col("pair_context").alias("contexts"), F.col("entry_count").alias("known"), none.alias("base"), none.alias("score"),
+        "contexts", F.col("entry_count").alias("known"), F.col("entry_pair").alias("base"), none.alias("score"),
     )
     found = partial.union(homes).groupBy("block").applyInArrow(finish, _RESULT)
     below = F.lit(float(np.log10(trained + 0.5 * (vocabulary + 1))))
@@ -441,7 +584,7 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
 
 def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """One number for each word and context."""
-    return (words ^ (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (words ^ (contexts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

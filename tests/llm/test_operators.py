@@ -266,6 +266,18 @@ def test_pitman_yor_counts_and_gain(spark, odd_rows):
         assert row.perplexity < row.base_perplexity
 
 
+def test_pitman_yor_has_a_restaurant_for_each_word(spark):
+    """Words with the same last bytes are contexts of their own, and totals of all buckets meet."""
+    learnt = [(i, ("proof alpha", "roof beta", "of gamma")[i % 3], "en") for i in range(90)]
+    asked = [(100 + 3 * c + w, f"{a} {b}", "de") for c, a in enumerate(("proof", "roof", "of")) for w, b in enumerate(("alpha", "beta", "gamma"))]
+    scored = pitman_yor.score_documents(_frame(spark, learnt + asked), F.col("lang") == "en")
+    score = {r.doc_id: r.score for r in scored.filter("held_out").collect()}
+    for c in range(3):
+        for w in range(3):
+            # The words before and behind are the same or as frequent: a share of 40 / 41 against what is left.
+            assert c == w or score[100 + 3 * c + c] - score[100 + 3 * c + w] > (0.9 if w < 2 else 0.5)
+
+
 def test_pitman_yor_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     word, context = (x.ravel() for x in np.meshgrid(np.arange(6), np.array([0x6161, 0x6261, 0x6162]), indexing="ij"))
