@@ -61,11 +61,11 @@ def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(text, lang): at most `per_language` texts of each language, those of the smallest hash of id."""
+    """(text, lang, _place): at most `per_language` texts of each language, those of the smallest hash of id."""
     seed = F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text"))
     ranked = docs.filter("lang IS NOT NULL").withColumn("_seed", seed)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_seed"))
-    return ranked.withColumn("_place", place).filter(F.col("_place") <= per_language).select("text", "lang", "_seed")
+    return ranked.withColumn("_place", place).filter(F.col("_place") <= per_language).select("text", "lang", "_place")
 
 
 class Model:
@@ -77,7 +77,7 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str], longest: int = 3, landmarks: int = 160, ridge: float = 1e-3) -> Model:
-    """Landmarks are the first texts of each language in turn; the rest only shape the weights.
+    """Landmarks are the first texts of each language in turn, one of each at least; the rest only shape the weights.
 
     Without labelled texts the model knows no language, and every text is `und`.
     """
@@ -88,7 +88,7 @@ def fit(texts: list[str], langs: list[str], longest: int = 3, landmarks: int = 1
         return Model([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32), longest)
     langs_of = np.array([names.index(lang) if ok else -1 for lang, ok in zip(langs, usable)])
     turn = sorted((int((langs_of[:i] == k).sum()), k, i) for i, k in enumerate(langs_of) if k >= 0)
-    chosen = [i for _, _, i in turn[:landmarks]]
+    chosen = [i for _, _, i in turn[: max(landmarks, len(names))]]
     rows_used, targets = rows[usable], langs_of[usable]
     marks = rows[chosen]
     between = kernel(rows_used, marks).astype(np.float64)
@@ -102,8 +102,12 @@ def fit(texts: list[str], langs: list[str], longest: int = 3, landmarks: int = 1
 
 
 def fit_documents(docs: DataFrame, per_language: int = 300, most: int = 2000, **options) -> Model:
-    """Fit on a sample of labelled texts: `per_language` each and `most` in all; longer texts count whole."""
-    rows = labelled_sample(docs, per_language).orderBy("_seed").limit(most).collect()
+    """Fit on a sample of labelled texts: `per_language` each and `most` in all; longer texts count whole.
+
+    Every language gets its first text before any gets its second, and so on; it has one however many there are.
+    """
+    languages = docs.filter("lang IS NOT NULL").select("lang").distinct().count()
+    rows = labelled_sample(docs, per_language).orderBy("_place", "lang").limit(max(most, languages)).collect()
     return fit([r.text for r in rows], [r.lang for r in rows], **options)
 
 

@@ -128,6 +128,14 @@ def test_string_kernel_language(spark):
     assert [r.doc_id for r in language.keep_identified(docs.union(odd)).filter("doc_id is null").collect()] == [None]
 
 
+def test_rare_languages_stay_in_the_model(spark):
+    rows = [(100 * k + i, f"{'abcdefgh'[k] * 3} word", f"l{k}") for k in range(8) for i in range(60)]
+    rows += [(5000 + i, "zzz rare", "rare") for i in range(3)]
+    model = language.fit_documents(_frame(spark, rows), per_language=30, most=100)
+    assert model.languages == [f"l{k}" for k in range(8)] + ["rare"]
+    assert language.predict_texts(language.fit_documents(_frame(spark, rows), most=4, landmarks=2), ["zzz"])[0] == ["rare"]
+
+
 def _brute_components(rows):
     sets = {}
     for i, text, _ in rows:
