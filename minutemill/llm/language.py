@@ -3,7 +3,8 @@
 A text's features are the character n-grams of 1 to `longest` characters that occur in its words, by
 presence. The kernel of two texts is the number of n-grams both have over the root of the product of the
 numbers each has. A text is compared with `landmarks` texts only; one ridge regression for each
-language gives the weights of the landmarks (one versus rest).
+language gives the weights of the landmarks (one versus rest). n-grams are told apart by 64-bit hashes; only those of the
+landmarks are kept in a table, and of other texts' n-grams the number is counted.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 
 from minutemill.llm.common import id_and_text, id_remainder, map_batches, read_documents, slices
 
-# n-grams fall into this many places; texts of a matrix product.
-PLACES, ROWS = 1 << 15, 128
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def presence(text: str, longest: int, row: np.ndarray) -> bool:
-    """Mark the n-grams of a text in a row of zeros; false if the text has no letter.
+def grams(text: str, longest: int) -> np.ndarray | None:
+    """Sorted distinct hashes of the n-grams of a text; None if it has no letter.
 
     Letters are taken in lower case; every run of other characters becomes one space, also at both ends.
     """
@@ -28,22 +28,26 @@ def presence(text: str, longest: int, row: np.ndarray) -> bool:
     distinct, inverse = np.unique(chars, return_inverse=True) if len(chars) < 64 else _distinct(chars)
     letter = np.array([chr(c).isalpha() for c in distinct.tolist()], bool)
     if not letter.any():
-        return False
+        return None
     folded = np.where(letter, distinct, 32).astype(np.uint32)[inverse]
     keep = np.ones(len(folded) + 2, bool)
     padded = np.full(len(folded) + 2, 32, np.uint32)
     padded[1:-1] = folded
     keep[1:] = (padded[1:] != 32) | (padded[:-1] != 32)
-    padded = padded[keep]
-    code = np.zeros(len(padded), np.uint32)
+    padded = padded[keep].astype(np.uint64)
+    code, found = np.zeros(len(padded), np.uint64), []
     for n in range(1, longest + 1):
         end = len(padded) - n + 1
         if end <= 0:
             break
-        code = (code[:end] + padded[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
-        code ^= code >> np.uint32(15)
-        row[(code * np.uint32(0x85EBCA6B)) >> np.uint32(17)] = 1
-    return True
+        code = (code[:end] + padded[n - 1 :] + np.uint64(n)) * ODD
+        code ^= code >> np.uint64(31)
+        found.append(code)
+    every = np.concatenate(found)
+    every.sort()
+    first = np.ones(len(every), bool)
+    first[1:] = every[1:] != every[:-1]
+    return every[first]
 
 
 def _distinct(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +59,25 @@ def _distinct(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, table[chars]
 
 
-def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    sizes = np.sqrt(np.maximum(rows.sum(1), 1))[:, None] * np.sqrt(np.maximum(marks.sum(1), 1))[None, :]
-    return (rows @ marks.T) / sizes
+class Landmarks:
+    """n-grams of the landmarks, each with the landmarks that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets or [np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.holders = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.grams, counts = np.unique(every, return_counts=True)
+        self.starts = np.concatenate(([0], np.cumsum(counts)))
+
+    def kernel(self, own: np.ndarray) -> np.ndarray:
+        """Common n-grams of a text with each landmark over the root of the product of their numbers."""
+        at = np.searchsorted(self.grams, own)
+        at = at[self.grams[np.minimum(at, len(self.grams) - 1)] == own]
+        size = self.starts[at + 1] - self.starts[at]
+        places = np.arange(int(size.sum())) + np.repeat(self.starts[at] - np.cumsum(size) + size, size)
+        common = np.bincount(self.holders[places], minlength=len(self.sizes))
+        return common / np.sqrt(len(own) * self.sizes)
 
 
 def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
@@ -69,11 +89,11 @@ def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
 
 
 class Model:
-    def __init__(self, languages: list[str], marks: np.ndarray, weights: np.ndarray, longest: int):
+    def __init__(self, languages: list[str], marks: Landmarks, weights: np.ndarray, longest: int):
         self.languages, self.marks, self.weights, self.longest = languages, marks, weights, longest
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return kernel(rows, self.marks) @ self.weights
+    def scores(self, own: np.ndarray) -> np.ndarray:
+        return self.marks.kernel(own) @ self.weights
 
 
 def fit(texts: list[str], langs: list[str], longest: int = 3, landmarks: int = 160, ridge: float = 1e-3) -> Model:
@@ -81,24 +101,24 @@ def fit(texts: list[str], langs: list[str], longest: int = 3, landmarks: int = 1
 
     Without labelled texts the model knows no language, and every text is `und`.
     """
-    rows = np.zeros((len(texts), PLACES), np.float32)
-    usable = np.array([presence(t, longest, row) for t, row in zip(texts, rows)], bool)
+    sets = [grams(t, longest) for t in texts]
+    usable = np.array([own is not None for own in sets], bool)
     names = sorted({lang for lang, ok in zip(langs, usable) if ok})
     if not names:
-        return Model([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32), longest)
+        return Model([], Landmarks([]), np.zeros((0, 0)), longest)
     langs_of = np.array([names.index(lang) if ok else -1 for lang, ok in zip(langs, usable)])
     turn = sorted((int((langs_of[:i] == k).sum()), k, i) for i, k in enumerate(langs_of) if k >= 0)
     chosen = [i for _, _, i in turn[: max(landmarks, len(names))]]
-    rows_used, targets = rows[usable], langs_of[usable]
-    marks = rows[chosen]
-    between = kernel(rows_used, marks).astype(np.float64)
-    among = kernel(marks, marks).astype(np.float64)
+    targets = langs_of[usable]
+    marks = Landmarks([sets[i] for i in chosen])
+    between = np.array([marks.kernel(own) for own in sets if own is not None])
+    among = np.array([marks.kernel(sets[i]) for i in chosen])
     # Languages weigh alike, however many texts each has.
     weight = 1.0 / np.bincount(targets, minlength=len(names))[targets] / len(names)
     want = (targets[:, None] == np.arange(len(names))[None, :]).astype(np.float64)
     left = between.T @ (weight[:, None] * between) + ridge * among + 1e-9 * np.eye(len(chosen))
     weights = np.linalg.lstsq(left, between.T @ (weight[:, None] * want), rcond=None)[0]
-    return Model(names, marks, weights.astype(np.float32), longest)
+    return Model(names, marks, weights, longest)
 
 
 def fit_documents(docs: DataFrame, per_language: int = 300, most: int = 2000, **options) -> Model:
@@ -132,18 +152,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def predict_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     langs, scores = [], []
-    for i in range(0, len(texts), ROWS):
-        part = texts[i : i + ROWS]
-        rows = np.zeros((len(part), PLACES), np.float32)
-        lettered = [presence(t, model.longest, row) for t, row in zip(part, rows)]
-        if not model.languages:
-            lettered, best, top = [False] * len(part), np.zeros(len(part), int), np.zeros(len(part))
-        else:
-            answers = model.scores(rows)
-            best, top = answers.argmax(1), answers.max(1)
-        for ok, b, t in zip(lettered, best.tolist(), top.tolist()):
-            langs.append(model.languages[b] if ok else "und")
-            scores.append(min(1.0, max(0.0, t)) if ok else 0.0)
+    for text in texts:
+        own = grams(text, model.longest) if model.languages else None
+        if own is None:
+            langs.append("und")
+            scores.append(0.0)
+            continue
+        answers = model.scores(own)
+        best = int(answers.argmax())
+        langs.append(model.languages[best])
+        scores.append(min(1.0, max(0.0, float(answers[best]))))
     return langs, scores
 
 

@@ -136,6 +136,21 @@ def test_rare_languages_stay_in_the_model(spark):
     assert language.predict_texts(language.fit_documents(_frame(spark, rows), most=4, landmarks=2), ["zzz"])[0] == ["rare"]
 
 
+def test_long_texts_of_many_characters():
+    rng = np.random.default_rng(4)
+
+    def text(first, n):
+        return "".join(map(chr, first + (rng.zipf(1.3, n) - 1) % 3000))
+
+    short, long = [text(0x4E00, 300) for _ in range(6)], [text(0x6000, 3000) for _ in range(6)]
+    model = language.fit(short + long, ["zh"] * 6 + ["ja"] * 6)
+    asked = [text(0x4E00, 500_000), text(0x6000, 500_000), text(0x4E00, 300)]
+    assert language.predict_texts(model, asked)[0] == ["zh", "ja", "zh"]
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 1 - n)} for t in (f" {x} " for x in (asked[0], *short, *long))]
+    want = [len(sets[0] & x) / math.sqrt(len(sets[0]) * len(x)) for x in sets[1:]]
+    assert sorted(model.marks.kernel(language.grams(asked[0], 3))) == pytest.approx(sorted(want))
+
+
 def _brute_components(rows):
     sets = {}
     for i, text, _ in rows:
