@@ -5,7 +5,7 @@ window is two neighbouring blocks of four shingles, and windows overlap by one b
 of five shingles lies whole in some window. Each of 16 bands has one row: the least of (shingle
 hash xor mask) in the window. A window that holds a template's five-word line, three shingles of eight, shares
 a band's value with it with probability 1 - (5/8)^16 = 99.9 % or more; longer templates are cut into such runs,
-of which one has to collide. Templates found so are verified by the share of their distinct shingles that the
+of which one has to collide. Templates of one or two shingles have no such bound and are looked up by shingle. Templates found so are verified by the share of their distinct shingles that the
 text has. Texts with no shingle of any template are set aside first: their windows cannot collide.
 """
 
@@ -40,6 +40,33 @@ TEMPLATES = {
         "associated documentation files, to deal in the Software without restriction"
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "All rights reserved": "All rights reserved.",
+    "GPL-2.0": "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "GPL-2.0 or later": "either version 2 of the License, or (at your option) any later version",
+    "GPL text": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "LGPL notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "ISC grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "MIT text": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+    "Apache-2.0 text": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "SPDX MIT": "SPDX-License-Identifier: MIT",
+    "SPDX ISC": "SPDX-License-Identifier: ISC",
+    "SPDX Unlicense": "SPDX-License-Identifier: Unlicense",
+    "SPDX Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "SPDX BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1",
+    "SPDX AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0",
+    "SPDX MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "SPDX CC0-1.0": "SPDX-License-Identifier: CC0-1.0",
 }
 BREAKS, SIZE, BLOCK, BANDS = r"[\x00-/:-@\[-`{-\x7F]+", 3, 4, 16
 CONTAINED_PERCENT = 80
@@ -115,9 +142,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str], percent: int = CON
     some = hashed.select("doc_id", F.when(F.arrays_overlap("_all", longs(every)), F.col("_all")).alias("_hashes"))
     blocks = some.select("doc_id", "_hashes", _blocks(F.col("_hashes")).alias("_blocks"))
     met = [F.array_intersect(_window_least(F.col("_blocks"), mask), longs(bands[i])) for i, mask in enumerate(_masks())]
-    retrieved = blocks.select("doc_id", "_hashes", F.concat(*met).alias("_met"))
+    # One or two shingles need not be the least of any window.
+    short: dict[int, list[int]] = {}
+    for number, name in enumerate(names):
+        for h in values[name][0] if len(values[name][0]) < SIZE else []:
+            short.setdefault(h, []).append(number)
+    looked_up = F.array_intersect("_hashes", longs(sorted(short))) if short else F.lit(None)
+    retrieved = blocks.select("doc_id", "_hashes", F.concat(*met).alias("_met"), looked_up.alias("_short"))
     owner_table = table({value: longs(sorted(set(numbers))) for value, numbers in owners.items()})
-    candidates = F.array_distinct(F.flatten(F.transform("_met", lambda v: F.try_element_at(owner_table, v))))
+    owned = F.flatten(F.transform("_met", lambda v: F.try_element_at(owner_table, v)))
+    if short:
+        short_table = table({h: longs(numbers) for h, numbers in short.items()})
+        owned = F.concat(owned, F.flatten(F.transform("_short", lambda h: F.try_element_at(short_table, h))))
+    candidates = F.array_distinct(owned)
     # The outer form keeps conditions on its result from being pushed below, where all would be computed twice.
     found = retrieved.select("doc_id", "_hashes", F.explode_outer(candidates).alias("_t")).filter("_t IS NOT NULL")
     own = F.try_element_at(table({i: longs(values[name][0]) for i, name in enumerate(names)}), F.col("_t"))

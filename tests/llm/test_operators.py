@@ -336,6 +336,19 @@ def test_license_scan(spark, odd_rows):
     assert {(410 + i, name) for i, name in enumerate(licenses.TEMPLATES)} <= got
 
 
+def test_short_license_notices_are_all_found(spark):
+    """One shingle among others is the least of a window in no band for about one copy in eight."""
+    rng = random.Random(9)
+    notices = [("All rights reserved.", "All rights reserved"), ("SPDX-License-Identifier: MIT", "SPDX MIT")]
+    rows = []
+    for i in range(200):
+        prose = [rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(30)]
+        rows.append((i, " ".join(prose[:15]) + f"\n{notices[i % 2][0]}\n" + " ".join(prose[15:]), "en"))
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(_frame(spark, rows), {name: text for text, name in notices}).collect()}
+    assert got == {(i, notices[i % 2][1]) for i in range(200)}
+    assert {name for _, name in notices} | {"GPL-2.0", "LGPL notice", "AGPL notice", "ISC grant", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense"} <= set(licenses.TEMPLATES)
+
+
 def test_license_scan_has_no_python(spark, odd_rows):
     plan = licenses.scan_licenses(_frame(spark, odd_rows), licenses.TEMPLATES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hashpartitioning" not in plan
