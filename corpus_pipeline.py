@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Tokenisation and differencing have no SQL form; tests compare with a brute-force version.
+# Tokenisation and differencing have no SQL form; tests check columns and falling counts stage by stage and do not call run().
 ORACLE_SQL = None
 
 
