@@ -29,7 +29,7 @@ def merge_rollups(first: DataFrame, *more: DataFrame) -> DataFrame:
     return parts.groupBy("name", "minute").agg(F.sum("n").alias("n"))
 
 
-def _since(rollup: DataFrame, start: datetime) -> DataFrame:
+def since(rollup: DataFrame, start: datetime) -> DataFrame:
     """Lower bound only. The bound on `day` lets partitions be skipped; `minute` alone would not."""
     kept = rollup.filter(F.col("minute") >= F.lit(start))
     if "day" in rollup.columns:
@@ -43,12 +43,12 @@ def filter_name(rows: DataFrame, name: str) -> DataFrame:
 
 def filter_today(rollup: DataFrame, as_of: datetime | str) -> DataFrame:
     """Minutes since the start of the UTC day of `as_of`."""
-    return _since(rollup, day_start(as_of))
+    return since(rollup, day_start(as_of))
 
 
 def filter_last_minutes(rollup: DataFrame, as_of: datetime | str, minutes: float = 15) -> DataFrame:
     """The current minute and the `minutes` before it."""
-    return _since(rollup, series_start(as_of, minutes))
+    return since(rollup, series_start(as_of, minutes))
 
 
 def count_today(rollup: DataFrame, name: str, as_of: datetime | str) -> DataFrame:

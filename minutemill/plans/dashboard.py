@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutemill.operators.rollup import minute_series, totals_today
+from minutemill.functions.timing import day_start, series_start
+from minutemill.operators.rollup import since, top_events, totals_today
 from minutemill.operators.uniques import uniques_today_all
 
 
@@ -28,14 +29,20 @@ def dashboard_stats(
 ) -> DataFrame:
     """Today's totals, today's uniques and the recent series in long form.
 
-    Columns (section, name, minute, count) with section one of total, unique, series.
+    Columns (section, name, minute, count) with section one of total, unique, series. Totals and series
+    come from one sum per (name, minute): the windows are applied to the newest minute of a group, which
+    is not known before the groups are, so both ask for the same groups and Spark makes them once.
     """
+    today, recent = day_start(as_of), series_start(as_of, minutes)
+    groups = since(rollup, min(today, recent)).groupBy("name", "minute")
+    counted = groups.agg(F.sum("n").alias("count"), F.max("minute").alias("_newest"))
+    of_today = counted.filter(F.col("_newest") >= F.lit(today)).groupBy("name").agg(F.sum("count").alias("count"))
     no_minute = F.lit(None).cast("timestamp").alias("minute")
-    totals = totals_today(rollup, as_of).select(F.lit("total").alias("section"), "name", no_minute, "count")
+    totals = top_events(of_today).select(F.lit("total").alias("section"), "name", no_minute, "count")
     uniques = uniques_today_all(sketches, as_of).select(
         F.lit("unique").alias("section"), "name", no_minute, "count"
     )
-    series = minute_series(rollup, as_of, minutes).select(
+    series = counted.filter(F.col("_newest") >= F.lit(recent)).select(
         F.lit("series").alias("section"), "name", "minute", "count"
     )
     return totals.unionAll(uniques).unionAll(series)

@@ -350,7 +350,8 @@ dense AS (SELECT minute, coalesce(CAST(sum(n) AS BIGINT), 0) AS count
     ),
     "merge_sketches": _with(
         _RECEIVED,
-        f"SELECT {_DAY} AS day, count(DISTINCT distinct_id) AS count FROM received WHERE distinct_id <> '' GROUP BY ALL",
+        f"""SELECT {_DAY} AS day, count(DISTINCT distinct_id) AS exact, true AS within_5pct
+            FROM received WHERE distinct_id <> '' GROUP BY ALL""",
     ),
     "uniques_today": _with(
         _NOW_STATE,
@@ -360,7 +361,7 @@ dense AS (SELECT minute, coalesce(CAST(sum(n) AS BIGINT), 0) AS count
     "uniques_today_all": _with(_NOW_STATE, "SELECT name, count FROM uniques_now"),
     "uniques_range": _with(
         _RECEIVED,
-        f"""SELECT name, count(DISTINCT distinct_id) AS count FROM received
+        f"""SELECT name, count(DISTINCT distinct_id) AS exact, true AS within_5pct FROM received
             WHERE distinct_id <> '' AND {_DAY} BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' GROUP BY name""",
     ),
     "exact_uniques": _with(

@@ -14,7 +14,7 @@ from minutemill.functions.client import client_key as key_of_client
 from minutemill.functions.hashing import portable_hash as hash_of
 from minutemill.functions.properties import default_properties as with_properties
 from minutemill.functions.properties import map_properties as json_of_map
-from minutemill.functions.timing import known_at
+from minutemill.functions.timing import instant, known_at, to_day
 from minutemill.operators import dedupe, health, portable, quota, rollup, series, uniques, validate
 from minutemill.operators.reconcile import reconcile as reconcile_names
 from minutemill.plans import dashboard, inputs
@@ -23,7 +23,7 @@ from minutemill.schema import EVENT_COLUMNS
 from minutemill.session import prepare, scratch_path
 from minutemill.sources import event_log, json_lines, publish_batches
 from minutemill.sources.event_log import EventLog
-from minutemill.sources.tables import EventTables, compact_rollup
+from minutemill.sources.tables import EventTables, Snapshot, compact_rollup
 from minutemill.streaming import ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,17 +61,41 @@ def query(build: Query) -> Query:
 # -- shared steps ---------------------------------------------------------------------------
 
 
-def _rollup_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute counters as they stood at AS_OF: first copies of what had arrived by then."""
-    return rollup.minute_rollup(dedupe.first_times(known_at(_received(spark, sf_dir), AS_OF)))
-
-
 def _received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.received(spark, sf_dir).select(*EVENT_COLUMNS)
 
 
+_STORED: dict[tuple[str, str], tuple[str, int]] = {}
+_MONTH = (date(2024, 1, 1), date(2024, 1, 31))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[EventTables, Snapshot]:
+    """Tables with all deliveries, and their snapshot as it stood at AS_OF.
+
+    What had arrived by AS_OF is one batch, the rest another, stored once for a session and data folder; the
+    reads below start from these tables, as those of a dashboard do.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        tables = EventTables(spark, scratch_path(spark, "stored")).create()
+        received = _received(spark, sf_dir)
+        ingest.ingest_batch(tables, known_at(received, AS_OF), ingest.batch_name(0))
+        generation = tables.snapshot().generation
+        ingest.ingest_batch(tables, received.filter(F.col("ts") > instant(AS_OF)), ingest.batch_name(1))
+        tables.merge_sketch_tree(*_MONTH)
+        _STORED[key] = tables.root, generation
+    root, generation = _STORED[key]
+    tables = EventTables(spark, root)
+    return tables, tables.snapshot(generation)
+
+
+def _rollup_now(spark: SparkSession, sf_dir: str, minutes: float = 15) -> DataFrame:
+    """Stored counters of the day of AS_OF, and of the minutes before if they reach back further."""
+    return _stored(spark, sf_dir)[1].rollup_today(AS_OF, minutes)
+
+
 def _sketches_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uniques.uniques_daily(known_at(_received(spark, sf_dir), AS_OF))
+    return _stored(spark, sf_dir)[1].sketches_today(AS_OF)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,12 +248,12 @@ def filter_name(spark, sf_dir):
 
 @query
 def filter_today(spark, sf_dir):
-    return rollup.filter_today(_rollup_now(spark, sf_dir), AS_OF)
+    return rollup.filter_today(_rollup_now(spark, sf_dir), AS_OF).select("name", "minute", "n")
 
 
 @query
 def filter_last_minutes(spark, sf_dir):
-    return rollup.filter_last_minutes(_rollup_now(spark, sf_dir), AS_OF, 90.9)
+    return rollup.filter_last_minutes(_rollup_now(spark, sf_dir, 90.9), AS_OF, 90.9).select("name", "minute", "n")
 
 
 @query
@@ -383,10 +407,18 @@ def uniques_daily(spark, sf_dir):
     return uniques.estimate(uniques.uniques_daily(_received(spark, sf_dir)))
 
 
+def _judged(estimates: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    users = uniques.filter_has_user(events).groupBy(*keys).agg(F.count_distinct("distinct_id").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) * 20 <= F.col("exact")
+    return users.join(estimates, keys, "full").select(*keys, "exact", near.alias("within_5pct"))
+
+
 @query
 def merge_sketches(spark, sf_dir):
-    daily = uniques.uniques_daily(_received(spark, sf_dir))
-    return uniques.estimate(uniques.merge_sketches(daily, ["day"]))
+    """Users of all names together, a day; the estimate beside the true number."""
+    received = _received(spark, sf_dir)
+    merged = uniques.merge_sketches(uniques.uniques_daily(received), ["day"])
+    return _judged(uniques.estimate(merged, "estimate"), received.withColumn("day", to_day("ts")), ["day"])
 
 
 @query
@@ -401,7 +433,11 @@ def uniques_today_all(spark, sf_dir):
 
 @query
 def uniques_range(spark, sf_dir):
-    return uniques.uniques_range(uniques.uniques_daily(_received(spark, sf_dir)), *RANGE)
+    """A week of users from the tree of stored sketches, beside the true number."""
+    tables, _ = _stored(spark, sf_dir)
+    merged = uniques.merge_sketches(tables.snapshot().sketches_range(*RANGE), ["name"])
+    week = _received(spark, sf_dir).filter(to_day("ts").between(*map(F.lit, RANGE)))
+    return _judged(uniques.estimate(merged, "estimate"), week, ["name"])
 
 
 @query

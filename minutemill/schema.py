@@ -36,27 +36,23 @@ PUBLISH_BATCH = T.StructType(
     ]
 )
 
-# Stored tables. The two partition columns come last, in directory order.
-PARTITIONS = ["batch_id", "day"]
-_PARTITION_FIELDS = [
-    T.StructField("batch_id", T.StringType()),
-    T.StructField("day", T.DateType()),
-]
+# Stored tables. The partition column comes last.
+_DAY = T.StructField("day", T.DateType())
 
-EVENTS_TABLE = T.StructType(EVENT.fields + _PARTITION_FIELDS)
+EVENTS_TABLE = T.StructType([*EVENT.fields, T.StructField("batch_id", T.StringType()), _DAY])
 MINUTE_DELTAS_TABLE = T.StructType(
     [
         T.StructField("name", T.StringType()),
         T.StructField("minute", T.TimestampType()),
         T.StructField("n", T.LongType()),
-        *_PARTITION_FIELDS,
+        _DAY,
     ]
 )
 SKETCH_DELTAS_TABLE = T.StructType(
     [
         T.StructField("name", T.StringType()),
         T.StructField("sketch", T.BinaryType()),
-        *_PARTITION_FIELDS,
+        _DAY,
     ]
 )
 # Portable sketches as rows: at most 16,384 registers per (name, day) and batch.
@@ -65,7 +61,24 @@ REGISTER_DELTAS_TABLE = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("register", T.IntegerType()),
         T.StructField("rank", T.IntegerType()),
-        *_PARTITION_FIELDS,
+        _DAY,
+    ]
+)
+# Sketches of 2^level days, under the first of these days.
+SKETCH_NODES_TABLE = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("level", T.IntegerType()),
+        T.StructField("sketch", T.BinaryType()),
+        _DAY,
+    ]
+)
+# Ids of all stored events, sorted by hash inside a bucket.
+EVENT_IDS_TABLE = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("id_hash", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
     ]
 )
 QUARANTINE_TABLE = T.StructType(
@@ -73,9 +86,10 @@ QUARANTINE_TABLE = T.StructType(
         T.StructField("value", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("batch_id", T.StringType()),
+        _DAY,
     ]
 )
-# Written last for every batch, so its presence is what makes the batch visible to readers.
+# One row for every batch and every failed attempt; rows since the last checkpoint are in the manifest.
 BATCH_HEALTH_TABLE = T.StructType(
     [
         T.StructField("batch_size", T.LongType()),
@@ -85,13 +99,8 @@ BATCH_HEALTH_TABLE = T.StructType(
         T.StructField("error", T.StringType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("batch_id", T.StringType()),
-    ]
-)
-# Which (batch, day) deltas a compacted day already contains.
-FOLDED_TABLE = T.StructType(
-    [
-        T.StructField("day", T.DateType()),
-        T.StructField("folded", T.StringType()),
-        T.StructField("into", T.StringType()),
+        T.StructField("parts", T.LongType()),
+        T.StructField("generation", T.LongType()),
+        _DAY,
     ]
 )

@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     # "First N of each group" filters rows before the shuffle for N up to this bound.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # Lists of ids up to this length go down to the Parquet scan, which skips pages without them.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "100",
     # Ids of all history live on local disk, not on the JVM heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

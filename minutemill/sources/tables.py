@@ -1,25 +1,104 @@
-"""Stored tables on plain Parquet: facts, additive deltas and the record of finished batches.
+"""Stored tables on plain Parquet: facts, additive deltas, known ids, merged sketches, finished batches.
 
-Layout: `<root>/<table>/batch_id=<id>/day=<day>/*.parquet`. One batch owns its directory in every
-table and overwrites it as a whole, so a second attempt at a batch replaces the first. The row in
-`batch_health` is written last; readers take only batches that have one. One writer per root.
+Layout: `<root>/<table>/day=<day>/part=<name>/*.parquet` (ids: `bucket=`). Parts are written once. What
+is live is said by the manifest, whose next generation, written last, shows all of a batch at once; a
+crash before that leaves parts that nobody reads. Reads go through a snapshot: it hands Spark the folders of the
+days that are asked for, so nothing else is listed and no list of batches is joined to the rows.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
-from datetime import date
+from collections.abc import Callable, Sequence
+from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minutemill import schema
-from minutemill.functions.timing import to_day
+from minutemill.functions.timing import day_start, series_start, to_day, utc
+from minutemill.operators import sketch_tree
 from minutemill.operators.portable import portable_merge
 from minutemill.operators.uniques import merge_sketches
+from minutemill.sources import id_index
+from minutemill.sources.manifest import Manifest, Part
+
+_SCHEMAS: dict[str, T.StructType] = {
+    "events": schema.EVENTS_TABLE,
+    "minute_deltas": schema.MINUTE_DELTAS_TABLE,
+    "sketch_deltas": schema.SKETCH_DELTAS_TABLE,
+    "register_deltas": schema.REGISTER_DELTAS_TABLE,
+    "sketch_nodes": schema.SKETCH_NODES_TABLE,
+    "event_ids": schema.EVENT_IDS_TABLE,
+    "quarantine": schema.QUARANTINE_TABLE,
+    "batch_health": schema.BATCH_HEALTH_TABLE,
+}
+_HEALTH = ["batch_size", "inserted", "duplicates", "took_seconds", "error", "ts", "batch_id"]
+
+
+def _in_days(first: date | None, last: date | None):
+    condition = F.lit(True)
+    if first is not None:
+        condition &= F.col("day") >= F.lit(first)
+    if last is not None:
+        condition &= F.col("day") <= F.lit(last)
+    return condition
+
+
+class Snapshot:
+    """The tables as of one generation. All reads of a snapshot see the same batches, whatever is stored or
+    compacted meanwhile. Its number is a token: `tables.snapshot(number)` gives the same rows again until
+    their files are removed."""
+
+    def __init__(self, tables: EventTables, generation: int | None = None):
+        self.tables = tables
+        self.generation = tables.manifest.newest(generation)
+
+    def parts(self, table: str, first: date | None = None, last: date | None = None, condition=None) -> list[Part]:
+        """Live parts of a table, with places between two days where these are given."""
+        wanted = (F.col("table") == table) & _in_days(first, last)
+        return self.tables.manifest.live(wanted if condition is None else wanted & condition, self.generation)
+
+    def read(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """Rows of the days first..last: folders are chosen by the manifest, days once more by the scan."""
+        rows = self.tables.read_parts(table, self.parts(table, first, last))
+        return rows if first is None and last is None else rows.filter(_in_days(first, last))
+
+    def events(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self.read("events", first, last)
+
+    def minute_deltas(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self.read("minute_deltas", first, last)
+
+    def sketch_deltas(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self.read("sketch_deltas", first, last)
+
+    def register_deltas(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self.read("register_deltas", first, last)
 
-COMPACTED = "compacted-"
+    def quarantine(self) -> DataFrame:
+        return self.read("quarantine")
+
+    # -- what the dashboard asks for --------------------------------------------------------
+
+    def rollup_today(self, as_of: datetime | str, minutes: float = 15) -> DataFrame:
+        """Counters since the start of the day of `as_of`, or of the last minutes if that is earlier."""
+        return self.minute_deltas(first=min(day_start(as_of), series_start(as_of, minutes)).date())
+
+    def sketches_today(self, as_of: datetime | str) -> DataFrame:
+        day = utc(as_of).date()
+        return self.sketch_deltas(day, day)
+
+    def sketches_range(self, first: date, last: date) -> DataFrame:
+        """(name, sketch) whose union is that of the days first..last: the fewest merged nodes that cover whole
+        runs of days, and the daily sketches of the other days and of what arrived after a node was made."""
+        nodes = self.parts("sketch_nodes", first, last)
+        days = self.parts("sketch_deltas", first, last)
+        chosen, daily = sketch_tree.cover(first, last, nodes, days)
+        merged = self.tables.read_parts("sketch_nodes", chosen).select("name", "sketch")
+        return merged.unionAll(self.tables.read_parts("sketch_deltas", daily).select("name", "sketch"))
 
 
 class EventTables:
@@ -28,182 +107,266 @@ class EventTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._schemas: dict[str, T.StructType] = {
-            "events": schema.EVENTS_TABLE,
-            "minute_deltas": schema.MINUTE_DELTAS_TABLE,
-            "sketch_deltas": schema.SKETCH_DELTAS_TABLE,
-            "register_deltas": schema.REGISTER_DELTAS_TABLE,
-            "quarantine": schema.QUARANTINE_TABLE,
-            "batch_health": schema.BATCH_HEALTH_TABLE,
-            "folded": schema.FOLDED_TABLE,
-        }
+        self.manifest = Manifest(spark, self.root)
+        self._written: dict[str, list[Part]] = {}  # parts of batches that are not committed yet
+        self._lock = threading.Lock()
 
     def create(self) -> EventTables:
-        """Make the folders of the tables, so that a table without rows can be read."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in self._schemas:
-            path = jvm.org.apache.hadoop.fs.Path(self._path(name))
-            path.getFileSystem(conf).mkdirs(path)
+        """Start an empty manifest, if there is none."""
+        self.manifest.create()
         return self
 
-    def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def snapshot(self, generation: int | None = None) -> Snapshot:
+        return Snapshot(self, generation)
 
-    def _overwrite(self, rows: DataFrame, table: str, batch_id: str, by_day: bool = True) -> None:
-        writer = rows.drop("batch_id").write.mode("overwrite")
-        if by_day:
-            writer = writer.partitionBy("day")
-        writer.parquet(f"{self._path(table)}/batch_id={batch_id}")
-
-    def _scan(self, table: str) -> DataFrame:
-        return self.spark.read.schema(self._schemas[table]).parquet(self._path(table))
+    def read_parts(self, table: str, parts: Sequence[Part]) -> DataFrame:
+        wanted = _SCHEMAS[table]
+        if not parts:
+            return self.spark.createDataFrame([], wanted)
+        base = f"{self.root}/{table}"
+        paths = [f"{self.root}/{p.path}" for p in parts]
+        return self.spark.read.schema(wanted).option("basePath", base).parquet(*paths).select(*wanted.fieldNames())
 
     # -- writing one batch ------------------------------------------------------------------
 
-    def write_events(self, fresh: DataFrame, batch_id: str) -> None:
-        """Store the new events of a batch, clustered by day and name.
+    def _write(
+        self, table: str, rows: DataFrame, by: str, order: Sequence[str] = (), options: dict | None = None,
+        **entry,
+    ) -> tuple[int, list[Part]]:
+        """Write rows as one new part for each value of `by`; returns the number of rows and the parts. Both come
+        from the write itself, by observed metrics, and not from another pass."""
+        name, seen = f"p-{uuid.uuid4().hex}", Observation()
+        placed = rows.withColumn("part", F.lit(name)).sortWithinPartitions(by, "part", *order)
+        metrics = F.count(F.lit(1)).alias("rows"), F.collect_set(F.struct(F.col(by).cast("string"))).alias("places")
+        writer = placed.observe(seen, *metrics).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.options(**(options or {})).partitionBy(by, "part").parquet(f"{self.root}/{table}")
+        parts = []
+        for (value,) in seen.get["places"]:
+            where = {"day": date.fromisoformat(value)} if by == "day" else {by: int(value)}
+            parts.append(Part(table, f"{by}={value}", name, **where, **entry))
+        return seen.get["rows"], parts
+
+    def _store(self, table: str, rows: DataFrame, batch_id: str, by: str = "day", order: Sequence[str] = (), **more) -> int:
+        n, parts = self._write(table, rows, by, order, batch_id=batch_id, **more)
+        with self._lock:
+            self._written[batch_id] = [p for p in self._written.get(batch_id, []) if p.table != table] + parts
+        return n
+
+    def write_events(self, fresh: DataFrame, batch_id: str) -> int:
+        """Store the new events of a batch, clustered by day and name; returns their number.
 
         The rebalance brings a day's rows together, splits a day that is too big for one task and
         joins small ones; sorting lets a filter on name skip row groups.
         """
-        rows = fresh.select(*schema.EVENT_COLUMNS, to_day("ts").alias("day"))
-        clustered = rows.hint("rebalance", "day").sortWithinPartitions("day", "name", "ts")
-        self._overwrite(clustered, "events", batch_id)
+        rows = fresh.select(*schema.EVENT_COLUMNS, F.lit(batch_id).alias("batch_id"), to_day("ts").alias("day"))
+        return self._store("events", rows.hint("rebalance", "day"), batch_id, order=("name", "ts"))
 
-    def write_minute_deltas(self, rollup: DataFrame, batch_id: str) -> None:
+    def write_minute_deltas(self, rollup: DataFrame, batch_id: str) -> int:
         """Store what a batch adds to the minute counters."""
         rows = rollup.select("name", "minute", "n", to_day("minute").alias("day"))
-        self._overwrite(rows.hint("rebalance", "day"), "minute_deltas", batch_id)
+        return self._store("minute_deltas", rows.hint("rebalance", "day"), batch_id, order=("name", "minute"))
 
-    def write_sketch_deltas(self, sketches: DataFrame, batch_id: str) -> None:
+    def write_sketch_deltas(self, sketches: DataFrame, batch_id: str) -> int:
         """Store the users a batch adds per (name, day)."""
         rows = sketches.select("name", "sketch", "day")
-        self._overwrite(rows.hint("rebalance", "day"), "sketch_deltas", batch_id)
+        return self._store("sketch_deltas", rows.hint("rebalance", "day"), batch_id, order=("name",))
 
-    def write_register_deltas(self, registers: DataFrame, batch_id: str) -> None:
+    def write_register_deltas(self, registers: DataFrame, batch_id: str) -> int:
         """Store the users a batch adds per (name, day) as portable registers."""
         rows = registers.select("name", "register", "rank", "day")
-        self._overwrite(rows.hint("rebalance", "day"), "register_deltas", batch_id)
+        return self._store("register_deltas", rows.hint("rebalance", "day"), batch_id, order=("name",))
+
+    def write_event_ids(self, events: DataFrame, batch_id: str) -> int:
+        """Add the ids of a batch to the index of known ids, unsorted into buckets until they are folded."""
+        rows = id_index.hashed_ids(events).withColumn("bucket", F.lit(id_index.RECENT))
+        return self._store("event_ids", rows.select(*schema.EVENT_IDS_TABLE.fieldNames()), batch_id, "bucket", ("id_hash",))
 
-    def write_quarantine(self, rejected: DataFrame, batch_id: str) -> None:
-        """Set rejected lines aside with their reason."""
-        self._overwrite(rejected.select("value", "reason"), "quarantine", batch_id, by_day=False)
+    def write_quarantine(self, rejected: DataFrame, batch_id: str) -> int:
+        """Set rejected lines aside with their reason, under the day they are stored."""
+        today = datetime.now(timezone.utc).date()
+        rows = rejected.select("value", "reason", F.lit(batch_id).alias("batch_id"), F.lit(today).alias("day"))
+        return self._store("quarantine", rows, batch_id)
 
     def commit(
-        self,
-        batch_id: str,
-        batch_size: int,
-        inserted: int,
-        took_seconds: float,
-        ts,
-        error: str | None = None,
+        self, batch_id: str, batch_size: int, inserted: int, took_seconds: float, ts, error: str | None = None
     ) -> None:
-        """Make a batch visible; the same row is its health record."""
-        values = (batch_size, inserted, batch_size - inserted, took_seconds, error, ts)
-        fields = [f for f in schema.BATCH_HEALTH_TABLE.fields if f.name != "batch_id"]
-        row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)]
-        marker = self.spark.range(1).coalesce(1).select(*row)
-        self._overwrite(marker, "batch_health", batch_id, by_day=False)
+        """Make what was written for a batch visible, in place of an earlier attempt; the same row is its health
+        record. With an `error` the attempt is put on record and nothing becomes visible."""
+        with self._lock:
+            parts = self._written.pop(batch_id, [])
+        health = {
+            "batch_id": batch_id, "batch_size": batch_size, "inserted": inserted, "duplicates": batch_size - inserted,
+            "took_seconds": took_seconds, "error": error, "ts": ts or datetime.now(timezone.utc),
+        }
+        if self.manifest.commit(parts if error is None else [], replaces=batch_id if error is None else None, **health):
+            self._checkpoint()
+
+    def _checkpoint(self) -> None:
+        """Health of the batches since the last checkpoint becomes rows of a table, then the list is written."""
+        placed = self.manifest.batches().select(*_HEALTH, "parts", "generation", to_day("ts").alias("day"))
+        _, parts = self._write("batch_health", placed.coalesce(1), "day", ("batch_id",))
+        self.manifest.checkpoint(parts)
+
+    def _live(self, table: str) -> list[Part]:
+        return self.manifest.live(F.col("table") == table)
+
+    def _parts_of(self, batch_id: str, table: str | None = None) -> list[Part]:
+        own = F.col("batch_id") == F.lit(batch_id)
+        return self.manifest.live(own if table is None else own & (F.col("table") == table))
+
+    def _attempt(self, batch_id: str) -> tuple[int | None, int]:
+        """Parts that a batch has stored, None if it is not visible, and how many of them are not folded yet."""
+        own = F.col("batch_id") == F.lit(batch_id)
+        view = self.manifest.look((F.col("table") == "batch_health") | own)
+        told = [r for r in view.commits if r.batch_id == batch_id]
+        earlier = [p for p in view.parts if p.table == "batch_health"]
+        if not told and earlier:
+            told = self.read_parts("batch_health", earlier).filter(own).select("generation", "parts", "error").collect()
+        told = [r for r in told if r.error in (None, "withdrawn")]  # failed attempts changed nothing
+        last = max(told, key=lambda r: r.generation, default=None)
+        visible = last is not None and last.error is None
+        return last.parts if visible else None, len(view.parts) - len(earlier)
 
     def is_committed(self, batch_id: str) -> bool:
-        """Whether a batch is visible; looks at that batch's marker only."""
-        own = (F.col("batch_id") == F.lit(batch_id)) & F.col("error").isNull()
-        return not self.batch_health().filter(own).isEmpty()
+        """Whether a batch is visible."""
+        return self._attempt(batch_id)[0] is not None
 
-    def withdraw(self, batch_id: str) -> None:
-        """Make a batch invisible before another attempt replaces its files, so that readers see all of it
-        or nothing. Once its deltas are folded into a compacted day it can't be replaced."""
-        if not self._scan("folded").filter(F.col("folded") == F.lit(batch_id)).isEmpty():
+    def check_replaceable(self, batch_id: str) -> None:
+        """Refuse a batch of which a part was folded into a compacted one: its rows can't be taken out again."""
+        stored, left = self._attempt(batch_id)
+        if stored is not None and left < stored:
             raise ValueError(f"batch {batch_id} is part of a compacted day and can't be replaced")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('batch_health')}/batch_id={batch_id}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def withdraw(self, batch_id: str) -> None:
+        """Make a batch invisible again."""
+        self.check_replaceable(batch_id)
+        now = datetime.now(timezone.utc)
+        self.manifest.commit([], replaces=batch_id, batch_id=batch_id, error="withdrawn", ts=now)
 
     # -- reading ----------------------------------------------------------------------------
 
     def batch_health(self) -> DataFrame:
-        return self._scan("batch_health")
-
-    def _finished(self, table: str) -> DataFrame:
-        """Rows of finished batches. The list of batches, one short row each, is broadcast while its
-        measured size allows it; only a batch cut off half-way is left out."""
-        done = self.batch_health().filter(F.col("error").isNull()).select("batch_id")
-        return self._scan(table).join(done, "batch_id", "left_semi")
+        """The last outcome of every batch, and every failed attempt."""
+        stored = self.read_parts("batch_health", self._live("batch_health"))
+        recent = self.manifest.batches()
+        rows = stored.select(*_HEALTH, "generation").unionAll(recent.select(*_HEALTH, "generation"))
+        withdrawn = F.coalesce(F.col("error") == "withdrawn", F.lit(False))
+        attempt = F.when(F.col("error").isNotNull() & ~withdrawn, F.col("generation")).alias("_attempt")
+        last = rows.groupBy("batch_id", attempt).agg(F.max_by(F.struct(*_HEALTH[:-1]), "generation").alias("_h"))
+        shown = last.select("_h.*", "batch_id").filter(F.coalesce(F.col("error") != "withdrawn", F.lit(True)))
+        return shown.select(*_HEALTH)
 
     def events(self, other_than: str | None = None) -> DataFrame:
         """Stored events, without those of an earlier attempt at batch `other_than`."""
-        rows = self._finished("events")
+        rows = self.snapshot().events()
         return rows if other_than is None else rows.filter(F.col("batch_id") != other_than)
 
     def events_of(self, batch_id: str) -> DataFrame:
-        """What a batch has just stored; lists that batch's directory only."""
-        layout = T.StructType([f for f in schema.EVENTS_TABLE.fields if f.name != "batch_id"])
-        return self.spark.read.schema(layout).parquet(f"{self._path('events')}/batch_id={batch_id}")
+        """What a batch has just written, committed or not; only its own folders are listed."""
+        with self._lock:
+            parts = [p for p in self._written.get(batch_id, []) if p.table == "events"]
+        return self.read_parts("events", parts or self._parts_of(batch_id, "events"))
+
+    def known_ids(self, batch: DataFrame, other_than: str | None = None) -> DataFrame:
+        """event_id of the stored ids that `batch` may hold: see `id_index.probe`."""
+        return id_index.probe(self, batch, other_than)
+
+    def other_writers(self, prefix: str) -> bool:
+        """Whether there are known ids of batches that don't begin with `prefix`, or folded ones, whose batch is
+        not known any more. One look at the manifest."""
+        other = (F.col("table") == "event_ids") & ~F.coalesce(F.col("batch_id").startswith(prefix), F.lit(False))
+        return bool(self.manifest.live(other))
 
     def quarantine(self) -> DataFrame:
-        return self._finished("quarantine")
-
-    def _live(self, table: str) -> DataFrame:
-        """Deltas not yet folded, plus the newest compacted form of each folded day."""
-        folded = self._scan("folded")
-        newest = folded.groupBy("day").agg(F.max("into").alias("batch_id"))
-        rows = self._scan(table)
-        compacted = rows.filter(F.col("batch_id").startswith(COMPACTED)).join(
-            newest, ["day", "batch_id"], "left_semi"
-        )
-        gone = folded.select("day", F.col("folded").alias("batch_id")).distinct()
-        open_rows = self._finished(table).join(gone, ["day", "batch_id"], "left_anti")
-        return open_rows.select(*rows.columns).unionAll(compacted.select(*rows.columns))
+        return self.snapshot().quarantine()
 
     def minute_deltas(self) -> DataFrame:
-        return self._live("minute_deltas")
+        return self.snapshot().minute_deltas()
 
     def sketch_deltas(self) -> DataFrame:
-        return self._live("sketch_deltas")
+        return self.snapshot().sketch_deltas()
 
     def register_deltas(self) -> DataFrame:
-        return self._live("register_deltas")
+        return self.snapshot().register_deltas()
 
     # -- compaction -------------------------------------------------------------------------
 
+    def _fold(self, day: date, merges: dict[str, tuple[Callable, Sequence[str]]]) -> str | None:
+        snapshot = self.snapshot()
+        added, removed = [], []
+        for table, (merge, order) in merges.items():
+            parts = snapshot.parts(table, day, day)
+            if all(p.batch_id is None for p in parts) and len(parts) < 2:
+                continue
+            merged = merge(self.read_parts(table, parts)).hint("rebalance", "day")
+            names = _SCHEMAS[table].fieldNames()
+            added += self._write(table, merged.select(*names), "day", order, since=max(p.since for p in parts))[1]
+            removed += parts
+        if not removed:
+            return None
+        self.manifest.commit(added, removed)
+        return added[0].part
+
     def compact_deltas(self, day: date) -> str | None:
         """Rewrite a day's deltas as one row per key; returns the name of the new form.
 
-        The new form is written beside the old one and becomes visible with the last write, the
-        list of batches it contains. A batch that arrives later adds deltas on top and is folded by
-        the next call. A crash before the last write leaves readers on the old form.
+        The new form is written beside the old one and takes its place, in all tables, with the next
+        generation. A batch that arrives later adds deltas on top and is folded by the next call. A crash
+        before that leaves readers on the old form.
         """
-        on_day = F.col("day") == F.lit(day)
-        merges = {
-            "minute_deltas": lambda d: d.groupBy("name", "minute", "day").agg(F.sum("n").alias("n")),
-            "sketch_deltas": lambda d: merge_sketches(d, ["name", "day"]),
-            "register_deltas": lambda d: portable_merge(d, ["name", "day"]),
-        }
-        # Read the list of batches before the data is written, then fold exactly that list: one
-        # short row per batch of one day, kept as a table and not on the driver.
-        contained = f"{self._path('folding')}/{uuid.uuid4().hex}"
-        present = None
-        for table in merges:
-            ids = self._finished(table).filter(on_day).select("batch_id")
-            present = ids if present is None else present.unionAll(ids)
-        folded = self._scan("folded").filter(on_day)
-        unfolded = present.join(folded.select(F.col("folded").alias("batch_id")), "batch_id", "left_anti")
-        unfolded.distinct().write.parquet(contained)
-        batches = self.spark.read.schema("batch_id string").parquet(contained)
-        if batches.isEmpty():
-            return None
-        earlier = folded.select("into").distinct()
-        into = f"{COMPACTED}{day:%Y%m%d}-{earlier.count():08d}"
-        scope = batches.unionAll(earlier)
-        for table, merge in merges.items():
-            live = self._live(table).filter(on_day)
-            self._overwrite(merge(live.join(scope, "batch_id", "left_semi")), table, into)
-        rows = batches.select(
-            F.lit(day).alias("day"), F.col("batch_id").alias("folded"), F.lit(into).alias("into")
+        counters = lambda d: d.groupBy("name", "minute", "day").agg(F.sum("n").alias("n"))
+        return self._fold(
+            day,
+            {
+                "minute_deltas": (counters, ("name", "minute")),
+                "sketch_deltas": (lambda d: merge_sketches(d, ["name", "day"]), ("name",)),
+                "register_deltas": (lambda d: portable_merge(d, ["name", "day"]), ("name",)),
+            },
         )
-        rows.coalesce(1).write.mode("append").parquet(self._path("folded"))
-        return into
+
+    def compact_events(self, day: date) -> str | None:
+        """Rewrite a day's events from the files of many batches into few, clustered by name."""
+        return self._fold(day, {"events": (lambda d: d, ("name", "ts"))})
+
+    def compact_ids(self) -> int:
+        """Fold the ids of recent batches into their buckets; returns the number of parts folded."""
+        return id_index.fold(self)
+
+    def merge_sketch_tree(self, first: date, last: date) -> int:
+        """Merge daily sketches into nodes of 2, 4, 8, ... days, for nodes within first..last that are missing or
+        older than what has arrived since; returns the number of nodes. See `operators/sketch_tree`."""
+        snapshot = self.snapshot()
+        tables = F.col("table").isin("sketch_nodes", "sketch_deltas") & _in_days(first, last)
+        parts = self.manifest.live(tables, snapshot.generation)
+        nodes = [p for p in parts if p.table == "sketch_nodes"]
+        days = [p for p in parts if p.table == "sketch_deltas"]
+        made, replaced = [], []
+        for level in range(1, sketch_tree.LEVELS + 1):
+            stale, starts = sketch_tree.due(level, first, last, nodes, days)
+            if not starts:
+                continue
+            sources = [sketch_tree.cover(s, sketch_tree.end(s, level), nodes, days) for s in starts]
+            children = self.read_parts("sketch_nodes", [p for chosen, _ in sources for p in chosen])
+            daily = self.read_parts("sketch_deltas", [p for _, rest in sources for p in rest])
+            start = sketch_tree.start_of(F.col("day"), level).alias("day")
+            rows = children.select("name", start, "sketch").unionAll(daily.select("name", start, "sketch"))
+            merged = merge_sketches(rows, ["name", "day"]).withColumn("level", F.lit(level))
+            names = _SCHEMAS["sketch_nodes"].fieldNames()
+            written = self._write(
+                "sketch_nodes", merged.select(*names).hint("rebalance", "day"), "day", ("name",), level=level, since=snapshot.generation
+            )[1]
+            nodes = [n for n in nodes if n not in stale] + written
+            made, replaced = made + written, replaced + stale
+        if made:
+            self.manifest.commit(made, replaced)
+        return len(made)
+
+    def remove_dead(self, grace: timedelta = timedelta(days=7)) -> int:
+        """Delete files of replaced, compacted and never finished parts that are older than `grace`."""
+        return self.manifest.remove_dead(_SCHEMAS, grace)
 
 
 def compact_rollup(deltas: DataFrame) -> DataFrame:
     """Minute deltas to one row per (name, minute, day)."""
     return deltas.groupBy("name", "minute", "day").agg(F.sum("n").alias("n"))
+

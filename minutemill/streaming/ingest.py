@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark import InheritableThread, StorageLevel
@@ -23,6 +24,10 @@ from minutemill.sources.tables import EventTables
 from minutemill.streaming.live import append_stream, dedupe_stream
 
 
+# Micro-batches after which a stream folds their ids into the buckets of the id index.
+FOLD_EVERY = 100
+
+
 def batch_name(number: int, writer: str = "log") -> str:
     return f"{writer}-{number:012d}"
 
@@ -37,11 +42,12 @@ def ingest_batch(
 ) -> None:
     """Store one batch of events and what it adds to counters and sketches.
 
-    Repeating a batch_id replaces its earlier attempt, which readers stop seeing before its files change.
-    History is read as one column of ids; `history` may narrow it (for example to recent days) where
-    a bounded memory is acceptable. `portable` also keeps the users as portable registers.
+    Repeating a batch_id replaces its earlier attempt: readers see all of the old one until they see all of the
+    new one. Known ids are looked up in the id index; `history` takes the stored events instead and may
+    narrow them (for example to recent days) where a bounded memory is acceptable. `portable` also keeps the
+    users as portable registers. An attempt that fails is put on record and the error goes on.
     """
-    tables.withdraw(batch_id)
+    tables.check_replaceable(batch_id)
     received = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _store(tables, received, batch_id, uniques_over, history, portable)
@@ -49,6 +55,21 @@ def ingest_batch(
         received.unpersist()
 
 
+@contextmanager
+def _on_record(tables: EventTables, batch_id: str, size: Callable[[], int]) -> Iterator[None]:
+    """Put a failed attempt on record, with the rows it would have stored."""
+    started = time.monotonic()
+    try:
+        yield
+    except Exception as failure:
+        took, said = time.monotonic() - started, f"{type(failure).__name__}: {failure}"[:500]
+        try:
+            tables.commit(batch_id, size(), 0, took, datetime.now(timezone.utc), error=said)
+        except Exception:  # the store itself is out of reach: the first failure is the one to tell
+            pass
+        raise
+
+
 def _together(*steps: Callable[[], object]) -> None:
     """Run independent writes at the same time, so that one's last tasks leave no cores idle."""
     failures: list[BaseException] = []
@@ -81,36 +102,42 @@ def _store(
     ids are joined to history. With `only_new` the caller has left out all known ids already."""
     if uniques_over not in ("received", "inserted"):
         raise ValueError("uniques_over must be 'received' or 'inserted'")
-    started = time.monotonic()
-    size = received.count()
-    if only_new:
-        fresh = received
-    else:
-        seen = tables.events(other_than=batch_id)
-        fresh = dedupe_stored(received, seen if history is None else history(seen))
-
-    def store_users(events: DataFrame) -> None:
-        tables.write_sketch_deltas(uniques_daily(events), batch_id)
-        if portable:
-            tables.write_register_deltas(portable_registers(events), batch_id)
-
-    inserted = 0
-
-    def store_events() -> None:
-        nonlocal inserted
-        tables.write_events(fresh, batch_id)
-        # Counters follow what was stored, read back as two columns of this batch's files.
-        stored = tables.events_of(batch_id)
-        tables.write_minute_deltas(minute_rollup(stored), batch_id)
-        inserted = stored.count()
-        if uniques_over == "inserted":
-            store_users(stored)
-
-    if uniques_over == "received":
-        _together(store_events, lambda: store_users(received))
-    else:
-        store_events()
-    tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
+    size = 0
+    with _on_record(tables, batch_id, lambda: size):
+        started = time.monotonic()
+        size = received.count()
+        if only_new:
+            fresh = received
+        elif history is None:
+            fresh = dedupe_stored(received, tables.known_ids(received, other_than=batch_id))
+        else:
+            fresh = dedupe_stored(received, history(tables.events(other_than=batch_id)))
+
+        def store_users(events: DataFrame) -> None:
+            tables.write_sketch_deltas(uniques_daily(events), batch_id)
+            if portable:
+                tables.write_register_deltas(portable_registers(events), batch_id)
+
+        inserted = 0
+
+        def store_events() -> None:
+            nonlocal inserted
+            inserted = tables.write_events(fresh, batch_id)
+            # Counters and ids follow what was stored, read back as few columns of this batch's files.
+            stored = tables.events_of(batch_id)
+            steps = [
+                lambda: tables.write_minute_deltas(minute_rollup(stored), batch_id),
+                lambda: tables.write_event_ids(stored, batch_id),
+            ]
+            if uniques_over == "inserted":
+                steps.append(lambda: store_users(stored))
+            _together(*steps)
+
+        if uniques_over == "received":
+            _together(store_events, lambda: store_users(received))
+        else:
+            store_events()
+        tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
 
 
 def import_history(
@@ -122,24 +149,29 @@ def import_history(
 ) -> DataFrame | None:
     """Take over existing tables: stored events, minute counters and portable sketch buffers.
 
-    Counters and sketches are taken as they are and not derived from the events. Returns the
-    sketches that could not be read.
+    Counters and sketches are taken as they are and not derived from the events, of which those are left out
+    whose id is stored already. Returns the sketches that could not be read.
     """
-    started, size, rejected = time.monotonic(), 0, None
-    if events is not None:
-        tables.write_events(events, batch_id)
-        size = tables.events_of(batch_id).count()
-    if counters is not None:
-        tables.write_minute_deltas(counters, batch_id)
-    if sketches is not None:
-        registers, rejected = import_portable_sketches(sketches)
-        tables.write_register_deltas(registers, batch_id)
-    tables.commit(batch_id, size, size, time.monotonic() - started, datetime.now(timezone.utc))
+    tables.check_replaceable(batch_id)
+    started, size, inserted, rejected = time.monotonic(), 0, 0, None
+    with _on_record(tables, batch_id, lambda: size):
+        if events is not None:
+            size = events.count()
+            fresh = dedupe_stored(events, tables.known_ids(events, other_than=batch_id))
+            inserted = tables.write_events(fresh, batch_id)
+            tables.write_event_ids(tables.events_of(batch_id), batch_id)
+        if counters is not None:
+            tables.write_minute_deltas(counters, batch_id)
+        if sketches is not None:
+            registers, rejected = import_portable_sketches(sketches)
+            tables.write_register_deltas(registers, batch_id)
+        tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
     return rejected
 
 
 def ingest_records(tables: EventTables, records: DataFrame, batch_id: str, **options) -> None:
-    """Decode and check raw log records once, set bad ones aside, store the rest."""
+    """Decode and check raw log records once, set bad ones aside, store the rest. A repeated batch_id replaces
+    its earlier attempt as a whole."""
     judged = with_reason(decode_records(records)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tables.write_quarantine(judged.filter(F.col("reason").isNotNull()), batch_id)
@@ -159,27 +191,36 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start the stream. Batches of the log are stored until they succeed and are never dropped.
 
-    A crash repeats the unfinished batch under the same name, which overwrites what the first
-    attempt left; a batch that was committed before the crash is not touched again. Names hold the query's id, which the checkpoint keeps: with a new checkpoint, numbers
-    start again but names do not.
+    A crash repeats the unfinished batch under the same name; what the first attempt left is never read. A batch
+    that was committed before the crash is not touched again. Names hold the query's id, which the checkpoint
+    keeps: with a new checkpoint, numbers start again but names do not. Every `FOLD_EVERY` batches the ids of
+    the last ones are folded into the buckets of the id index.
     """
 
     def store(batch: DataFrame, name: str, _: str) -> None:
-        if not tables.is_committed(name):
-            ingest_records(tables, batch, name, **options)
+        ingest_records(tables, batch, name, **options)
 
-    return _start(records, store, checkpoint, writer, trigger)
+    return _start(tables, records, store, checkpoint, writer, trigger)
 
 
 def _start(
-    rows: DataFrame, store: Callable[[DataFrame, str, str], None], checkpoint: str, writer: str, trigger: dict | None
-) -> StreamingQuery:
-    """Run store(batch, batch name, prefix of this query's batch names) on every micro-batch."""
-    known, prefix = threading.Event(), []
+    tables: EventTables, rows: DataFrame, store: Callable[[DataFrame, str, str], None], checkpoint: str, writer: str,
+    trigger: dict | None,
+) -> StreamingQuery:
+    """Run store(batch, batch name, prefix of this query's batch names) on every micro-batch.
+
+    Only the first batch after a start can be one that was stored before.
+    """
+    known, prefix, first = threading.Event(), [], []
 
     def with_name(batch: DataFrame, number: int) -> None:
         known.wait()
-        store(batch, batch_name(number, prefix[0]), f"{prefix[0]}-")
+        name = batch_name(number, prefix[0])
+        if first or not tables.is_committed(name):
+            store(batch, name, f"{prefix[0]}-")
+        first.append(name)
+        if len(first) % FOLD_EVERY == 0:
+            tables.compact_ids()
 
     query = (
         rows.writeStream.foreachBatch(with_name)
@@ -205,26 +246,20 @@ def ingest_stream_with_state(
     A micro-batch then costs what it holds and does not read history: the form for small, frequent
     batches over years of ids. State lives in RocksDB and is spread by event_id. Uniques follow
     the stored events and bad records are left to `quarantine_stream`. Events that other queries or an
-    earlier checkpoint have stored are not in the state; where there are any, each batch is compared
-    with their ids as well.
+    earlier checkpoint have stored are not in the state: every batch looks in the manifest for ids of others
+    and, where there are any, is compared with the id index as well.
     """
-    others: list[bool] = []
 
     def store(batch: DataFrame, name: str, prefix: str) -> None:
-        if tables.is_committed(name):
-            return
         received = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            seen = tables.events().filter(~F.col("batch_id").startswith(prefix))
-            if not others:
-                others.append(not seen.isEmpty())
-            fresh = {"only_new": True} if not others[0] else {"history": lambda _: seen}
-            _store(tables, received, name, uniques_over="inserted", portable=portable, **fresh)
+            alone = not tables.other_writers(prefix)
+            _store(tables, received, name, uniques_over="inserted", portable=portable, only_new=alone)
         finally:
             received.unpersist()
 
     accepted, _ = validate_events(decode_records(records))
-    return _start(dedupe_stream(accepted.select(*EVENT_COLUMNS)), store, checkpoint, writer, trigger)
+    return _start(tables, dedupe_stream(accepted.select(*EVENT_COLUMNS)), store, checkpoint, writer, trigger)
 
 
 def quarantine_stream(
