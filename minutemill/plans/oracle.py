@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from minutemill.operators.health import INGEST_SECONDS_BUCKETS
+from minutemill.operators.health import BATCH_SIZE_BUCKETS, FLUSH_SECONDS_BUCKETS, INGEST_SECONDS_BUCKETS
 from minutemill.plans.inputs import AS_OF
 from minutemill.plans.registry import (
     BUCKET_BURST,
@@ -168,13 +168,36 @@ _TOKEN = 1_000_000 * BUCKET_RATE.denominator
 _REFILL = BUCKET_RATE.numerator
 _CAP = BUCKET_BURST * _TOKEN
 
-_BOUNDS = ", ".join(f"({b!r}::DOUBLE)" for b in INGEST_SECONDS_BUCKETS)
-_HISTOGRAM = f"""
-lat AS (SELECT event_id AS request_id, event_type AS name, value / 1000 AS took_seconds FROM events),
-bounds(le) AS (VALUES {_BOUNDS}, ('inf'::DOUBLE)),
+_LATENCIES = "lat AS (SELECT event_id AS request_id, event_type AS name, value / 1000 AS took_seconds FROM events)"
+
+
+def _histogram_of(rows: str, column: str, bounds: list[float], keys: str = "") -> str:
+    values = ", ".join(f"({b!r}::DOUBLE)" for b in bounds)
+    return f"""
+bounds(le) AS (SELECT CAST(le AS DOUBLE) FROM (VALUES {values}, ('inf'::DOUBLE)) v(le)),
 hist AS (
-  SELECT l.name, b.le, count(*) FILTER (WHERE l.took_seconds <= b.le) AS count
-  FROM lat l CROSS JOIN bounds b GROUP BY ALL)"""
+  SELECT {keys} b.le, count(*) FILTER (WHERE l.{column} <= b.le) AS count
+  FROM {rows} l CROSS JOIN bounds b GROUP BY ALL)"""
+
+
+_HISTOGRAM = f"{_LATENCIES}, {_histogram_of('lat', 'took_seconds', INGEST_SECONDS_BUCKETS, 'l.name,')}"
+_FLUSH_TIMES = f"{_LATENCIES}, {_histogram_of('lat', 'took_seconds', FLUSH_SECONDS_BUCKETS, 'l.name,')}"
+
+
+def _quantile(q: str) -> tuple[str, str]:
+    """Steps after hist, and the selection, of the quantile q."""
+    steps = f"""
+placed AS (
+  SELECT *, {q}::DOUBLE AS quantile, coalesce(lag(le) OVER w, 0) AS lower_le, coalesce(lag(count) OVER w, 0) AS below,
+         {q}::DOUBLE * max(count) OVER (PARTITION BY name) AS target,
+         max(CASE WHEN le < 'inf'::DOUBLE THEN le END) OVER (PARTITION BY name) AS largest
+  FROM hist WINDOW w AS (PARTITION BY name ORDER BY le)),
+holding AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY le) AS rn FROM placed WHERE count >= target)"""
+    select = """SELECT name, quantile,
+             CASE WHEN le = 'inf'::DOUBLE THEN largest
+                  ELSE lower_le + (le - lower_le) * ((target - below) / (count - below)) END AS value
+           FROM holding WHERE rn = 1"""
+    return steps, select
 
 
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
@@ -444,18 +467,12 @@ walk AS (
              CAST(coalesce(sum(batch_size) FILTER (WHERE failed), 0) AS BIGINT) AS dropped FROM health""",
     ),
     "exp_histogram": _with(_HISTOGRAM, "SELECT name, le, count FROM hist"),
-    "histogram_quantile": _with(
-        f"""{_HISTOGRAM},
-placed AS (
-  SELECT *, coalesce(lag(le) OVER w, 0) AS lower_le, coalesce(lag(count) OVER w, 0) AS below,
-         0.99::DOUBLE * max(count) OVER (PARTITION BY name) AS target,
-         max(CASE WHEN le < 'inf'::DOUBLE THEN le END) OVER (PARTITION BY name) AS largest
-  FROM hist WINDOW w AS (PARTITION BY name ORDER BY le)),
-holding AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY le) AS rn FROM placed WHERE count >= target)""",
-        """SELECT name, 0.99::DOUBLE AS quantile,
-             CASE WHEN le = 'inf'::DOUBLE THEN largest
-                  ELSE lower_le + (le - lower_le) * ((target - below) / (count - below)) END AS value
-           FROM holding WHERE rn = 1""",
+    "histogram_quantile": _with(f"{_HISTOGRAM}, {_quantile('0.99')[0]}", _quantile("0.99")[1]),
+    "batch_size_histogram": _with(
+        f"{_HEALTH}, {_histogram_of('health', 'batch_size', BATCH_SIZE_BUCKETS)}", "SELECT le, count FROM hist"
+    ),
+    "flush_time_quantiles": "\nUNION ALL\n".join(
+        f"({_with(f'{_FLUSH_TIMES}, {_quantile(q)[0]}', _quantile(q)[1])})" for q in ("0.5", "0.99")
     ),
     "event_rates": _with(
         f"""{_HEALTH},

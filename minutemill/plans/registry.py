@@ -303,24 +303,23 @@ def batch_outcome(spark, sf_dir):
     return dedupe.batch_outcome(*_first_deliveries(spark, sf_dir))
 
 
-def _deduped_by_stream(spark, sf_dir, horizon: str | None) -> DataFrame:
+@query
+def dedupe_stream(spark, sf_dir):
     root = scratch_path(spark, "dedupe")
-    log = _log_of_deliveries(spark, sf_dir, root)
-    stream = _event_stream(spark, log)
-    once = live.dedupe_stream(stream) if horizon is None else live.dedupe_stream_bounded(stream, horizon)
-    kept = once.select("event_id", "name")
+    stream = _event_stream(spark, _log_of_deliveries(spark, sf_dir, root))
+    kept = live.dedupe_stream(stream).select("event_id", "name")
     live.append_stream(kept, f"{root}/once", f"{root}/checkpoint", ONCE).awaitTermination()
     return spark.read.schema(kept.schema).parquet(f"{root}/once")
 
 
-@query
-def dedupe_stream(spark, sf_dir):
-    return _deduped_by_stream(spark, sf_dir, None)
-
-
 @query
 def dedupe_stream_bounded(spark, sf_dir):
-    return _deduped_by_stream(spark, sf_dir, "60 days")
+    """A horizon far shorter than the data: copies come after their first delivery has left the state."""
+    root = scratch_path(spark, "dedupe")
+    records = event_log.read_event_log(spark, _log_of_deliveries(spark, sf_dir, root))
+    tables = EventTables(spark, f"{root}/tables").create()
+    ingest.ingest_stream_bounded(records, tables, f"{root}/checkpoint", "1 second", trigger=ONCE).awaitTermination()
+    return tables.events().select("event_id", "name")
 
 
 @query
@@ -535,8 +534,8 @@ def live_rollup(spark, sf_dir):
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     event_log.write_event_log(inputs.events(spark, sf_dir), log)
     stream = _event_stream(spark, log)
-    live.live_rollup(stream, f"{root}/live", f"{root}/checkpoint", ONCE).awaitTermination()
-    return live.read_live_rollup(spark, f"{root}/live")
+    ingest.live_rollup(stream, f"{root}/live", f"{root}/checkpoint", ONCE).awaitTermination()
+    return ingest.read_live_rollup(spark, f"{root}/live")
 
 
 # -- quotas and health ----------------------------------------------------------------------
@@ -574,6 +573,21 @@ def exp_histogram(spark, sf_dir):
     return _histogram(spark, sf_dir)
 
 
+@query
+def batch_size_histogram(spark, sf_dir):
+    """Batches by size, in the bounds that flushes are reported in."""
+    return health.exp_histogram(_health(spark, sf_dir), "batch_size", health.BATCH_SIZE_BUCKETS)
+
+
+@query
+def flush_time_quantiles(spark, sf_dir):
+    """p50 and p99 of flush times from their histogram, by name."""
+    histogram = health.exp_histogram(
+        inputs.latencies(spark, sf_dir), "took_seconds", health.FLUSH_SECONDS_BUCKETS, ["name"]
+    )
+    return health.histogram_quantile(histogram, 0.5, ["name"]).unionAll(health.histogram_quantile(histogram, 0.99, ["name"]))
+
+
 @query
 def histogram_quantile(spark, sf_dir):
     return health.histogram_quantile(_histogram(spark, sf_dir), 0.99, ["name"])

@@ -19,7 +19,8 @@ class EventLog:
     """Where the log is and how much of it one micro-batch may take.
 
     `format` is "kafka" (needs the Kafka connector on the cluster) or "json" for files of records
-    with the same three columns. With `min_records_per_batch` a Kafka batch waits until it is that
+    with the same three columns. Batches of files end at `max_bytes_per_batch`, where it is given, or else at
+    `max_files_per_batch`; a file is never cut, so one beyond the bound is a batch by itself. With `min_records_per_batch` a Kafka batch waits until it is that
     large or `max_delay` has passed, whichever comes first.
     """
 
@@ -28,6 +29,7 @@ class EventLog:
     topic: str = "events"
     max_records_per_batch: int = 1_000_000
     max_files_per_batch: int = 1_000
+    max_bytes_per_batch: int | None = None
     min_records_per_batch: int | None = None
     max_delay: str = "10s"
     options: dict[str, str] = field(default_factory=dict)
@@ -48,6 +50,8 @@ class EventLog:
                 **waiting,
                 **self.options,
             }
+        if self.max_bytes_per_batch is not None:
+            return {"maxBytesPerTrigger": str(self.max_bytes_per_batch), **self.options}
         return {"maxFilesPerTrigger": str(self.max_files_per_batch), **self.options}
 
 

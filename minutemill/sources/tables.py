@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from datetime import date, datetime, timedelta, timezone
 
@@ -324,6 +325,11 @@ class EventTables:
             },
         )
 
+    def crowded_days(self, table: str, most: int) -> list[date]:
+        """Days with more than `most` parts."""
+        held = Counter(p.day for p in self._live(table))
+        return sorted(day for day, n in held.items() if n > most)
+
     def compact_events(self, day: date) -> str | None:
         """Rewrite a day's events from the files of many batches into few, clustered by name."""
         return self._fold(day, {"events": (lambda d: d, ("name", "ts"))})

@@ -9,19 +9,19 @@ from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark import InheritableThread, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from minutemill.operators.dedupe import dedupe_stored
 from minutemill.operators.portable import import_portable_sketches, portable_registers
-from minutemill.operators.rollup import minute_rollup
+from minutemill.operators.rollup import merge_rollups, minute_rollup
 from minutemill.operators.uniques import uniques_daily
 from minutemill.operators.validate import validate_events, with_reason
 from minutemill.schema import EVENT_COLUMNS
 from minutemill.sources.event_log import decode_records
 from minutemill.sources.tables import EventTables
-from minutemill.streaming.live import append_stream, dedupe_stream
+from minutemill.streaming.live import append_stream, dedupe_stream, thin_recent_copies
 
 
 # Micro-batches after which a stream folds their ids into the buckets of the id index.
@@ -97,6 +97,7 @@ def _store(
     history: Callable[[DataFrame], DataFrame] | None = None,
     portable: bool = False,
     only_new: bool = False,
+    beside: tuple[Callable[[], object], ...] = (),
 ) -> None:
     """`received` is cached: counting it fills the cache, whose measured size then decides how its
     ids are joined to history. With `only_new` the caller has left out all known ids already."""
@@ -133,10 +134,8 @@ def _store(
                 steps.append(lambda: store_users(stored))
             _together(*steps)
 
-        if uniques_over == "received":
-            _together(store_events, lambda: store_users(received))
-        else:
-            store_events()
+        users = (lambda: store_users(received),) if uniques_over == "received" else ()
+        _together(store_events, *users, *beside)
         tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
 
 
@@ -174,9 +173,9 @@ def ingest_records(tables: EventTables, records: DataFrame, batch_id: str, **opt
     its earlier attempt as a whole."""
     judged = with_reason(decode_records(records)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tables.write_quarantine(judged.filter(F.col("reason").isNotNull()), batch_id)
+        rejected = judged.filter(F.col("reason").isNotNull())
         accepted = judged.filter(F.col("reason").isNull()).select(*EVENT_COLUMNS)
-        _store(tables, accepted, batch_id, **options)
+        _store(tables, accepted, batch_id, beside=(lambda: tables.write_quarantine(rejected, batch_id),), **options)
     finally:
         judged.unpersist()
 
@@ -262,6 +261,80 @@ def ingest_stream_with_state(
     return _start(tables, dedupe_stream(accepted.select(*EVENT_COLUMNS)), store, checkpoint, writer, trigger)
 
 
+def ingest_stream_bounded(
+    records: DataFrame, tables: EventTables, checkpoint: str, horizon: str, writer: str = "log",
+    trigger: dict | None = None, portable: bool = False,
+) -> StreamingQuery:
+    """Like `ingest_stream`, in two tiers: copies that follow within `horizon` end in state, which forgets an id
+    after that; what comes through is compared with the id index. No event is lost and a copy never counts,
+    however late it is and however batches fall; the horizon says only how many copies the index is spared
+    and how much state is held. Uniques follow the stored events.
+    """
+
+    def store(batch: DataFrame, name: str, _: str) -> None:
+        ingest_batch_once(tables, batch, name, portable)
+
+    accepted, _ = validate_events(decode_records(records))
+    once = thin_recent_copies(accepted.select(*EVENT_COLUMNS), horizon)
+    return _start(tables, once, store, checkpoint, writer, trigger)
+
+
+def ingest_batch_once(tables: EventTables, events: DataFrame, batch_id: str, portable: bool = False) -> None:
+    """Store a batch that was not stored before, with uniques over what it adds."""
+    received = events.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _store(tables, received, batch_id, uniques_over="inserted", portable=portable)
+    finally:
+        received.unpersist()
+
+
+# -- live counters ------------------------------------------------------------------------------
+
+# A day is folded when it has come to this many parts of counters.
+MOST_PARTS = 16
+
+
+def live_rollup(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, horizon: str = "1 hour"
+) -> StreamingQuery:
+    """Keep minute counters up to date, every event_id once, without storing the events.
+
+    A micro-batch adds its new events to the counters as deltas, so no counter is held in state: a minute
+    is closed when nothing comes for it any more, and a late event is one more delta. State holds the ids of
+    `horizon`, older ids are in the id index. Days with many deltas and recent ids are folded on the way, so
+    files stay few. A repeated batch adds nothing.
+    """
+    tables = EventTables(events.sparkSession, path).create()
+
+    def store(batch: DataFrame, name: str, _: str) -> None:
+        received = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        size = 0
+        try:
+            with _on_record(tables, name, lambda: size):
+                started = time.monotonic()
+                size = received.count()
+                fresh = dedupe_stored(received, tables.known_ids(received)).select("event_id", "name", "ts")
+                fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    inserted = tables.write_event_ids(fresh, name)
+                    tables.write_minute_deltas(minute_rollup(fresh), name)
+                finally:
+                    fresh.unpersist()
+                tables.commit(name, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
+        finally:
+            received.unpersist()
+        for day in tables.crowded_days("minute_deltas", MOST_PARTS):
+            tables.compact_deltas(day)
+
+    once = thin_recent_copies(events.select(*EVENT_COLUMNS), horizon)
+    return _start(tables, once, store, checkpoint, "live", trigger)
+
+
+def read_live_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """(name, minute, n) as of the last batch."""
+    return merge_rollups(EventTables(spark, path).minute_deltas())
+
+
 def quarantine_stream(
     records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

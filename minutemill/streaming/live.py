@@ -1,4 +1,4 @@
-"""Streaming de-duplication and live counters on Spark's own state."""
+"""Streaming de-duplication on Spark's own state."""
 
 from __future__ import annotations
 
@@ -6,14 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from minutemill.schema import EVENT_COLUMNS
-
-_LIVE = "name string, minute timestamp, n long, batch_id long"
-
 
 def drop_nearby_copies(events: DataFrame) -> DataFrame:
     """Leave out copies of an id within one Arrow batch of a task.
@@ -37,11 +33,12 @@ def dedupe_stream(events: DataFrame) -> DataFrame:
     return drop_nearby_copies(events).dropDuplicates(["event_id"])
 
 
-def dedupe_stream_bounded(events: DataFrame, horizon: str) -> DataFrame:
-    """Each event_id once within `horizon`; a copy that comes later than that counts again.
+def thin_recent_copies(events: DataFrame, horizon: str) -> DataFrame:
+    """Each event_id once within `horizon` of arrival; a copy that comes later than that comes through again.
 
-    The horizon is one of arrival, the time of the micro-batch, which only moves forward. So state ends but no
-    row is ever late: an event is kept however old its own time is.
+    Arrival is the time of the micro-batch, which only moves forward: state ends, and no row is ever late
+    however old its own time is. Which late copies come through depends on when batches run, so whoever
+    counts must still compare with the ids of all history, as `ingest_stream_bounded` does.
     """
     arrived = drop_nearby_copies(events).withColumn("_arrival", F.current_timestamp())
     timed = arrived.withWatermark("_arrival", horizon)
@@ -58,37 +55,3 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | N
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
-
-
-def live_counts(events: DataFrame) -> DataFrame:
-    """Running count per (name, minute) of a stream, every event_id once."""
-    minute = F.window("ts", "1 minute").alias("_w")
-    counts = dedupe_stream(events.select(*EVENT_COLUMNS)).groupBy("name", minute).agg(F.count("*").alias("n"))
-    return counts.select("name", F.col("_w.start").alias("minute"), "n")
-
-
-def live_rollup(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Keep counters up to date: each micro-batch writes only the counters it changed.
-
-    A batch overwrites its own folder, so a repeated batch leaves one copy.
-    """
-
-    def store(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
-
-    return (
-        live_counts(events)
-        .writeStream.foreachBatch(store)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
-
-
-def read_live_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """(name, minute, n) as last written. Counters only grow, so the largest value is the newest."""
-    versions = spark.read.schema(_LIVE).parquet(path)
-    return versions.groupBy("name", "minute").agg(F.max("n").alias("n"))

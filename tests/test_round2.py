@@ -41,7 +41,7 @@ def test_bounded_dedupe_keeps_late_events(spark, root, events_of):
     for row in (("a", "01:00:00"), ("b", "09:00:00"), ("late", "02:00:00"), ("b", "09:00:00"), ("c", "09:10:00")):
         write_event_log(events_of((row[0], "n", "u", f"2024-01-02 {row[1]}")).coalesce(1), log)
     stream = decode_records(read_event_log(spark, log)).select(*EVENT_COLUMNS)
-    once = live.dedupe_stream_bounded(stream, "1 hour")
+    once = live.thin_recent_copies(stream, "1 hour")
     live.append_stream(once, f"{root}/out", f"{root}/cp", ONCE).awaitTermination()
     assert rows_of(spark.read.parquet(f"{root}/out"), "event_id") == [("a",), ("b",), ("c",), ("late",)]
 

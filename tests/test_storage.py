@@ -74,16 +74,16 @@ def test_a_snapshot_stays_as_it_was(events_of, tables):
 
 
 def test_checkpoints_keep_everything(events_of, tables, monkeypatch):
-    monkeypatch.setattr(manifest, "CHECKPOINT_EVERY", 3)
-    for i in range(7):
+    monkeypatch.setattr(manifest, "CHECKPOINT_EVERY", 2)
+    for i in range(5):
         ingest.ingest_batch(tables, batch_of(events_of, i, i + 1), f"b-{i}")
     assert len(glob.glob(f"{tables.root}/manifest/base=*")) == 3
-    assert tables.events().count() == 8
+    assert tables.events().count() == 6
     health = rows_of(tables.batch_health(), "batch_id", "batch_size", "inserted", "duplicates")
-    assert health == [("b-0", 2, 2, 0)] + [(f"b-{i}", 2, 1, 1) for i in range(1, 7)]
-    assert tables.is_committed("b-0") and tables.is_committed("b-6") and not tables.is_committed("b-7")
+    assert health == [("b-0", 2, 2, 0)] + [(f"b-{i}", 2, 1, 1) for i in range(1, 5)]
+    assert tables.is_committed("b-0") and tables.is_committed("b-4") and not tables.is_committed("b-5")
     ingest.ingest_batch(tables, batch_of(events_of, 0, 1, 99), "b-0")  # replaced, though long ago
-    assert tables.events().count() == 9 and ("b-0", 3) in rows_of(tables.batch_health(), "batch_id", "batch_size")
+    assert tables.events().count() == 7 and ("b-0", 3) in rows_of(tables.batch_health(), "batch_id", "batch_size")
 
 
 def test_a_checkpoint_cut_off_is_passed_over(spark, events_of, tables):
@@ -94,8 +94,8 @@ def test_a_checkpoint_cut_off_is_passed_over(spark, events_of, tables):
 
 
 def test_files_of_old_parts_go_after_the_grace_period(events_of, tables, monkeypatch):
-    monkeypatch.setattr(manifest, "CHECKPOINT_EVERY", 4)
-    for i in range(3):
+    monkeypatch.setattr(manifest, "CHECKPOINT_EVERY", 3)
+    for i in range(2):
         ingest.ingest_batch(tables, batch_of(events_of, i), f"b-{i}")
 
     def crash(*_):
@@ -114,7 +114,7 @@ def test_files_of_old_parts_go_after_the_grace_period(events_of, tables, monkeyp
 
     there = folders()
     assert tables.remove_dead(timedelta(days=1)) == 0 and folders() == there
-    assert tables.remove_dead(NOW) == len(there) - len(folders()) > 8
+    assert tables.remove_dead(NOW) == len(there) - len(folders()) > 6
     live = {f"{tables.root}/{p.path}" for t in ("events", "minute_deltas", "sketch_deltas", "event_ids", "batch_health")
             for p in tables.snapshot().parts(t)}
     assert folders() == live
@@ -122,7 +122,7 @@ def test_files_of_old_parts_go_after_the_grace_period(events_of, tables, monkeyp
     assert after == before and tables.remove_dead(NOW) == 0
     assert len(glob.glob(f"{tables.root}/manifest/base=*")) == 1
     ingest.ingest_batch(tables, batch_of(events_of, 0, 9), "b-4")  # ids are still known
-    assert tables.events().count() == 4
+    assert tables.events().count() == 3
 
 
 def test_two_compactions_at_once_do_not_count_twice(events_of, tables, monkeypatch):

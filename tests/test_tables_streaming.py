@@ -1,4 +1,5 @@
 import glob
+import os
 from datetime import date
 
 import pytest
@@ -132,8 +133,8 @@ def deliveries(spark):
 
 def test_stream_counts_each_event_once_across_restarts(spark, root, tables):
     log = EventLog("json", f"{root}/log", max_files_per_batch=1)
-    write_event_log(deliveries(spark), log)
-    spark.createDataFrame([("k", "not json", None), ("k", '{"name":"x"}', None)], "key string, value string, timestamp timestamp").write.mode(
+    write_event_log(deliveries(spark).coalesce(1), log)
+    spark.createDataFrame([("k", "not json", None), ("k", '{"name":"x"}', None)], "key string, value string, timestamp timestamp").coalesce(1).write.mode(
         "append"
     ).json(log.location)
 
@@ -155,7 +156,7 @@ def test_stream_counts_each_event_once_across_restarts(spark, root, tables):
     with pytest.raises(Exception):
         run()
     run()
-    write_event_log(deliveries(spark), log)  # everything is delivered once more
+    write_event_log(deliveries(spark).coalesce(1), log)  # everything is delivered once more
     run()
     accepted = decode_records(read_event_log(spark, log, streaming=False)).filter("NOT malformed AND event_id <> ''")
     differences = reconcile(accepted, tables.events())
@@ -210,21 +211,71 @@ def test_records_are_keyed_by_name(spark, events_of):
     )
 
 
-def test_streaming_dedupe_and_live_counts(spark, root):
+def test_streaming_dedupe(spark, root):
     log = EventLog("json", f"{root}/log", max_files_per_batch=1)
-    write_event_log(deliveries(spark), log)
-    write_event_log(deliveries(spark), log)
-
-    def stream():
-        return decode_records(read_event_log(spark, log)).select(*EVENT_COLUMNS)
-
-    for label, once in (("all", live.dedupe_stream(stream())), ("near", live.dedupe_stream_bounded(stream(), "60 days"))):
+    for _ in range(2):
+        write_event_log(deliveries(spark).coalesce(1), log)
+    stream = decode_records(read_event_log(spark, log)).select(*EVENT_COLUMNS)
+    for label, once in (("all", live.dedupe_stream(stream)), ("near", live.thin_recent_copies(stream, "60 days"))):
         live.append_stream(once, f"{root}/{label}", f"{root}/cp-{label}", ONCE).awaitTermination()
         ids = spark.read.parquet(f"{root}/{label}").select("event_id")
         assert ids.count() == ids.distinct().count() == 1_000
-    live.live_rollup(stream(), f"{root}/live", f"{root}/cp-live", ONCE).awaitTermination()
-    assert live.read_live_rollup(spark, f"{root}/live").agg(F.sum("n")).first()[0] == 1_000
-    assert len(glob.glob(f"{root}/live/batch_id=*")) >= 2
+
+
+def test_live_counters_hold_few_ids_and_files(spark, root, monkeypatch):
+    """Six deliveries of everything: state forgets, days are folded, the counts stay."""
+    monkeypatch.setattr(ingest, "MOST_PARTS", 2)
+    monkeypatch.setattr(ingest, "FOLD_EVERY", 3)
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
+    two_days = deliveries(spark).filter("ts < '2024-01-03'").coalesce(1)
+    for part in range(3):
+        write_event_log(two_days.filter(f"event_id % 3 = {part}"), log)
+    for _ in range(3):
+        write_event_log(two_days, log)
+    stream = decode_records(read_event_log(spark, log)).select(*EVENT_COLUMNS)
+    query = ingest.live_rollup(stream, f"{root}/live", f"{root}/cp", ONCE, horizon="1 second")
+    query.awaitTermination()
+    events = two_days.select("event_id").distinct().count()
+    assert ingest.read_live_rollup(spark, f"{root}/live").agg(F.sum("n")).first()[0] == events
+    tables = EventTables(spark, f"{root}/live")
+    assert tables.batch_health().count() >= 6
+    assert max(len(tables.snapshot().parts("minute_deltas", day, day)) for day in (date(2024, 1, 1), date(2024, 1, 2))) <= 2
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsRemoved"] for s in state) > 0 and state[-1]["numRowsTotal"] < events * 4
+
+
+def test_copies_behind_the_horizon_never_count(spark, root, tables):
+    log = EventLog("json", f"{root}/log", max_files_per_batch=1)
+    copies = deliveries(spark).coalesce(1)
+    for _ in range(3):
+        write_event_log(copies, log)
+
+    def run():
+        records = read_event_log(spark, log)
+        query = ingest.ingest_stream_bounded(records, tables, f"{root}/cp", "1 second", trigger=ONCE, portable=True)
+        query.awaitTermination()
+        return [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+
+    state = run()
+    assert sum(s["numRowsRemoved"] for s in state) > 0
+    write_event_log(copies, log)
+    run()  # after a restart
+    assert rows_of(tables.events().agg(F.count("*"), F.count_distinct("event_id"))) == [(1_000, 1_000)]
+    assert tables.minute_deltas().agg(F.sum("n")).first()[0] == 1_000
+
+
+def test_batches_of_files_are_bounded_by_bytes(spark, root):
+    plain = EventLog("json", f"{root}/log")
+    for n in (400, 5, 5, 5, 5, 5):
+        write_event_log(inputs.events(spark, SF_DIR).limit(n).coalesce(1), plain)
+    sizes = sorted((os.path.getsize(f) for f in glob.glob(f"{plain.location}/*.json")))
+    bound = sum(sizes[:3])
+    log = EventLog("json", plain.location, max_bytes_per_batch=bound)
+    stream = read_event_log(spark, log)
+    query = live.append_stream(stream, f"{root}/out", f"{root}/cp", ONCE)
+    query.awaitTermination()
+    rows = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(rows) == 425 and 400 in rows and all(n <= 15 for n in rows if n < 400)
 
 
 def test_hot_id_is_thinned_before_the_shuffle(events_of):
