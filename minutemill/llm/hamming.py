@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from minutemill.llm.common import arrow_schema, map_batches, to_batch
 
-# Codes of an index part, and queries that are taken through it at a time.
-PART, QUERIES_AT_ONCE = 1 << 17, 256
+# Codes of an index part, queries that are taken through it at a time, and queries for which a part is
+# copied once more, to be searched by another task.
+PART, QUERIES_AT_ONCE, QUERIES_OF_A_PART = 1 << 17, 256, 1 << 18
 _FOUND = "query binary, distance int, id long"
 
 
@@ -115,6 +116,56 @@ class MultiIndex:
             best[i] = sorted([*best[i], *zip(ds[there].tolist(), ids[there].tolist())])[:k]
 
 
+def _code_rows(column: pa.Array) -> np.ndarray:
+    codes = column.to_pylist()
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+
+
+def _searched(k: int):
+    """Reads rows (part, kind, code, ids, split), sorted, in which codes of a part come before its queries."""
+    target = arrow_schema(_FOUND)
+
+    def table_of(batches: list[pa.RecordBatch]) -> MultiIndex:
+        codes = np.concatenate([_code_rows(b.column("code")) for b in batches])
+        ids = np.full((len(codes), k + 1), -1, np.int64)
+        lists = pa.concat_arrays([b.column("ids") for b in batches])
+        sizes = pa.compute.list_value_length(lists).to_numpy()
+        column = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids[np.repeat(np.arange(len(codes)), sizes), column] = lists.flatten().to_numpy()
+        return MultiIndex(codes, ids)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        index, at = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("part", "split", "kind")]
+            changes = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in columns:
+                changes |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                place, kind = (columns[0][start], columns[1][start]), columns[2][start]
+                if place != at:
+                    held, index, at = [], None, place
+                rows = batch.slice(start, end - start)
+                if kind == 0:
+                    held.append(rows)
+                    continue
+                if index is None and held:
+                    index, held = table_of(held), []
+                if index is None:  # a part without codes
+                    continue
+                for first in range(0, rows.num_rows, QUERIES_AT_ONCE):
+                    some = rows.column("code").slice(first, QUERIES_AT_ONCE)
+                    best = index.nearest(_code_rows(some), k + 1)
+                    flat = [(code, d, i) for code, found in zip(some.to_pylist(), best) for d, i in found]
+                    yield to_batch(dict(zip(target.names, map(list, zip(*flat)))) if flat else {c: [] for c in target.names}, target)
+
+    return run
+
+
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(vec_id, rank, neighbor_id, distance): the k other rows of `codes` nearest to each row of `queries`.
 
@@ -127,36 +178,19 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     classes = first.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     wanted = queries.select("code").distinct()
     parts = max(1, -(-classes.count() // PART))
-    blocks = max(1, -(-wanted.count() // QUERIES_AT_ONCE))
-    part, block = F.pmod(F.xxhash64("code"), F.lit(parts)), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks))
+    splits = max(1, -(-wanted.count() // QUERIES_OF_A_PART))
+    part, split = F.pmod(F.xxhash64("code"), F.lit(parts)), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(splits))
 
     def each(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    # Every block of queries meets every part of the index.
-    index = classes.select(part.cast("int").alias("part"), "code", "ids").withColumn("block", each(blocks))
-    asked = wanted.select(block.cast("int").alias("block"), "code").withColumn("part", each(parts))
-    target = arrow_schema(_FOUND)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {c: [] for c in target.names}
-        if left.num_rows and right.num_rows:
-            own = left.column("code").to_pylist()
-            table = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1)
-            ids = np.full((len(own), k + 1), -1, np.int64)
-            lists = left.column("ids").combine_chunks()
-            sizes = np.diff(lists.offsets.to_numpy())
-            column = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ids[np.repeat(np.arange(len(own)), sizes), column] = lists.flatten().to_numpy()
-            codes_ = right.column("code").to_pylist()
-            asked_ = np.frombuffer(b"".join(codes_), np.uint8).reshape(len(codes_), -1)
-            for code, found in zip(codes_, MultiIndex(table, ids).nearest(asked_, k + 1)):
-                for distance, id_ in found:
-                    for c, v in zip(rows, (code, distance, id_)):
-                        rows[c].append(v)
-        return pa.Table.from_batches([to_batch(rows, target)])
-
-    found = index.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(search, _FOUND)
+    # Queries go to every part of the index; a part goes where its queries are, once for each split of them,
+    # and comes before them, so a task holds one part and streams the queries past it.
+    none = F.lit(None).cast("array<bigint>").alias("ids")
+    index = classes.select(part.cast("int").alias("part"), F.lit(0).alias("kind"), "code", "ids").withColumn("split", each(splits))
+    asked = wanted.select(F.lit(1).alias("kind"), "code", none, split.cast("int").alias("split")).withColumn("part", each(parts))
+    dealt = index.unionByName(asked).repartition("part", "split").sortWithinPartitions("part", "split", "kind")
+    found = dealt.mapInArrow(_searched(k), _FOUND)
     near = Window.partitionBy("query").orderBy("distance", "id")
     best = found.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k + 1).drop("_n")
     pairs = queries.distinct().join(best, queries["code"] == best["query"]).filter("vec_id <> id")

@@ -368,3 +368,21 @@ def test_multi_index_equals_brute_force(spark):
         if i % 20 == 0:
             near = sorted((sum(a != b for a, b in zip(bits[i], bits[j])), j) for j in bits if j != i)
             assert got[i] == near[:10]
+
+
+def test_nearest_codes_over_parts_and_splits(spark, monkeypatch):
+    """Several parts of the index, each searched for several splits of the queries; codes repeat."""
+    monkeypatch.setattr(hamming, "PART", 40)
+    monkeypatch.setattr(hamming, "QUERIES_OF_A_PART", 25)
+    monkeypatch.setattr(hamming, "QUERIES_AT_ONCE", 7)
+    rng = random.Random(9)
+    codes = [bytes(rng.choice([0, 1, 3, 255]) for _ in range(4)) for _ in range(120)]
+    rows = [(i, rng.choice(codes)) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, code binary").repartition(5)
+    asked = table.filter("vec_id % 3 = 0")
+    found = collections.defaultdict(list)
+    for r in hamming.nearest_codes(table, asked, 4).orderBy("vec_id", "rank").collect():
+        found[r.vec_id].append((r.distance, r.neighbor_id))
+    for i, code in rows[::3]:
+        near = sorted((sum((x ^ y).bit_count() for x, y in zip(code, other)), j) for j, other in rows if j != i)
+        assert found[i] == near[:4]
