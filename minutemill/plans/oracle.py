@@ -495,6 +495,8 @@ outcomes AS (
         SELECT prob, v AS value FROM sorted JOIN probs ON place = CAST(floor(prob * (n - 1)) AS BIGINT)""",
 }
 
+ORACLE["reconcile_tables"] = ORACLE["reconcile"]
+
 _WITH_DAY = (
     "write_events write_minute_deltas write_sketch_deltas compact_deltas uniques_daily merge_sketches exact_uniques "
     "unique_accuracy portable_registers portable_estimate export_portable_sketches import_portable_sketches "

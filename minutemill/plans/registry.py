@@ -17,6 +17,7 @@ from minutemill.functions.properties import map_properties as json_of_map
 from minutemill.functions.timing import instant, known_at, to_day
 from minutemill.operators import dedupe, health, portable, quota, rollup, series, uniques, validate
 from minutemill.operators.reconcile import reconcile as reconcile_names
+from minutemill.operators.reconcile import reconcile_tables as reconcile_stored
 from minutemill.plans import dashboard, inputs
 from minutemill.plans.inputs import AS_OF
 from minutemill.schema import EVENT_COLUMNS
@@ -333,6 +334,12 @@ def reconcile(spark, sf_dir):
     return reconcile_names(received, dedupe.first_times(received))
 
 
+@query
+def reconcile_tables(spark, sf_dir):
+    """The deliveries against the stored tables, by fingerprints."""
+    return reconcile_stored(_received(spark, sf_dir), _stored(spark, sf_dir)[0])
+
+
 # -- counters -------------------------------------------------------------------------------
 
 

@@ -100,6 +100,8 @@ BATCH_HEALTH_TABLE = T.StructType(
         T.StructField("ts", T.TimestampType()),
         T.StructField("batch_id", T.StringType()),
         T.StructField("parts", T.LongType()),
+        T.StructField("received_print", T.ArrayType(T.LongType())),
+        T.StructField("stored_print", T.ArrayType(T.LongType())),
         T.StructField("generation", T.LongType()),
         _DAY,
     ]

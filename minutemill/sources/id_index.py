@@ -78,6 +78,6 @@ def fold(tables: EventTables) -> int:
     crowded = [p for parts in held.values() if len(parts) >= MOST_PARTS for p in parts]
     ids = tables.read_parts("event_ids", [*recent, *crowded]).withColumn("bucket", bucket_of("id_hash"))
     dealt = ids.repartitionByRange("bucket", "id_hash")
-    _, added = tables._write("event_ids", dealt, "bucket", ("id_hash",), _LAYOUT)
+    _, added, _ = tables._write("event_ids", dealt, "bucket", ("id_hash",), _LAYOUT)
     tables.manifest.commit(added, [*recent, *crowded])
     return len(recent) + len(crowded)

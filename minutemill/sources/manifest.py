@@ -28,7 +28,8 @@ CHECKPOINT_EVERY = 25
 _ENTRY = "table string, place string, part string, day date, bucket int, level int, batch_id string, since long, live boolean"
 # The row about a commit has no table; it carries the health of a batch, if it stored one.
 _COMMIT = "full boolean, batch_size long, inserted long, duplicates long, took_seconds double, error string, ts timestamp, parts long"
-_CHANGE = f"{_ENTRY}, at timestamp, {_COMMIT}"
+_PRINTS = "received_print array<bigint>, stored_print array<bigint>"
+_CHANGE = f"{_ENTRY}, at timestamp, {_COMMIT}, {_PRINTS}"
 _NAMES = [field.split()[0] for field in _CHANGE.split(", ")]
 
 

@@ -22,6 +22,7 @@ from minutemill import schema
 from minutemill.functions.timing import day_start, series_start, to_day, utc
 from minutemill.operators import sketch_tree
 from minutemill.operators.portable import portable_merge
+from minutemill.operators.reconcile import PRINT_BUCKETS, PRINT_NUMBERS, fingerprint
 from minutemill.operators.uniques import merge_sketches
 from minutemill.sources import id_index
 from minutemill.sources.manifest import Manifest, Part
@@ -36,6 +37,7 @@ _SCHEMAS: dict[str, T.StructType] = {
     "quarantine": schema.QUARANTINE_TABLE,
     "batch_health": schema.BATCH_HEALTH_TABLE,
 }
+_KEPT = ["parts", "received_print", "stored_print", "generation"]
 _HEALTH = ["batch_size", "inserted", "duplicates", "took_seconds", "error", "ts", "batch_id"]
 
 
@@ -110,6 +112,7 @@ class EventTables:
         self.root = root.rstrip("/")
         self.manifest = Manifest(spark, self.root)
         self._written: dict[str, list[Part]] = {}  # parts of batches that are not committed yet
+        self._prints: dict[str, list[int]] = {}  # of the events that these have stored
         self._lock = threading.Lock()
 
     def create(self) -> EventTables:
@@ -132,24 +135,29 @@ class EventTables:
 
     def _write(
         self, table: str, rows: DataFrame, by: str, order: Sequence[str] = (), options: dict | None = None,
-        **entry,
-    ) -> tuple[int, list[Part]]:
-        """Write rows as one new part for each value of `by`; returns the number of rows and the parts. Both come
-        from the write itself, by observed metrics, and not from another pass."""
+        printed: bool = False, **entry,
+    ) -> tuple[int, list[Part], list[int] | None]:
+        """Write rows as one new part for each value of `by`; returns the number of rows, the parts and, if asked
+        for, the fingerprint of event_id. All come from the write itself, by observed metrics, and not from
+        another pass."""
         name, seen = f"p-{uuid.uuid4().hex}", Observation()
         placed = rows.withColumn("part", F.lit(name)).sortWithinPartitions(by, "part", *order)
         metrics = F.count(F.lit(1)).alias("rows"), F.collect_set(F.struct(F.col(by).cast("string"))).alias("places")
+        if printed:
+            metrics += (fingerprint().alias("print"),)
         writer = placed.observe(seen, *metrics).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.options(**(options or {})).partitionBy(by, "part").parquet(f"{self.root}/{table}")
         parts = []
         for (value,) in seen.get["places"]:
             where = {"day": date.fromisoformat(value)} if by == "day" else {by: int(value)}
             parts.append(Part(table, f"{by}={value}", name, **where, **entry))
-        return seen.get["rows"], parts
+        return seen.get["rows"], parts, seen.get.get("print")
 
     def _store(self, table: str, rows: DataFrame, batch_id: str, by: str = "day", order: Sequence[str] = (), **more) -> int:
-        n, parts = self._write(table, rows, by, order, batch_id=batch_id, **more)
+        n, parts, ids = self._write(table, rows, by, order, batch_id=batch_id, **more)
         with self._lock:
+            if ids is not None:
+                self._prints[batch_id] = list(ids)
             self._written[batch_id] = [p for p in self._written.get(batch_id, []) if p.table != table] + parts
         return n
 
@@ -160,7 +168,7 @@ class EventTables:
         joins small ones; sorting lets a filter on name skip row groups.
         """
         rows = fresh.select(*schema.EVENT_COLUMNS, F.lit(batch_id).alias("batch_id"), to_day("ts").alias("day"))
-        return self._store("events", rows.hint("rebalance", "day"), batch_id, order=("name", "ts"))
+        return self._store("events", rows.hint("rebalance", "day"), batch_id, order=("name", "ts"), printed=True)
 
     def write_minute_deltas(self, rollup: DataFrame, batch_id: str) -> int:
         """Store what a batch adds to the minute counters."""
@@ -189,23 +197,25 @@ class EventTables:
         return self._store("quarantine", rows, batch_id)
 
     def commit(
-        self, batch_id: str, batch_size: int, inserted: int, took_seconds: float, ts, error: str | None = None
-    ) -> None:
+        self, batch_id: str, batch_size: int, inserted: int, took_seconds: float, ts, error: str | None = None,
+        received_print: Sequence[int] | None = None,
+    ) -> None:
         """Make what was written for a batch visible, in place of an earlier attempt; the same row is its health
-        record. With an `error` the attempt is put on record and nothing becomes visible."""
+        record; `received_print` is the fingerprint of the ids it was given. With an `error` the attempt is put on record and nothing becomes visible."""
         with self._lock:
-            parts = self._written.pop(batch_id, [])
+            parts, stored_print = self._written.pop(batch_id, []), self._prints.pop(batch_id, None)
         health = {
             "batch_id": batch_id, "batch_size": batch_size, "inserted": inserted, "duplicates": batch_size - inserted,
             "took_seconds": took_seconds, "error": error, "ts": ts or datetime.now(timezone.utc),
+            "received_print": None if received_print is None else list(received_print), "stored_print": stored_print,
         }
         if self.manifest.commit(parts if error is None else [], replaces=batch_id if error is None else None, **health):
             self._checkpoint()
 
     def _checkpoint(self) -> None:
         """Health of the batches since the last checkpoint becomes rows of a table, then the list is written."""
-        placed = self.manifest.batches().select(*_HEALTH, "parts", "generation", to_day("ts").alias("day"))
-        _, parts = self._write("batch_health", placed.coalesce(1), "day", ("batch_id",))
+        placed = self.manifest.batches().select(*_HEALTH, *_KEPT, to_day("ts").alias("day"))
+        _, parts, _ = self._write("batch_health", placed.coalesce(1), "day", ("batch_id",))
         self.manifest.checkpoint(parts)
 
     def _live(self, table: str) -> list[Part]:
@@ -248,14 +258,27 @@ class EventTables:
 
     def batch_health(self) -> DataFrame:
         """The last outcome of every batch, and every failed attempt."""
+        return self._outcomes().select(*_HEALTH)
+
+    def _outcomes(self) -> DataFrame:
         stored = self.read_parts("batch_health", self._live("batch_health"))
-        recent = self.manifest.batches()
-        rows = stored.select(*_HEALTH, "generation").unionAll(recent.select(*_HEALTH, "generation"))
+        columns = [c for c in (*_HEALTH, *_KEPT) if c != "batch_id"]
+        rows = stored.select("batch_id", *columns).unionAll(self.manifest.batches().select("batch_id", *columns))
         withdrawn = F.coalesce(F.col("error") == "withdrawn", F.lit(False))
         attempt = F.when(F.col("error").isNotNull() & ~withdrawn, F.col("generation")).alias("_attempt")
-        last = rows.groupBy("batch_id", attempt).agg(F.max_by(F.struct(*_HEALTH[:-1]), "generation").alias("_h"))
-        shown = last.select("_h.*", "batch_id").filter(F.coalesce(F.col("error") != "withdrawn", F.lit(True)))
-        return shown.select(*_HEALTH)
+        last = rows.groupBy("batch_id", attempt).agg(F.max_by(F.struct(*columns), "generation").alias("_h"))
+        return last.select("_h.*", "batch_id").filter(F.coalesce(F.col("error") != "withdrawn", F.lit(True)))
+
+    def fingerprints(self) -> tuple[list[int], list[int]]:
+        """Of the ids that all visible batches have received, and of those they have stored. A batch without
+        them on record counts as none, so that its ids differ and are compared."""
+        visible = self._outcomes().filter(F.col("error").isNull())
+        sums = []
+        for column in ("received_print", "stored_print"):
+            numbers = visible.select(F.posexplode(column).alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n"))
+            found = {r.place: r.n for r in numbers.collect()}
+            sums.append([found.get(i, 0) for i in range(PRINT_BUCKETS * PRINT_NUMBERS)])
+        return sums[0], sums[1]
 
     def events(self, other_than: str | None = None) -> DataFrame:
         """Stored events, without those of an earlier attempt at batch `other_than`."""

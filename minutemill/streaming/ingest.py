@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from minutemill.operators.dedupe import dedupe_stored
 from minutemill.operators.portable import import_portable_sketches, portable_registers
+from minutemill.operators.reconcile import fingerprint
 from minutemill.operators.rollup import merge_rollups, minute_rollup
 from minutemill.operators.uniques import uniques_daily
 from minutemill.operators.validate import validate_events, with_reason
@@ -106,7 +107,7 @@ def _store(
     size = 0
     with _on_record(tables, batch_id, lambda: size):
         started = time.monotonic()
-        size = received.count()
+        size, ids = received.agg(F.count(F.lit(1)), fingerprint()).first()
         if only_new:
             fresh = received
         elif history is None:
@@ -136,7 +137,8 @@ def _store(
 
         users = (lambda: store_users(received),) if uniques_over == "received" else ()
         _together(store_events, *users, *beside)
-        tables.commit(batch_id, size, inserted, time.monotonic() - started, datetime.now(timezone.utc))
+        now = datetime.now(timezone.utc)
+        tables.commit(batch_id, size, inserted, time.monotonic() - started, now, received_print=ids)
 
 
 def import_history(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from minutemill.functions.timing import known_at
 from minutemill.operators import sketch_tree
+from minutemill.operators.reconcile import differing_buckets, fingerprint, reconcile, reconcile_tables
 from minutemill.operators.rollup import count_today, filter_today
 from minutemill.operators.uniques import estimate, merge_sketches, uniques_range
 from minutemill.plans import dashboard, inputs
@@ -165,6 +166,46 @@ def test_import_history_leaves_known_ids_out_and_can_be_repeated(events_of, tabl
     assert tables.events().count() == 5
 
 
+# -- reconciliation by fingerprints -------------------------------------------------------------
+
+
+def test_nothing_lost_is_seen_without_a_shuffle_of_ids(events_of, tables):
+    copies = [batch_of(events_of, *range(60)), batch_of(events_of, *range(40, 90), name="b")]
+    for i, rows in enumerate(copies):
+        ingest.ingest_batch(tables, rows, f"b-{i}")
+    accepted = copies[0].unionAll(copies[1])
+    found = reconcile_tables(accepted, tables)
+    plan = plan_of(found)
+    assert "event_id" not in plan.replace("xxhash64(event_id", "") and plan.count("Exchange hashpartitioning(name") == 1
+    assert rows_of(found) == [("a", 60, 60, 0), ("b", 30, 30, 0)]
+    assert rows_of(found) == rows_of(reconcile(accepted, tables.events()))
+
+
+def test_planted_losses_are_found_by_name(events_of, tables):
+    ingest.ingest_batch(tables, batch_of(events_of, *range(50)), "b-0")
+    ingest.ingest_batch(tables, batch_of(events_of, *range(50, 80), name="b"), "b-1")
+    everything = batch_of(events_of, *range(50)).unionAll(batch_of(events_of, *range(50, 83), name="b"))
+    # Three accepted events never reached a batch.
+    assert rows_of(reconcile_tables(everything, tables)) == [("a", 50, 50, 0), ("b", 33, 30, 3)]
+    # A file of stored events is lost after it was committed.
+    lost = tables._parts_of("b-0", "events")
+    tables.manifest.commit([], lost)
+    assert rows_of(reconcile_tables(everything, tables)) == [("a", 50, 0, 50), ("b", 33, 30, 3)]
+    # An event that nobody has accepted.
+    ingest.ingest_batch(tables, batch_of(events_of, 500, name="c"), "b-2")
+    assert ("c", 0, 1, -1) in rows_of(reconcile_tables(everything, tables))
+
+
+def test_fingerprints_add_up(spark, events_of):
+    whole = batch_of(events_of, *range(100), *range(20))
+    total = whole.agg(fingerprint().alias("p")).first().p
+    parts = [whole.filter(f"cast(event_id as int) % 3 = {k}").agg(fingerprint().alias("p")).first().p for k in range(3)]
+    assert [sum(n) for n in zip(*parts)] == total and sum(total[:: 4]) == 120
+    one_less = whole.filter("event_id <> '7'").agg(fingerprint().alias("p")).first().p
+    assert len(differing_buckets(total, one_less)) == 1 and differing_buckets(total, total) == []
+    assert whole.limit(0).agg(fingerprint().alias("p")).first().p == [0] * 64
+
+
 # -- the id index -------------------------------------------------------------------------------
 
 
