@@ -16,11 +16,21 @@ SEPARATORS = "|<>"
 NAVIGATION = (
     "home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top",
     "skip to content", "read more", "share", "search", "contact", "contact us", "about", "about us", "sitemap",
+    "startseite", "anmelden", "abmelden", "registrieren", "weiter", "nach oben", "weiterlesen", "mehr lesen", "suche", "kontakt",
+    "impressum", "accueil", "connexion", "se connecter", "suivant", "lire la suite", "partager", "rechercher", "nous contacter",
+    "plan du site", "inicio", "iniciar sesión", "registrarse", "siguiente", "anterior", "leer más", "compartir", "buscar",
+    "contacto", "mapa del sitio",
 )
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "uses cookies", "privacy policy", "terms of use",
     "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "cookies akzeptieren", "nutzungsbedingungen",
+    "newsletter abonnieren", "hier klicken", "tous droits réservés", "politique de confidentialité", "utilise des cookies",
+    "accepter les cookies", "conditions d'utilisation", "cliquez ici", "todos los derechos reservados", "política de privacidad",
+    "utiliza cookies", "aceptar cookies", "aceptar las cookies", "términos de uso", "haga clic aquí",
 )
+# A phrase must make up at least this share of the line's characters: prose that mentions one stays.
+PHRASE_PERCENT = 25
 # At most this share of a line may be ASCII punctuation; words that a document may lose with its lines.
 PUNCTUATION_PERCENT, LOST_PERCENT = 30, 50
 # Below this many words a text is too short, and above this share of repeated words too repetitive.
@@ -28,6 +38,7 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NOT_PUNCTUATION = re.compile("[^" + re.escape(_PUNCTUATION) + "]+")
+_LONGEST = 100 * max(map(len, BOILERPLATE))
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -36,7 +47,8 @@ def line_fails(line: str) -> bool:
 
     Punctuation: more than 30 % of its characters are ASCII punctuation. Navigation: two or more of the
     separators | < > that make up a tenth of its characters, or the line is a navigation label as a
-    whole. Boilerplate: it contains one of the phrases. ASCII letters compare without case.
+    whole. Boilerplate: it contains one of the phrases, which makes up a quarter of its characters or more
+    (white space counted, except at its ends). ASCII letters compare without case.
     """
     packed = line.translate(_NO_BREAKS)
     n = len(packed)
@@ -45,8 +57,11 @@ def line_fails(line: str) -> bool:
     separators = sum(packed.count(c) for c in SEPARATORS)
     if separators >= 2 and 10 * separators >= n:
         return True
-    lower = line.translate(_LOWER)
-    return lower.strip(BREAKS) in NAVIGATION or any(phrase in lower for phrase in BOILERPLATE)
+    lower = line.translate(_LOWER).strip(BREAKS)
+    if lower in NAVIGATION:
+        return True
+    least = PHRASE_PERCENT * len(lower)
+    return least <= _LONGEST and any(100 * len(p) >= least and p in lower for p in BOILERPLATE)
 
 
 _NO_BREAKS = {ord(c): None for c in BREAKS}
@@ -149,7 +164,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_list(values) -> str:
-    return ", ".join("'" + v + "'" for v in values)
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _holds(phrase: str) -> str:
+    return f"({100 * len(phrase)} >= {PHRASE_PERCENT} * length(lower_line) AND contains(lower_line, {_sql_list([phrase])}))"
 
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -163,7 +182,8 @@ ORACLE = {
     judged AS (
       SELECT doc_id, line, i, len(regexp_extract_all(line, {_WORDS})) AS n,
         regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g') AS packed,
-        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_line
+        regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS lower_line
       FROM lines),
     checked AS (
       SELECT doc_id, line, i, n,
@@ -171,8 +191,8 @@ ORACLE = {
         100 * length(regexp_replace(packed, '[^!-/:-@\\[-`{{-~]', '', 'g')) > {PUNCTUATION_PERCENT} * length(packed)
         OR (length(regexp_replace(packed, '[^|<>]', '', 'g')) >= 2
             AND 10 * length(regexp_replace(packed, '[^|<>]', '', 'g')) >= length(packed))
-        OR regexp_replace(lower_line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') IN ({_sql_list(NAVIGATION)})
-        OR {" OR ".join(f"contains(lower_line, '{p}')" for p in BOILERPLATE)} AS fails
+        OR lower_line IN ({_sql_list(NAVIGATION)})
+        OR {" OR ".join(_holds(p) for p in BOILERPLATE)} AS fails
       FROM judged WHERE n > 0),
     per_line AS (
       SELECT doc_id, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS n_kept

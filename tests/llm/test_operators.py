@@ -79,7 +79,9 @@ def test_quality_counts(spark, odd_rows):
 @pytest.mark.parametrize(
     "line, fails",
     [("A plain line of prose.", False), ("Home | About | Contact", True), ("Sign in", True), ("All rights reserved.", True),
-     ("so!!! many!!! marks!!!", True), ("He said: \"well, yes.\"", False)],
+     ("so!!! many!!! marks!!!", True), ("He said: \"well, yes.\"", False), ("Alle Rechte vorbehalten.", True),
+     ("Tous droits réservés.", True), ("  Política de privacidad", True), ("Conditions d'utilisation", True), ("Impressum", True),
+     ("word " * 300 + "See our privacy policy for details.", False)],
 )
 def test_line_rules(line, fails):
     assert quality.line_fails(line) is fails
