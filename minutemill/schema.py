@@ -89,7 +89,7 @@ QUARANTINE_TABLE = T.StructType(
         _DAY,
     ]
 )
-# One row for every batch and every failed attempt; rows since the last checkpoint are in the manifest.
+# One row for every batch and every failed attempt.
 BATCH_HEALTH_TABLE = T.StructType(
     [
         T.StructField("batch_size", T.LongType()),
@@ -99,6 +99,12 @@ BATCH_HEALTH_TABLE = T.StructType(
         T.StructField("error", T.StringType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("batch_id", T.StringType()),
+    ]
+)
+# As it is stored; rows since the last checkpoint are in the manifest.
+STORED_HEALTH_TABLE = T.StructType(
+    [
+        *BATCH_HEALTH_TABLE.fields,
         T.StructField("parts", T.LongType()),
         T.StructField("received_print", T.ArrayType(T.LongType())),
         T.StructField("stored_print", T.ArrayType(T.LongType())),

@@ -35,10 +35,10 @@ _SCHEMAS: dict[str, T.StructType] = {
     "sketch_nodes": schema.SKETCH_NODES_TABLE,
     "event_ids": schema.EVENT_IDS_TABLE,
     "quarantine": schema.QUARANTINE_TABLE,
-    "batch_health": schema.BATCH_HEALTH_TABLE,
+    "batch_health": schema.STORED_HEALTH_TABLE,
 }
 _KEPT = ["parts", "received_print", "stored_print", "generation"]
-_HEALTH = ["batch_size", "inserted", "duplicates", "took_seconds", "error", "ts", "batch_id"]
+_HEALTH = schema.BATCH_HEALTH_TABLE.fieldNames()
 
 
 def _in_days(first: date | None, last: date | None):
