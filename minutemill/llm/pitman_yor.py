@@ -17,7 +17,10 @@ bytes, 65,536 at most, and the root go to the driver.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ HOME = 0xFFFF  # in place of a document's number: the block asks for the probabi
 NO_WORD = 0x2020  # no word has white space in it
 STRENGTH = 1.0
 LEVELS = 3
+# Customers of a dish up to which all numbers of tables are weighed; numbers weighed above; customers with a row of Stirling numbers.
+FULL, BLOCK, ROWS = 64, 128, 1024
 
 _PARCEL = "target long, kind int, block long, words binary, at binary, contexts binary, before binary, docs binary, counts binary"
 _PARTIAL = "block long, kind int, docs binary, words binary, contexts binary, known binary, base binary, score binary"
@@ -207,36 +212,109 @@ _STORE = (
 )
 
 
-def seat(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables after the customers of each (restaurant, dish) have left and taken seats again one by one.
-
-    others: tables of the same restaurant with other dishes; parent: the parent's probability of the dish.
-    The i-th customer opens a table with weight (strength + discount * all tables) * parent, against
-    i - 1 - discount * own tables for the tables there are. From the 33rd on, customers come in parties of an
-    eighth of those seated, and the weights change after each party.
-    """
-    out = np.minimum(customers, 1)
+def _first_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables to begin sampling from: customers come one by one, from the 33rd on in parties of an eighth of those seated."""
+    out = np.ones(len(customers), np.int64)
     order = np.argsort(-customers, kind="stable")
-    order = order[: np.searchsorted(-customers[order], -1)]  # two customers or more
     count, base, slope = customers[order], (STRENGTH + discount * others[order]) * parent[order], discount * parent[order]
-    t = np.ones(len(order))
-    seated, ends = 1, np.searchsorted(-count, -np.arange(0, 34), side="right")
-    while len(count):
+    t, seated = np.ones(len(order)), 1
+    while (n := int(np.searchsorted(-count, -(seated + 1), side="right"))) > 0:
         party = max(1, seated // 8) if seated >= 32 else 1
-        n = int(ends[seated + 1]) if seated + 1 < 34 else int(np.searchsorted(-count, -(seated + 1), side="right"))
-        if n == 0:
-            break
         new = base[:n] + slope[:n] * t[:n]
-        chance = new / (new + seated - discount * t[:n])
-        if party == 1:
-            t[:n] += rng.random(n) < chance
-        else:
-            t[:n] += rng.binomial(np.minimum(party, count[:n] - seated), chance)
+        t[:n] += rng.binomial(np.minimum(party, count[:n] - seated), new / (new + seated - discount * t[:n]))
         seated += party
     out[order] = t.astype(np.int64)
     return out
 
 
+@lru_cache(maxsize=8)
+def _log_stirling(discount: float) -> np.ndarray:
+    """Log of the generalised Stirling numbers S(n, t) for n and t up to ROWS: S(n + 1, t) = S(n, t - 1) + (n - discount t) S(n, t)."""
+    out = np.full((ROWS + 1, ROWS + 1), -np.inf)
+    out[1, 1] = 0.0
+    for n in range(1, ROWS):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 1] = np.logaddexp(out[n, :n], np.log(n - discount * t) + out[n, 1 : n + 1])
+        out[n + 1, n + 1] = 0.0
+    return out
+
+
+def _log_stirling_beyond(n: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Log of S(n, t), but for a constant, where n is above ROWS.
+
+    With B(n, t) = S(n, t) t! discount^t / Gamma(n) the rule above says that B(n + 1, t) is the mean of B(n, .) after one
+    of t has left with chance discount t / n. From n down to ROWS each of t stays with chance `stay`, so
+    B(n, t) is the mean of B(ROWS, .) over a binomial number.
+    """
+    stay = math.exp(math.lgamma(n - discount) + math.lgamma(ROWS) - math.lgamma(n) - math.lgamma(ROWS - discount))
+    most = int(t[-1])
+    factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(most, ROWS) + 1)))))
+    j = np.arange(1, min(most, ROWS, int(most * stay + 10 * math.sqrt(most * stay) + 20)) + 1)
+    below = _log_stirling(discount)[ROWS, j] + factorial[j] + j * math.log(discount)
+    rest = t[:, None] - j
+    chosen = factorial[t][:, None] - factorial[j] - factorial[np.maximum(rest, 0)]
+    terms = np.where(rest >= 0, chosen + j * math.log(stay) + rest * math.log1p(-stay) + below, -np.inf)
+    top = terms.max(axis=1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(terms - top).sum(axis=1)) - factorial[t] - t * math.log(discount)
+
+
+def seat(
+    customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng, first: bool = True
+) -> np.ndarray:
+    """A Gibbs draw of the tables of each (restaurant, dish): from their distribution given all other seats.
+
+    others: tables of the same restaurant with other dishes; parent: the parent's probability of the dish.
+    t tables of n customers have the weight S(n, t) parent^t (strength + discount others) (strength + discount (others +
+    1)) ... over t factors. Up to FULL customers t is drawn from 1 to n, above from the BLOCK
+    numbers around the present one, whose bounds are moved at random in each call; `first`: such dishes begin with
+    seats taken one by one and not with `tables`.
+    """
+    out = np.minimum(customers, 1)
+    largest = np.nonzero(customers > FULL)[0]
+    if first and len(largest):
+        tables = tables.copy()
+        tables[largest] = _first_tables(customers[largest], others[largest], parent[largest], discount, rng)
+    stirling, low = _log_stirling(discount), 2
+    for width in (2, 3, 4, 6, 8, 12, 16, 32, FULL):
+        own = np.nonzero((customers >= low) & (customers <= width))[0]
+        low = width + 1
+        for i in range(0, len(own), 1 << 16):
+            at = own[i : i + (1 << 16)]
+            weights = stirling[customers[at], 1 : width + 1]
+            out[at] = 1 + _drawn(weights, np.zeros(len(at)), others[at], parent[at], discount, rng)
+    shift = int(rng.integers(BLOCK))
+    begins = np.maximum(1, (tables[largest] + shift) // BLOCK * BLOCK - shift)
+    inside = customers[largest] <= ROWS
+    for i in range(0, int(inside.sum()), 4096):
+        at, begin = largest[inside][i : i + 4096], begins[inside][i : i + 4096]
+        t = begin[:, None] + np.arange(BLOCK)
+        end = ((tables[at] + shift) // BLOCK + 1) * BLOCK - shift  # the first block is cut at 1
+        weights = np.where(t < end[:, None], stirling[customers[at][:, None], np.minimum(t, ROWS)], -np.inf)
+        weights[t > customers[at][:, None]] = -np.inf
+        out[at] = begin + _drawn(weights, begin - 1, others[at], parent[at], discount, rng)
+    for at, begin in zip(largest[~inside].tolist(), begins[~inside].tolist()):
+        end = min(((int(tables[at]) + shift) // BLOCK + 1) * BLOCK - shift, int(customers[at]) + 1)
+        weights = _log_stirling_beyond(int(customers[at]), np.arange(begin, end), discount)[None]
+        out[at] = begin + _drawn(weights, np.array([begin - 1]), others[at : at + 1], parent[at : at + 1], discount, rng)[0]
+    return out
+
+
+def _drawn(weights: np.ndarray, opened: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Column drawn in each row; column k stands for k + 1 tables more than those opened, weights are logs of S."""
+    more = np.log((STRENGTH + discount * (others + opened))[:, None] + discount * np.arange(weights.shape[1]))
+    more += np.log(parent)[:, None]
+    weights = weights + np.cumsum(more, axis=1)
+    weights -= weights.max(axis=1, keepdims=True)
+    upto = np.cumsum(np.exp(weights, out=weights), axis=1)
+    return (upto <= (rng.random(len(upto)) * upto[:, -1])[:, None]).sum(axis=1)
+
+
+def _without(own, customers, tables, all_customers, all_tables, base, discount: float) -> np.ndarray:
+    """A parent's probability of a dish once `own` of the dish's customers have left it."""
+    left = customers - own
+    return (left - discount * np.minimum(tables, left) + (STRENGTH + discount * all_tables) * base) / (STRENGTH + all_customers - own)
+
+
 class _Seating:
     """The restaurants of one bucket's words at every level, seen from its (word, context) pairs.
 
@@ -278,18 +356,25 @@ class _Seating:
         pairs = (self.customers - d2 * self.tables + (STRENGTH + d2 * t2) * middle[self.up]) / (STRENGTH + c2)
         return root, middle, pairs
 
-    def sweep(self, totals: Totals, rng) -> None:
+    def sweep(self, totals: Totals, rng, first: bool = True) -> None:
+        """Draw the tables of all dishes, level by level; those of other dishes and buckets are as the last sweep left them."""
         d0, d1, d2 = totals.discounts
-        root, middle, _ = self.probabilities(totals)
+        root, _, _ = self.probabilities(totals)
         others = totals.tables[2][self.context] - self.tables
-        self.tables = seat(self.customers, self.tables, others, middle[self.up], d2, rng)
+        c1, t1 = totals.customers[1][self.context1], totals.tables[1][self.context1]
+        up = self.up
+        parent = _without(self.tables, self.customers1[up], self.tables1[up], c1[up], t1[up], root[self.word1][up], d1)
+        self.tables = seat(self.customers, self.tables, others, parent, d2, rng, first)
         self._lift()
-        others = np.maximum(totals.tables[1][self.context1] - self.tables1, 0)
-        self.tables1 = seat(self.customers1, self.tables1, others, root[self.word1], d1, rng)
+        base = np.full(self.words, 1.0 / (totals.vocabulary + 1))
+        others, at = np.maximum(t1 - self.tables1, 0), self.word1
+        parent = _without(
+            self.tables1, self.customers0[at], self.tables0[at], totals.customers[0][0], totals.tables[0][0], base[at], d0
+        )
+        self.tables1 = seat(self.customers1, self.tables1, others, parent, d1, rng, first)
         self.customers0 = np.bincount(self.word1, self.tables1, self.words).astype(np.int64)
         others = np.maximum(totals.tables[0][0] - self.tables0, 0)
-        base = np.full(self.words, 1.0 / (totals.vocabulary + 1))
-        self.tables0 = seat(self.customers0, self.tables0, others, base, d0, rng)
+        self.tables0 = seat(self.customers0, self.tables0, others, base, d0, rng, first)
 
     def totals(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(customers, tables) of each restaurant, level by level."""
@@ -433,6 +518,16 @@ def _completed(totals: Totals, customers: np.ndarray, tables: np.ndarray) -> Tot
     return Totals(totals.vocabulary, [*totals.customers, customers], [*totals.tables, tables], totals.discounts)
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of the store written by bucket, so that what is grouped by bucket later is read in place and not shuffled."""
+    spark, name = rows.sparkSession, f"pitman_yor_{uuid.uuid4().hex}"
+    files = rows.write.bucketBy(buckets, "bucket").sortBy("bucket").option("path", scratch_path(spark, "pitman-yor"))
+    files.saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the frame has their list
+    return stored
+
+
 def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, seed: int = 7) -> DataFrame:
     """Learn from the rows where the column `learn` holds and score all.
 
@@ -446,9 +541,7 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = id_and_text(docs, F.coalesce(learn, F.lit(False)).alias("learn"))
     parcels = rows.mapInArrow(lambda batches: _send(batches, buckets), _PARCEL)
-    path = scratch_path(spark, "pitman-yor")
-    parcels.groupBy("target").applyInArrow(_collect, _STORE).write.parquet(path)
-    store = spark.read.schema(_STORE).parquet(path)
+    store = _bucketed(parcels.groupBy("target").applyInArrow(_collect, _STORE), buckets)
     targets = buckets
 
     def written(df: DataFrame, name: str, schema: str) -> DataFrame:
@@ -475,15 +568,14 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
         return round_.filter("sums IS NOT NULL").select("bucket", "round", "tables", "tables1", "tables0")
 
     def sweep_after(number: int, totals: Totals):
-        def sweep(table: pa.Table) -> pa.Table:
+        def sweep(stored: pa.Table, sent: pa.Table) -> pa.Table:
             pa.default_memory_pool().release_unused()
-            rows = table.to_pylist()
-            row = next(r for r in rows if r["words"] is not None)
+            (row,), rows = stored.to_pylist(), sent.to_pylist()
             seating = _resumed(row, next(r for r in rows if r["tables"] is not None))
             opened = _gathered(row, [r for r in rows if r["opened"] is not None], "opened", targets)
             # Seating needs the tables of restaurants of words and not their customers.
             complete = _completed(totals, np.zeros(len(opened)), opened)
-            seating.sweep(complete, np.random.Generator(np.random.PCG64([seed, number, row["bucket"]])))
+            seating.sweep(complete, np.random.Generator(np.random.PCG64([seed, number, row["bucket"]])), number == 0)
             return pa.Table.from_batches([_seats(row, seating, number + 1, targets)])
 
         return sweep
@@ -491,16 +583,16 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
     totals, trained = _measure(seats[0], None)
     history, leaves = [totals], [added_up(seats[0])]
     for number in range(sweeps):
-        given = pairs.unionByName(state_of(seats[-1]), allowMissingColumns=True)
-        given = given.unionByName(leaves[-1].select("bucket", "target", "opened"), allowMissingColumns=True)
-        seats.append(written(given.groupBy("bucket").applyInArrow(sweep_after(number, totals), _SEATS), "seats", _SEATS))
+        given = state_of(seats[-1]).unionByName(leaves[-1].select("bucket", "target", "opened"), allowMissingColumns=True)
+        swept = pairs.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(sweep_after(number, totals), _SEATS)
+        seats.append(written(swept, "seats", _SEATS))
         totals, _ = _measure(seats[-1], history[0])
         history.append(totals)
         leaves.append(added_up(seats[-1]))
     vocabulary = history[0].vocabulary
     partial_schema, result_schema = arrow_schema(_PARTIAL), arrow_schema(_RESULT)
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(stored: pa.Table, sent: pa.Table) -> pa.Table:
         def rows_of(block, found):
             docs_ = np.nonzero(found[3])[0]
             return {"block": block, "kind": 2, "docs": _blob(docs_, "<u2"), "known": _blob(found[0][docs_], "<u4"),
@@ -510,8 +602,7 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
             return to_batch({c: [r.get(c) for r in rows] for c in partial_schema.names}, partial_schema)
 
         pa.default_memory_pool().release_unused()
-        rows = table.to_pylist()
-        row = next(r for r in rows if r["words"] is not None)
+        (row,), rows = stored.to_pylist(), sent.to_pylist()
         sent = [r for r in rows if r["target"] is not None]
         customers, chances, out = _gathered(row, [r for r in sent if r["customers"] is not None], "customers", targets), [], []
         for state in sorted((r for r in rows if r["tables"] is not None), key=lambda r: r["round"]):
@@ -564,11 +655,11 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
         }
         return pa.Table.from_batches([to_batch(columns, result_schema)])
 
-    given = store.filter("kind = 2").drop("kind").unionByName(leaves[0].select("bucket", "target", "customers"), allowMissingColumns=True)
+    given = leaves[0].select("bucket", "target", "customers")
     for k in range(max(0 if sweeps == 0 else 1, sweeps + 1 - samples), sweeps + 1):
         given = given.unionByName(state_of(seats[k]), allowMissingColumns=True)
         given = given.unionByName(leaves[k].select("bucket", "round", "target", "opened"), allowMissingColumns=True)
-    partial = given.groupBy("bucket").applyInArrow(answer, _PARTIAL)
+    partial = store.filter("kind = 2").drop("kind").groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(answer, _PARTIAL)
     none = F.lit(None).cast("binary")
     homes = store.filter("kind < 2").select(
         F.col("bucket").alias("block"), "kind", F.col("entry_doc").alias("docs"), "words",

@@ -330,6 +330,48 @@ def test_seating_matches_urn():
     assert abs(found.mean() - tables.mean()) < 0.03 * tables.mean()
 
 
+def _table_chances(n: int, parent: float, others: int, discount: float, most: int) -> np.ndarray:
+    """Chances of 1 to `most` tables of one dish's n customers, straight from the weights of all seatings."""
+    stirling = np.full(most + 2, -np.inf)
+    stirling[1] = 0.0
+    t = np.arange(1, most + 2)
+    for seated in range(1, n):
+        stay = np.log(np.maximum(seated - discount * t, 1e-300))
+        stirling[1:] = np.logaddexp(stirling[:-1], stay + stirling[1:])
+    opened = np.log(parent * (pitman_yor.STRENGTH + discount * (others + np.arange(most))))
+    weights = stirling[1 : most + 1] + np.cumsum(opened)
+    chances = np.exp(weights - weights.max())
+    return chances / chances.sum()
+
+
+@pytest.mark.parametrize(
+    "n, parent, others, discount",
+    [(2, 0.3, 3, 0.5), (20, 0.1, 0, 0.6), (20, 0.001, 1000, 0.7), (64, 0.2, 50, 0.8), (200, 0.01, 50, 0.7), (900, 0.05, 400, 0.3),
+     (1500, 0.01, 50, 0.7), (6000, 0.02, 300, 0.5), (6000, 0.0005, 20_000, 0.85)],
+)
+def test_seating_draws_from_the_exact_conditional(n, parent, others, discount):
+    rng, repeats = np.random.default_rng(3), 20_000 if n <= pitman_yor.ROWS else 800
+    chances = _table_chances(n, parent, others, discount, min(n, 600))
+    mean = chances @ np.arange(1, len(chances) + 1)
+    spread = math.sqrt(chances @ np.arange(1, len(chances) + 1) ** 2 - mean**2)
+    customers, tables = np.full(repeats, n), np.ones(repeats, np.int64)
+    for number in range(4):
+        tables = pitman_yor.seat(customers, tables, np.full(repeats, others), np.full(repeats, parent), discount, rng, number == 0)
+    assert abs(tables.mean() - mean) < 0.01 * mean + 4 * spread / math.sqrt(repeats)
+    assert tables.min() >= 1 and tables.max() <= n
+
+
+def test_seating_leaves_the_conditional_as_it_is():
+    """Draws block by block keep numbers that spread over several blocks at their exact distribution."""
+    rng, n, repeats, discount = np.random.default_rng(5), 1000, 8000, 0.8
+    chances = _table_chances(n, 0.9, 200, discount, n)
+    exact = rng.choice(np.arange(1, n + 1), repeats, p=chances)
+    others, parent = np.full(repeats, 200), np.full(repeats, 0.9)
+    drawn = pitman_yor.seat(np.full(repeats, n), exact, others, parent, discount, rng, False)
+    assert abs(drawn.mean() - exact.mean()) < 5 * exact.std() / math.sqrt(repeats)
+    assert abs(drawn.std() - exact.std()) < 0.05 * exact.std()
+
+
 def test_license_scan(spark, odd_rows):
     rows = odd_rows + [(400, "x " * 33 + licenses.TEMPLATES["MIT"].upper() + ". y", "en"), (401, "released under the", None)]
     rows += [(410 + i, f"{'w ' * i}{text}\nmore", "en") for i, text in enumerate(licenses.TEMPLATES.values())]
