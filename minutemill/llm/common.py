@@ -26,6 +26,16 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def buckets_for(docs: DataFrame, each: int = 16 << 20, least: int = 64) -> int:
+    """Buckets to deal the text of documents to: one for each `each` bytes of it, `least` at least.
+
+    One pass over the column measures the text, so that a bucket stays as large as it is however much
+    there is and whatever the session's number of shuffle partitions. No text at all gives `least`.
+    """
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(least, -(-size // each))
+
+
 def id_remainder(modulus: int) -> Column:
     """crc32 of doc_id as text modulo `modulus`; a null id counts as the empty text."""
     text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))

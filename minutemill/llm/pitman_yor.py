@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutemill.llm.common import arrow_schema, id_and_text, id_remainder, read_documents, to_batch
+from minutemill.llm.common import arrow_schema, buckets_for, id_and_text, id_remainder, read_documents, to_batch
 from minutemill.session import scratch_path
 
 BLOCK_TOKENS, BLOCK_DOCS = 2 << 20, 60_000
@@ -538,11 +538,11 @@ def score_documents(docs: DataFrame, learn, sweeps: int = 3, samples: int = 2, s
     are left behind, an empty table gives an empty one. With nothing to learn from, all words are unknown.
     """
     spark = docs.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(docs)
     rows = id_and_text(docs, F.coalesce(learn, F.lit(False)).alias("learn"))
     parcels = rows.mapInArrow(lambda batches: _send(batches, buckets), _PARCEL)
     store = _bucketed(parcels.groupBy("target").applyInArrow(_collect, _STORE), buckets)
-    targets = buckets
+    targets = 8 * math.isqrt(buckets)  # a bucket sends a row to each
 
     def written(df: DataFrame, name: str, schema: str) -> DataFrame:
         path = scratch_path(spark, f"pitman-yor-{name}")

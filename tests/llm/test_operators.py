@@ -330,6 +330,13 @@ def test_seating_matches_urn():
     assert abs(found.mean() - tables.mean()) < 0.03 * tables.mean()
 
 
+def test_buckets_follow_the_bytes_of_text(spark):
+    rows = [(1, "x" * 100, "en"), (2, "\u00e9" * 50, "en"), (3, None, "en"), (4, "", None)]
+    assert common.buckets_for(_frame(spark, rows), each=30, least=2) == 7
+    assert common.buckets_for(_frame(spark, rows)) == 64
+    assert common.buckets_for(_frame(spark, rows[2:]), each=1, least=3) == 3
+
+
 def _table_chances(n: int, parent: float, others: int, discount: float, most: int) -> np.ndarray:
     """Chances of 1 to `most` tables of one dish's n customers, straight from the weights of all seatings."""
     stirling = np.full(most + 2, -np.inf)
