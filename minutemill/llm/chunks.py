@@ -3,8 +3,9 @@
 The pre-tokenizer's pattern never joins what comes before a space with a space that is followed by
 something visible: runs of white space give up their last space to the word behind it, and the rest of
 the run is matched in the same way whether the text goes on or ends there. So a text may be cut before
-every such space and its parts encoded apart from each other, with equal ids. Parts repeat, texts do
-not, which is why parts are remembered.
+every such space and its parts encoded apart from each other, with equal ids. The same holds before a line
+break that stands between two visible characters, which is a match by itself. Parts repeat, texts do not, which is
+why parts are remembered.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import numpy as np
 # A space before more white space or at the end must not be cut at.
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
+# Texts with a line break beside other white space or at the end are not cut at line breaks.
+_ODD_BREAK = re.compile(r"\n(?:\s|\Z)|\s\n")
 
 
 class PartEncoder:
     """encode_many(list of str) gives the ids of each as little-endian unsigned 32-bit integers.
 
-    encode_spaced does the same for parts that begin with a space, if there is a faster way for these.
+    encode_spaced does the same for parts that begin with a space or a line break, if there is a faster way for these.
     Remembered parts live in two generations of about `limit` parts each: when the young one is full it
     becomes the old one, and parts met again move back to the young one.
     """
@@ -34,36 +37,44 @@ class PartEncoder:
         encode_spaced: Callable[[list[str]], Iterable[bytes]] | None = None,
     ):
         self._encode_many, self._encode_spaced, self._limit = encode_many, encode_spaced or encode_many, limit
-        self._young: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
 
-    def _learn(self, wanted: set[str]) -> None:
-        if len(self._young) > self._limit:
-            self._old, self._young = self._young, {}
-        new = wanted.difference(self._young)
+    def _learn(self, new: set[str]) -> None:
         again = new.intersection(self._old)
         self._young.update((part, self._old[part]) for part in again)
         unknown = list(new - again)
-        self._young.update(zip(unknown, self._encode_spaced([" " + part for part in unknown])))
+        spaced = [part if part[0] == "\n" else " " + part for part in unknown]
+        self._young.update(zip(unknown, self._encode_spaced(spaced)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self._young) > self._limit:
+            self._old, self._young = self._young, {"": b""}
         parts = [_split(text) for text in texts]
         first = self._encode_many([p[0] for p in parts])
-        self._learn(set().union(*(p[1:] for p in parts)))
-        known = self._young.__getitem__
-        out = [head + b"".join(map(known, p[1:])) for head, p in zip(first, parts)]
+        for p in parts:
+            p[0] = ""
+        # One look-up a part; only those without an answer are looked at again.
+        found = [list(map(self._young.get, p)) for p in parts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self._learn({p[i] for p, at in zip(parts, gaps) for i in at})
+        for f, p, at in zip(found, parts, gaps):
+            for i in at:
+                f[i] = self._young[p[i]]
+        out = [head + b"".join(f) for head, f in zip(first, found)]
         if max(map(len, texts), default=0) > 16 * self._limit:  # one text may hold very long parts
-            self._young, self._old = {}, {}
+            self._young, self._old = {"": b""}, {}
         return out
 
 
 def _split(text: str) -> list[str]:
-    """Parts of a text; all but the first have lost their leading space."""
-    if not _ODD.search(text):
-        parts = text.split(" ")
-        return parts if not text.startswith(" ") else _general(text)
-    return _general(text)
+    """Parts of a text; all but the first have lost their leading space, or begin with a line break."""
+    if text.startswith(" ") or _ODD.search(text):
+        return _general(text)
+    if not _ODD_BREAK.search(text):
+        text = text.replace("\n", " \n")
+    return text.split(" ")
 
 
 def _general(text: str) -> list[str]:

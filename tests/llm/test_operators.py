@@ -330,6 +330,25 @@ def test_seating_matches_urn():
     assert abs(found.mean() - tables.mean()) < 0.03 * tables.mean()
 
 
+def test_parts_of_texts_have_the_ids_of_the_whole():
+    """Line breaks between words, beside spaces, doubled, at the ends, and odd white space, in any order of learning."""
+    from minutemill.llm import chunks
+
+    encoder = chunks.tokenizers_encoder(packing.production_model(), limit=40)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(packing.production_model())
+    library.encode_special_tokens = True
+    rng = random.Random(11)
+    pieces = ["\n", "\n", " ", " ", "word", "it's", "Next", "42", ".", "\t", "\r", "\u00a0", "\x1c", "\u2028", "\u4e00", "<|endoftext|>", "'s", "\x85"]
+    texts = ["", "\n", " ", "a\nb", "\na", "a\n", "a\n\nb", "a \nb", "a\n b", "a\t\nb\n'll c"]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(3000)]
+    for i in range(0, len(texts), 50):
+        some = texts[i : i + 50]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert encoder(some) == want
+
+
 def test_buckets_follow_the_bytes_of_text(spark):
     rows = [(1, "x" * 100, "en"), (2, "\u00e9" * 50, "en"), (3, None, "en"), (4, "", None)]
     assert common.buckets_for(_frame(spark, rows), each=30, least=2) == 7
