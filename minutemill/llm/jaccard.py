@@ -41,6 +41,23 @@ def _blob(values, dtype) -> bytes:
     return np.ascontiguousarray(values, dtype).tobytes()
 
 
+def _coded(values: np.ndarray, dtype: str) -> bytes:
+    """Compressed planes of two bytes, or of one; sorted hashes of one bucket share their upper planes."""
+    import zstandard
+
+    plane = "<u2" if dtype == "<u8" else "u1"
+    columns = np.ascontiguousarray(values, dtype).view(plane).reshape(len(values), -1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns.T).tobytes())
+
+
+def _decoded(blob: bytes, dtype: str) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2" if dtype == "<u8" else "u1")
+    planes = np.dtype(dtype).itemsize // flat.itemsize
+    return np.ascontiguousarray(flat.reshape(planes, -1).T).reshape(-1).view(dtype)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     ids, sets, held = [], [], 0
     for batch in batches:
@@ -90,15 +107,14 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
             known = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
             add(block % buckets, 0, block, _blob(known, "<i8"), _blob(sizes, "<i8"), b"")
-            add(block % buckets, 1, block, _blob(hashes[several], "<u8"), _blob(owner[several], "<u2"), b"")
+            add(block % buckets, 1, block, _coded(hashes[several], "<u8"), _coded(owner[several], "<u2"), b"")
             unique, number_of = hashes[at], np.where(counts > 1, LOCAL, owner[at])
-            place = (unique >> np.uint64(32)) % np.uint64(buckets)
-            by_place = np.argsort(place, kind="stable")
-            unique, number_of, counts = unique[by_place], number_of[by_place], counts[by_place]
-            ends = np.searchsorted(place[by_place], np.arange(buckets + 1))
+            # A bucket is a range of hashes, so what a block sends to it is in order.
+            place = ((unique >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            ends = np.searchsorted(place, np.arange(buckets + 1))
             for b in np.nonzero(np.diff(ends))[0].tolist():
                 part = slice(ends[b], ends[b + 1])
-                add(b, 2, block, _blob(unique[part], "<u8"), _blob(number_of[part], "<u2"), _blob(counts[part], "<u4"))
+                add(b, 2, block, _coded(unique[part], "<u8"), _coded(number_of[part], "<u2"), _coded(counts[part], "<u4"))
             yield to_batch(rows, parcel)
 
     def count(table: pa.Table) -> pa.Table:
@@ -107,10 +123,10 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         counted = table.filter(pa.array(kinds == 2))
         if counted.num_rows == 0:
             return passed
-        parts = [np.frombuffer(x, "<u8") for x in counted.column("hashes").to_pylist()]
+        parts = [_decoded(x, "<u8") for x in counted.column("hashes").to_pylist()]
         hashes = np.concatenate(parts)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in counted.column("counts").to_pylist()])
-        numbers = np.concatenate([np.frombuffer(x, "<u2") for x in counted.column("numbers").to_pylist()])
+        counts = np.concatenate([_decoded(x, "<u4") for x in counted.column("counts").to_pylist()])
+        numbers = np.concatenate([_decoded(x, "<u2") for x in counted.column("numbers").to_pylist()])
         order = np.argsort(hashes, kind="stable")
         at = np.ones(len(order), bool)
         at[1:] = hashes[order][1:] != hashes[order][:-1]
@@ -124,7 +140,7 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             keep = total[part] > 1
             if keep.any():
                 found = (hashes[part][keep], "<u8"), (numbers[part][keep], "<u2"), (total[part][keep], "<u4")
-                for c, v in zip(parcel.names, (0, 2, block, *(_blob(*x) for x in found))):
+                for c, v in zip(parcel.names, (0, 2, block, *(_coded(*x) for x in found))):
                     rows[c].append(v)
         return pa.concat_tables([passed, pa.Table.from_batches([to_batch(rows, parcel)])])
 
@@ -134,15 +150,15 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         local = next(r for r in rows if r["kind"] == 1)
         ids, sizes = np.frombuffer(docs_row["hashes"], "<i8"), np.frombuffer(docs_row["numbers"], "<i8")
         back = [r for r in rows if r["kind"] == 2]
-        hashes = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in back] or [np.zeros(0, "<u8")])
-        owner = np.concatenate([np.frombuffer(r["numbers"], "<u2") for r in back] or [np.zeros(0, "<u2")])
-        total = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in back] or [np.zeros(0, "<u4")])
+        hashes = np.concatenate([_decoded(r["hashes"], "<u8") for r in back] or [np.zeros(0, "<u8")])
+        owner = np.concatenate([_decoded(r["numbers"], "<u2") for r in back] or [np.zeros(0, "<u2")])
+        total = np.concatenate([_decoded(r["counts"], "<u4") for r in back] or [np.zeros(0, "<u4")])
         several = owner == LOCAL
         order = np.argsort(hashes[several])
-        local_hashes = np.frombuffer(local["hashes"], "<u8")
+        local_hashes = _decoded(local["hashes"], "<u8")
         where = np.searchsorted(hashes[several][order], local_hashes)
         hashes = np.concatenate((hashes[~several], local_hashes))
-        owner = np.concatenate((owner[~several], np.frombuffer(local["numbers"], "<u2")))
+        owner = np.concatenate((owner[~several], _decoded(local["numbers"], "<u2")))
         total = np.concatenate((total[~several], total[several][order][where]))
         order = np.lexsort((hashes, total, owner))
         hashes = hashes[order]
