@@ -14,11 +14,14 @@
    comparison. Components that still meet in a list are compared part by part, sets sorted by size and parts
    skipped by size; the common counts of a set are derived from those of the set before it. Tasks return
    links that connect components and no pairs, and no pair is left out that could change a component.
+5. Links are counted, or named, inside the components found, between cells of similar sizes, with the same derived
+   counts; a class counts once, with the number of its documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from minutemill.llm.common import arrow_schema, components, id_and_text, read_documents, shingle_hashes, to_batch
 from minutemill.session import scratch_path
 
-# Documents, and shingles, of a block; sets of a block of a prefix list; sets of a part of a group.
-BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK, PART_SETS = 60_000, 1 << 19, 64, 512
+# Documents, and shingles, of a block; sets of a block of a prefix list; sets of a part of a group; shingles of a cell.
+BLOCK_DOCS, BLOCK_SHINGLES, LIST_BLOCK, PART_SETS, PART_TOKENS = 60_000, 1 << 19, 64, 512, 1 << 19
 LOCAL = 0xFFFF  # in place of a document's number: the block knows the documents itself
 
 _PARCEL = "target long, kind int, block long, hashes binary, numbers binary, counts binary"
@@ -260,16 +263,13 @@ def _compared(spark: SparkSession, sets: DataFrame, lists: DataFrame, labels: Da
     return sent.groupBy("team", "part", "part2").applyInArrow(lambda table: _links_of(table, percent), "a long, b long")
 
 
-def _links_of(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join components among the sets of one part, or between those of two.
+def _common_counts(node: np.ndarray, side: np.ndarray, tokens: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, common shingles with every set of the other side) for the sets of side 1, of the part itself if it is alone.
 
     The common counts of a set with all others come from those of the set before it: plus the lists of the
     shingles it has gained, minus the lists of those it has lost. Only where more than half
     of a set differs are they counted anew.
     """
-    rows = table.sort_by([("side", "ascending"), ("node", "ascending")])
-    node, own, n, side = (np.array(rows.column(c)) for c in ("node", "component", "n", "side"))
-    tokens = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
     lengths = np.array([len(t) for t in tokens])
     distinct, at = np.unique(np.concatenate(tokens), return_inverse=True)
     ends = np.concatenate(([0], np.cumsum(lengths)))
@@ -285,15 +285,6 @@ def _links_of(table: pa.Table, percent: int) -> pa.Table:
         places = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[which], size)
         return np.bincount(lists[places], minlength=len(node))
 
-    root = {c: c for c in own.tolist()}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    a, b = [], []
     last, common = np.zeros(0, np.int64), np.zeros(len(node), np.int64)
     has = np.zeros(len(distinct), bool)
     for i in np.nonzero(side == 1)[0].tolist():
@@ -307,6 +298,24 @@ def _links_of(table: pa.Table, percent: int) -> pa.Table:
         else:
             common = count(mine)
         last = mine
+        yield i, common
+
+
+def _links_of(table: pa.Table, percent: int) -> pa.Table:
+    """Links that join components among the sets of one part, or between those of two."""
+    rows = table.sort_by([("side", "ascending"), ("node", "ascending")])
+    node, own, n, side = (np.array(rows.column(c)) for c in ("node", "component", "n", "side"))
+    tokens = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
+    root = {c: c for c in own.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    a, b = [], []
+    for i, common in _common_counts(node, side, tokens):
         linked = np.nonzero(100 * common >= percent * (n[i] + n - common))[0]
         for j in linked[own[linked] != own[i]].tolist():
             x, y = top(int(own[i])), top(int(own[j]))
@@ -317,14 +326,76 @@ def _links_of(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that a document reaches over links.
+def _paired(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(component, cell, cell2, side, node, n, tokens): the sets of every component, dealt to pairs of cells.
 
-    Two documents link when 100 * common shingles >= percent * all shingles of both. A text without words
-    and a null text have no shingles and link with nothing, not even with each other. Rows with a null
-    doc_id take no part and are left out. Rows with the same doc_id are one document in the result's
-    links but keep a row each. Other columns are left behind, an empty table gives an empty one.
+    Linked sets share a component and their sizes differ by a factor of 100 / percent at most, so they lie in one
+    band of sizes or in neighbouring ones. A band of more than PART_TOKENS shingles is cut into cells by
+    hash. Only cells of one band or of neighbouring bands meet, two at a time.
     """
+    ratio = 1.000001 * math.log(100 / percent) if percent < 100 else 1.0  # a little more, for rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
+    several = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1").select("component")
+    held = sets.join(labels, "node").withColumn("band", band)
+    shingles = F.ceil(F.sum("n") / PART_TOKENS).cast("int").alias("cells")
+    bands = held.select("component", "band", "n").groupBy("component", "band").agg(shingles)
+    bands = bands.join(several, "component", "left_semi")
+    cells = bands.select("component", "band", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    other = cells.select("component", F.col("band").alias("band2"), F.col("cell").alias("cell2"))
+    meet = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("cell2") >= F.col("cell")))
+    pairs = cells.join(other, "component").filter(meet)
+    first = pairs.withColumn("side", F.lit(1))
+    second = pairs.filter("band <> band2 OR cell <> cell2").select(
+        "component", F.col("band2").alias("band"), F.col("cell2").alias("cell"),
+        F.col("band").alias("band2"), F.col("cell").alias("cell2"), F.lit(2).alias("side"),
+    )
+    # Both sides of a pair are called by the cells of its first side.
+    mine = held.join(bands, ["component", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
+    dealt = mine.join(first.unionByName(second), ["component", "band", "cell"])
+    one, two = F.struct("band", "cell"), F.struct(F.col("band2").alias("band"), F.col("cell2").alias("cell"))
+    name = F.when(F.col("side") == 1, F.struct(one.alias("x"), two.alias("y"))).otherwise(F.struct(two.alias("x"), one.alias("y")))
+    return dealt.select("component", name.alias("pair"), "side", "node", "n", "weight", "tokens")
+
+
+def _counted_of(table: pa.Table, percent: int) -> pa.Table:
+    """(node, links): documents linked with each set, among the sets of one cell or between those of two."""
+    node, n, weight, linked = _all_linked(table, percent)
+    links = np.zeros(len(node), np.int64)
+    for i, others, both_ways in linked:
+        links[i] += weight[others].sum()
+        if both_ways:
+            links[others] += weight[i]
+    return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links)})
+
+
+def _named_of(table: pa.Table, percent: int) -> pa.Table:
+    """(a, b): linked sets, a the smaller, among the sets of one cell or between those of two."""
+    node, _, _, linked = _all_linked(table, percent)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, others, both_ways in linked:
+        found = node[others] if both_ways else node[others][node[others] > node[i]]
+        a.append(np.minimum(found, node[i]))
+        b.append(np.maximum(found, node[i]))
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def _all_linked(table: pa.Table, percent: int):
+    """(node, n, weight, iterator of (i, places of the sets linked with it, whether i is not met again from there))."""
+    rows = table.sort_by([("side", "ascending"), ("n", "ascending"), ("node", "ascending")])
+    node, n, weight, side = (np.array(rows.column(c)) for c in ("node", "n", "weight", "side"))
+    tokens = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
+    both_ways = bool((side == 2).any())
+
+    def linked():
+        for i, common in _common_counts(node, side, tokens) if (side == 1).any() else ():
+            found = (common > 0) & (100 * common >= percent * (n[i] + n - common)) & (node != node[i])
+            yield i, np.nonzero(found)[0], both_ways
+
+    return node, n, weight, linked()
+
+
+def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All sets, (a, b): documents and the first document of their class, class sets, component labels."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-sets")
     shared_sets(docs.filter("doc_id IS NOT NULL"), size, percent).write.parquet(path)
@@ -332,7 +403,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shared = all_sets.filter("tokens IS NOT NULL")
 
     classes = shared.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    same = shared.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same_path = scratch_path(spark, "jaccard-same")
+    named = shared.select("doc_id", "digest").distinct().join(classes, "digest")
+    named.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).write.parquet(same_path)
+    same = spark.read.schema("a long, b long").parquet(same_path)
     firsts = shared.join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     sets_path = scratch_path(spark, "jaccard-classes")
     chosen = firsts.select(*shared.columns).union(shared.filter("digest IS NULL"))
@@ -365,13 +439,67 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     late = spark.read.schema("a long, b long").parquet(late_path)
     if not late.isEmpty():
         labels = components(spark, links.union(late))
+    return all_sets, same, sets, labels
+
+
+def _with_component(all_sets: DataFrame, labels: DataFrame) -> DataFrame:
     found = all_sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _weighted(sets: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets with the number of documents of their class, those numbers)."""
+    weights = same.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    joined = sets.join(weights, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
+    return joined, weights
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links).
+
+    component_id: the smallest doc_id that a document reaches over links. class_id: the smallest doc_id with an
+    equal set. n_links: how many other documents it links with, copies included.
+
+    Two documents link when 100 * common shingles >= percent * all shingles of both. A text without words
+    and a null text have no shingles and link with nothing, not even with each other. Rows with a null
+    doc_id take no part and are left out. Rows with the same doc_id are one document in the result's
+    links but keep a row each; if their texts differ, the links of all are counted for each of their classes.
+    Other columns are left behind, an empty table gives an empty one.
+
+    Links are counted inside components only, cell by cell of similar sizes, and classes count once, with the number
+    of their documents: n equal copies cost one set. n different texts that are all similar have n^2 / 2 links, which
+    are counted without a row for each.
+    """
+    all_sets, same, sets, labels = _joined(docs, size, percent)
+    weighted, weights = _weighted(sets, same)
+    dealt = _paired(weighted, labels, percent).groupBy("component", "pair")
+    counted = dealt.applyInArrow(lambda table: _counted_of(table, percent), "node long, links long")
+    counted = counted.groupBy("node").agg(F.sum("links").alias("links"))
+    inside = weights.join(counted, "node", "full").select(
+        F.col("node").alias("class_id"),
+        (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+    )
+    classes = same.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("class_id"))
+    found = _with_component(all_sets, labels).join(classes, "doc_id", "left")
+    found = found.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(inside, "class_id", "left")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b): every link between documents with different sets that stand for their classes, a < b.
+
+    With class_id of jaccard_components this names all links: documents of one class link with each other, and with
+    all documents of a linked class. Rows are treated as there.
+    """
+    _, same, sets, labels = _joined(docs, size, percent)
+    dealt = _paired(_weighted(sets, same)[0], labels, percent).groupBy("component", "pair")
+    return dealt.applyInArrow(lambda table: _named_of(table, percent), "a long, b long").distinct()
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Documents that are the first of their component, as they came; a null doc_id stays."""
-    found = jaccard_components(docs, size, percent)
+    all_sets, _, _, labels = _joined(docs, size, percent)
+    found = _with_component(all_sets, labels)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
@@ -401,8 +529,14 @@ ORACLE = {
     reach AS (
       SELECT doc_id AS node, doc_id AS root FROM documents
       UNION
-      SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.root < l.b)
-    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id
-    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON node = d.doc_id GROUP BY d.doc_id, n
+      SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.root < l.b),
+    partners AS (SELECT a AS doc_id, count(*) AS n_links FROM both_ways GROUP BY a),
+    equal AS (
+      SELECT b AS doc_id, min(a) AS class_id FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+      WHERE c = p.n AND c = q.n GROUP BY b)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id,
+      coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+    FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN partners USING (doc_id) LEFT JOIN equal USING (doc_id)
+    JOIN reach ON node = d.doc_id GROUP BY d.doc_id, n, class_id, n_links
     """
 }

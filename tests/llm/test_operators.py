@@ -185,12 +185,37 @@ def test_jaccard_components(spark, odd_rows):
             words[rng.randrange(len(words))] = "changed" + str(rng.randrange(1000))
         near.append((200 + i, " ".join(words[: rng.randrange(95, 121)]), "en"))
     rows = odd_rows + near
-    assert sorted(map(tuple, jaccard.jaccard_components(_frame(spark, rows)).collect())) == _brute_components(rows)
+    found = jaccard.jaccard_components(_frame(spark, rows)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == _brute_components(rows)
     kept = jaccard.keep_one_of_each(_frame(spark, rows))
     wanted = {i for i, _, c in _brute_components(rows) if i == c}
     assert {r.doc_id for r in kept.collect()} == wanted | {None} and len(kept.columns) == 8
 
 
+def test_jaccard_links(spark, odd_rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 300)  # several cells in each band of sizes
+    rng = random.Random(18)
+    rows = [r for r in odd_rows if [x[0] for x in odd_rows].count(r[0]) == 1 and r[0] is not None]
+    for group in range(4):
+        base = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(rng.choice([9, 40, 150]))]
+        for i in range(25):
+            words = base[: rng.randrange(len(base) * 3 // 4, len(base) + 1)]
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = "changed" + str(rng.randrange(3))
+            rows += [(1000 + 100 * group + 4 * i + k, " ".join(words), "en") for k in range(rng.choice([1, 1, 3]))]
+    sets = {}
+    for i, text, _ in rows:
+        w = _words(text)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    links = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    class_of = {i: min([i, *(a for a in sets if sets[i] and sets[a] == sets[i])]) for i in sets}
+    found = jaccard.jaccard_components(_frame(spark, rows)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {i: (class_of[i], sum(a == i for a, _ in links)) for i in sets}
+    assert len(found) == len(rows) and len(links) > 500
+    between = {tuple(sorted((class_of[a], class_of[b]))) for a, b in links if class_of[a] != class_of[b]}
+    assert sorted(map(tuple, jaccard.jaccard_links(_frame(spark, rows)).collect())) == sorted(between)
+
+
 def _brute_removed(rows):
     first, known = {}, [(i, (t or "").encode()) for i, t, _ in rows if i is not None]
     for i, t in known:
