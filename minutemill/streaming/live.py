@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from minutemill.session import stream_partitions
+
 
 def drop_nearby_copies(events: DataFrame) -> DataFrame:
     """Leave out copies of an id within one Arrow batch of a task.
@@ -47,11 +49,12 @@ def thin_recent_copies(events: DataFrame, horizon: str) -> DataFrame:
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write a stream to Parquet files."""
-    return (
+    writer = (
         rows.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
     )
+    with stream_partitions(rows.sparkSession):
+        return writer.start()
