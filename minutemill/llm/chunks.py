@@ -92,6 +92,12 @@ def shared(key: tuple, make: Callable[[], PartEncoder]) -> PartEncoder:
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Let go of the encoders of this Python worker: said by operators that need none, as workers outlive a stage
+    and would hold what it remembers beside the data of the next."""
+    _ENCODERS.clear()
+
+
 def tokenizers_encoder(model_json: str, limit: int = 350_000) -> PartEncoder:
     """Encoder by the tokenizers library; strings of special tokens in a text are ordinary text."""
     import os

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from minutemill.llm.chunks import release
 from minutemill.llm.common import arrow_schema, components, id_and_text, read_documents, shingle_hashes, to_batch
 from minutemill.session import scratch_path
 
@@ -88,6 +89,7 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def send(batches):
         from pyspark import TaskContext
 
+        release()
         base = TaskContext.get().partitionId() << 24
         for number, (ids, sets) in enumerate(_blocks(batches, size)):
             block = base + number

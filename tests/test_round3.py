@@ -93,3 +93,19 @@ def test_a_micro_batch_is_used_once_and_history_is_not_sorted(spark):
     assert rows_of(micro) == rows_of(dedupe_stored(batch, seen))
     plan = micro._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2 and "strategy=shuffle_hash" in plan
+
+
+def test_cleaning_lets_go_of_what_packing_remembered(spark):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from minutemill.llm import chunks, quality
+
+    batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array(["a few words of plain text"])})
+    schema = T.StructType.fromDDL("doc_id long, text string")
+    docs = SimpleNamespace(schema=schema, columns=["doc_id", "text"], mapInArrow=lambda run, _: list(run([batch])))
+    chunks.shared(("test",), lambda: chunks.PartEncoder(lambda parts: [p.encode() for p in parts]))
+    quality.clean_documents(docs)
+    assert chunks._ENCODERS == {}
