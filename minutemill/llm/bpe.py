@@ -125,7 +125,7 @@ def _through(docs: DataFrame, model: bytes, pattern: str, schema: str, finish) -
     def run(batch):
         codec = shared(key, lambda: ByteBpe(model, pattern))
         for rows in slices(batch):
-            ids = codec.encode_texts(rows.column("text").to_pylist())
+            ids = codec.encode_texts(rows.column("text"))
             yield {"doc_id": rows.column("doc_id"), **finish(ids, [codec.decode(x) for x in ids])}
 
     return map_batches(id_and_text(docs), run, schema)

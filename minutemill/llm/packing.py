@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from minutemill.llm.chunks import shared, tokenizers_encoder
+from minutemill.llm.chunks import SLICE, shared, tokenizers_encoder
 from minutemill.llm.common import arrow_schema, id_and_text, read_documents, slices, to_batch
 
 PIECES = (
@@ -122,8 +122,8 @@ def pack_documents(
             return to_batch(columns, target)
 
         for batch in batches:
-            for rows in slices(batch):
-                encoded = encoder(rows.column("text").to_pylist())
+            for rows in slices(batch, SLICE):
+                encoded = encoder(rows.column("text"))
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoded):
                     ids += end
                     n, full = len(ids) // 4, len(ids) // 4 // capacity * capacity

@@ -374,6 +374,44 @@ def test_parts_of_texts_have_the_ids_of_the_whole():
         assert encoder(some) == want
 
 
+def test_a_part_is_encoded_once_for_all_its_places_and_marks():
+    """One request for a word, whichever mark stands behind it, in however many texts; ids as of whole texts."""
+    import pyarrow as pa
+
+    from minutemill.llm import chunks
+
+    asked = []
+
+    def encode_many(parts):
+        asked.extend(parts)
+        return [np.frombuffer(part.encode(), np.uint8).astype("<u4").tobytes() for part in parts]
+
+    encoder = chunks.PartEncoder(encode_many)
+    texts = pa.array(["dropped", "", "a word, a word. a word", "a word: a\nword;", "", "word\u00e9, word!x"]).slice(1)
+    ids, bounds = encoder.encode(texts)
+    assert ids.astype(np.uint8).tobytes().decode() == "".join(texts.to_pylist())
+    assert bounds.tolist() == [0, *np.cumsum([len(t.encode()) for t in texts.to_pylist()])]
+    assert sorted(asked) == sorted(["a", " a", " word", "\nword", ",", ".", ":", ";", "word\u00e9,", " word!x"])
+    assert encoder(["", ""]) == [b"", b""] and encoder([]) == []
+
+
+def test_parts_beside_white_space_of_two_and_three_bytes():
+    from tokenizers import Tokenizer
+
+    from minutemill.llm import chunks
+
+    model = packing.production_model()
+    encoder, library = chunks.tokenizers_encoder(model, limit=60), Tokenizer.from_str(model)
+    library.encode_special_tokens = True
+    rng = random.Random(12)
+    pieces = [" ", " ", "\n", "a", "B2", "don't", ",", ".", "!?", "'", "\u00a0", "\u00e9", "\u00c2", "\u1680", "\u180e", "\u1e00",
+              "\u2003", "\u2014", "\u202f", "\u205f", "\u3000", "\u3042", "\U0001f600", "\x7f", "\x1f", "\ufeff", "\u0085"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(6000)]
+    for i in range(0, len(texts), 60):
+        some = texts[i : i + 60]
+        assert encoder(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
 def test_buckets_follow_the_bytes_of_text(spark):
     rows = [(1, "x" * 100, "en"), (2, "\u00e9" * 50, "en"), (3, None, "en"), (4, "", None)]
     assert common.buckets_for(_frame(spark, rows), each=30, least=2) == 7
