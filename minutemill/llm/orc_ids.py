@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from minutemill.llm.chunks import shared, tokenizers_encoder
+from minutemill.llm.chunks import SLICE, shared, tokenizers_encoder
 from minutemill.llm.common import id_and_text, map_batches, read_documents, slices
 from minutemill.llm.packing import production_model
 from minutemill.session import scratch_path
@@ -43,17 +43,15 @@ def token_rows(docs: DataFrame, model_json: str, end_id: int = 0) -> DataFrame:
         if place[0] != task.taskAttemptId():
             place[:] = [task.taskAttemptId(), 0]
         encoder = shared(key, lambda: tokenizers_encoder(model_json))
-        for rows in slices(batch):
-            end = np.array([end_id], "<u4").tobytes()
-            blobs = [x + end for x in encoder(rows.column("text").to_pylist())]
-            sizes = np.array([len(x) // 4 for x in blobs], np.int64)
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            flat = np.frombuffer(b"".join(blobs), "<i4")
+        for rows in slices(batch, SLICE):
+            ids, bounds = encoder.encode(rows.column("text"))
+            flat = np.insert(ids, bounds[1:], end_id).view("<i4")
+            starts = bounds + np.arange(len(bounds))
             yield {
-                "part": np.full(len(blobs), task.partitionId(), np.int32),
+                "part": np.full(len(rows), task.partitionId(), np.int32),
                 "doc_id": rows.column("doc_id"),
                 "local_start": place[1] + starts[:-1],
-                "n_tokens": sizes,
+                "n_tokens": np.diff(starts),
                 "ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat)),
             }
             place[1] += int(starts[-1])
@@ -101,7 +99,8 @@ def ids_crc32(rows: DataFrame) -> DataFrame:
     def digest(batch):
         ids = batch.column("ids")
         ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        sums = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        blob, ends = memoryview(flat.astype("<i4", copy=False)).cast("B"), (4 * ends.astype(np.int64)).tolist()
+        sums = [zlib.crc32(blob[a:b]) for a, b in zip(ends, ends[1:])]
         same = {c: batch.column(c) for c in ("part", "doc_id", "local_start", "n_tokens")}
         yield {**same, "ids_crc32": np.array(sums, np.int64)}
 

@@ -296,6 +296,37 @@ def test_orc_round_trip(spark, odd_rows, tmp_path):
     assert "doc_id" in one._jdf.queryExecution().toString().split("PushedFilters")[1][:80]
 
 
+def test_orc_rows_ask_for_a_word_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    from minutemill.llm import chunks
+
+    asked = []
+
+    def encode_many(parts):
+        asked.extend(parts)
+        return [np.frombuffer(part.encode(), np.uint8).astype("<u4").tobytes() for part in parts]
+
+    encoder = chunks.PartEncoder(encode_many)
+    monkeypatch.setattr(orc_ids, "map_batches", lambda df, fn, schema: fn)
+    monkeypatch.setattr(orc_ids, "shared", lambda key, make: encoder)
+    task = SimpleNamespace(taskAttemptId=lambda: -7, partitionId=lambda: 3)
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: task))
+    encode = orc_ids.token_rows(_frame(spark, [(1, "", "en")]), "{}")
+    texts, start = ["one word, a word.", "", "a word: word"], 0
+    for ids in ([5, 6, 7], [8, 8, 9]):
+        batch = pa.record_batch({"doc_id": pa.array(ids), "text": pa.array(texts)})
+        for columns in encode(batch):
+            assert columns["ids"].to_pylist() == [[*t.encode(), 0] for t in texts]
+            assert columns["n_tokens"].tolist() == [len(t) + 1 for t in texts] and columns["part"].tolist() == [3, 3, 3]
+            assert columns["local_start"].tolist() == [start, start + 18, start + 19]
+            start += 32
+    assert sorted(asked) == sorted(["one", "a", " a", " word", ",", ".", ":"])
+
+
 def test_pitman_yor_counts_and_gain(spark, odd_rows):
     rng = random.Random(6)
     rows = odd_rows + [(300 + i, " ".join(rng.choices(WORDS, k=60)), "en") for i in range(60)]
