@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 _SPACE, _BREAK = 0x20, 0x0A
-# Bytes of text to encode at a time, and parts whose ids are put in place at a time.
-SLICE, BLOCK = 8 << 20, 1 << 18
+# Parts whose ids are put in place at a time.
+BLOCK = 1 << 18
 
 
 def _table(chars: bytes) -> np.ndarray:
