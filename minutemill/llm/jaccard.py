@@ -46,11 +46,11 @@ def _blob(values, dtype) -> bytes:
 
 
 def _coded(values: np.ndarray, dtype: str) -> bytes:
-    """Compressed planes of two bytes, or of one; sorted hashes of one bucket share their upper planes."""
+    """Compressed planes of two bytes, or of one; sorted hashes of one bucket share their upper planes. May be empty."""
     import zstandard
 
-    plane = "<u2" if dtype == "<u8" else "u1"
-    columns = np.ascontiguousarray(values, dtype).view(plane).reshape(len(values), -1)
+    plane = np.dtype("<u2" if dtype == "<u8" else "u1")
+    columns = np.ascontiguousarray(values, dtype).view(plane).reshape(-1, np.dtype(dtype).itemsize // plane.itemsize)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns.T).tobytes())
 
 

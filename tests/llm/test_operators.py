@@ -216,6 +216,23 @@ def test_jaccard_links(spark, odd_rows, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_links(_frame(spark, rows)).collect())) == sorted(between)
 
 
+@pytest.mark.parametrize("dtype", ["<u8", "<u2", "<u4"])
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_jaccard_coding(dtype, n):
+    values = np.random.default_rng(n).integers(0, 1 << 16, n).astype(dtype)
+    back = jaccard._decoded(jaccard._coded(values, dtype), dtype)
+    assert back.dtype == np.dtype(dtype) and back.tolist() == values.tolist()
+
+
+def test_jaccard_blocks_that_share_nothing(spark):
+    """A task for each row makes blocks of one document, whose shingles occur elsewhere, nowhere or don't exist."""
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(40)) for _ in range(7)]
+    rows = [(i, text, "en") for i, text in enumerate([*texts, texts[0], texts[3] + " more", "", None, " ", "one"])]
+    found = jaccard.jaccard_components(_frame(spark, rows, len(rows))).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == _brute_components(rows)
+
+
 def _brute_removed(rows):
     first, known = {}, [(i, (t or "").encode()) for i, t, _ in rows if i is not None]
     for i, t in known:
